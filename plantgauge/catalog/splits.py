@@ -1 +1,93 @@
+"""Splits, slices and samples of the feature table."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from plantgauge.catalog.base import CTES, pick, query
+from plantgauge.operators import splits
+
+CTES["split_features"] = """
+SELECT vec_id, embedding, label, category,
+       CASE WHEN k * 100 <= n * 60 THEN 'train' WHEN k * 100 <= n * 80 THEN 'val' ELSE 'test' END AS split
+FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY md5(vec_id || '|42'), vec_id) AS k,
+             count(*) OVER (PARTITION BY category) AS n FROM features)"""
+CTES["batch_folds"] = f"SELECT unit_id, batch_id, {pick("batch_id || '|42'", '5')} AS fold FROM inspection"
+
+
+def split_features(t):
+    return splits.stratified_split(t.features, "vec_id", "category")
+
+
+@query(oracle="SELECT vec_id, category, split FROM split_features")
+def stratified_split(t):
+    return split_features(t).select("vec_id", "category", "split")
+
+
+@query(
+    oracle="""SELECT batch_id, CASE WHEN fold = 0 THEN 'test' ELSE 'train' END AS split, count(*) AS n
+              FROM batch_folds GROUP BY ALL"""
+)
+def group_split(t):
+    rows = splits.group_split(t.inspection.select("unit_id", "batch_id"), "batch_id", "unit_id")
+    return rows.groupBy("batch_id", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    oracle="""SELECT 'vectors' AS kind, count(*) AS shared FROM (
+                SELECT vec_id FROM split_features WHERE split = 'train' INTERSECT
+                SELECT vec_id FROM split_features WHERE split = 'test')
+              UNION ALL SELECT 'batches', count(*) FROM (
+                SELECT batch_id FROM batch_folds WHERE fold <> 0 INTERSECT SELECT batch_id FROM batch_folds WHERE fold = 0)
+              UNION ALL SELECT 'classes without training rows', count(*) FROM (
+                SELECT category FROM split_features EXCEPT SELECT category FROM split_features WHERE split = 'train')"""
+)
+def split_overlap(t):
+    feats = split_features(t)
+    batches = splits.group_split(t.inspection.select("unit_id", "batch_id"), "batch_id", "unit_id")
+    trained = feats.where(F.col("split") == "train").select("category").distinct()
+    untrained = feats.select("category").distinct().join(trained, "category", "left_anti")
+    parts = [
+        ("vectors", splits.overlap(feats, "vec_id")),
+        ("batches", splits.overlap(batches, "batch_id")),
+        ("classes without training rows", untrained),
+    ]
+    rows = [df.agg(F.count(F.lit(1)).alias("shared")).select(F.lit(n).alias("kind"), "shared") for n, df in parts]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query(
+    oracle="""SELECT vec_id, category, split FROM (
+                SELECT *, row_number() OVER (PARTITION BY category, split ORDER BY vec_id) AS k FROM split_features)
+              WHERE k <= CASE WHEN split = 'train' THEN 240 ELSE 80 END"""
+)
+def dev_slice(t):
+    return splits.dev_slice(split_features(t), "vec_id").select("vec_id", "category", "split")
+
+
+@query(
+    oracle="""SELECT vec_id, category FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY vec_id) AS k
+                FROM split_features WHERE split = 'test') WHERE k <= 2"""
+)
+def gallery_top2(t):
+    held_out = split_features(t).where(F.col("split") == "test")
+    return splits.first_n(held_out, ["category"], ["vec_id"], 2).select("vec_id", "category")
+
+
+@query(
+    oracle="""SELECT vec_id, category FROM split_features WHERE split = 'test' ORDER BY md5(vec_id || '|42'), vec_id LIMIT 4"""
+)
+def random_sample(t):
+    return splits.hash_sample(split_features(t).where(F.col("split") == "test"), "vec_id", 4).select("vec_id", "category")
+
+
+@query(
+    oracle="""SELECT category, split, count(*) AS n FROM split_features GROUP BY ALL"""
+)
+def split_counts(t):
+    """Train, val and test filtered apart and put together again."""
+    feats = split_features(t)
+    parts = [feats.where(F.col("split") == s) for s in ("train", "val", "test")]
+    return (
+        parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("category", "split").agg(F.count(F.lit(1)).alias("n"))
+    )

@@ -92,7 +92,10 @@ def factor_statistics(p: Pairs) -> DataFrame:
     Keys with fewer than 3 pairs or a constant x are left out.
     """
     ranked = with_ranks(p)
-    middle = percentiles(p.df, p.keys, "x", {"median": 0.5})
+    if p.bounded:  # the exact aggregate keeps the values of a group in memory
+        middle = p.df.groupBy(*p.keys).agg(F.count(F.lit(1)).alias("n"), F.percentile("x", 0.5).alias("median"))
+    else:
+        middle = percentiles(p.df, p.keys, "x", {"median": 0.5})
     spread = p.df.groupBy(*p.keys).agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
     per_key = middle.join(spread, p.keys).where((F.col("n") >= 3) & (F.col("std") > 0)).drop("n")
     rows = ranked.join(F.broadcast(per_key), p.keys)  # one row per parameter (and family)
@@ -205,7 +208,8 @@ def bootstrap_rho(p: Pairs, n_boot: int = 1000, ci: float = 0.95, seed: int = 42
         *p.keys, ((n * F.col("ab") - F.col("a") * F.col("b")) / F.sqrt(vx) / F.sqrt(vy)).alias("r")
     )
     tail = (1.0 - ci) / 2.0
-    found = percentiles(rhos, p.keys, "r", {"lo": tail, "hi": 1.0 - tail}).drop("n")
+    # one value per repetition, so the exact aggregate holds n_boot values at most
+    found = rhos.groupBy(*p.keys).agg(F.percentile("r", tail).alias("lo"), F.percentile("r", 1.0 - tail).alias("hi"))
     counts = base.groupBy(*p.keys).agg(F.count(F.lit(1)).alias("n"))
     points = factor_statistics(p).select(*p.keys, "rho")
     out = counts.join(found, p.keys, "left").join(points, p.keys, "left")

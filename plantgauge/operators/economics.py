@@ -10,7 +10,7 @@ from plantgauge import fixed_values as fv
 from plantgauge.functions import draws
 from plantgauge.functions.columns import ratio, rounded
 from plantgauge.operators.bounds import row_count, small_side
-from plantgauge.operators.prefix import numbered, percentiles
+from plantgauge.operators.prefix import numbered
 from plantgauge.session import cut_lineage
 
 COSTS = ["material_cost", "labor_cost", "overhead_cost", "scrap_cost", "rework_cost", "downtime_cost"]
@@ -274,37 +274,39 @@ def bootstrap_what_if_margin(
     names = set(table.columns)
     half_defects = F.col("defect_count") * 0.5 if "defect_count" in names else F.lit(0.0)
     spread = {"scrap_units": half_defects, "rework_units": half_defects, "downtime_hours": F.lit(1.0)}
-    sums = table.agg(
-        *[
-            (F.sum(c) if c in names else F.lit(0.0)).cast("double").alias(c)
-            for c in ("scrap_units", "rework_units", "downtime_hours")
-        ]
-    ).select(F.struct("*")).scalar()
-    per_batch = table.select(
+    counted = [c for c in spread if c in names]
+    narrow = cut_lineage(
+        table.select(
+            "batch_id",
+            F.col("total_inspected").cast("double").alias("total"),
+            F.col("conforming_count").cast("double").alias("good"),
+            *[F.col(c).cast("double").alias(c) for c in counted],
+            *[other.cast("double").alias(f"_else_{c}") for c, other in spread.items()],
+        )
+    )
+    # two single rows: the measures that occur at all, and the baseline
+    used = narrow.agg(F.lit(0.0).alias("_"), *[F.sum(c).alias(c) for c in counted]).first()
+    base = baseline.first()
+    per_batch = narrow.select(
         "batch_id",
-        F.col("total_inspected").cast("double").alias("total"),
-        F.col("conforming_count").cast("double").alias("good"),
-        *[
-            (F.when(sums[c] > 0, F.col(c)).otherwise(other) if c in names else other).cast("double").alias(c)
-            for c, other in spread.items()
-        ],
+        "total",
+        "good",
+        *[F.col(c if c in counted and (used[c] or 0.0) > 0 else f"_else_{c}").alias(c) for c in spread],
     )
-    per_batch = cut_lineage(per_batch)
     measures = ["total", "good", *spread]
-    base = baseline.select(F.struct("*")).limit(1).scalar()
-    whole = per_batch.agg(*[F.sum(c).alias(c) for c in measures]).select(F.struct("*")).scalar()
+    whole = per_batch.agg(*[F.sum(c).alias(c) for c in measures]).first()
 
-    def rate(cost: str, measure: str) -> Column:
-        return base[cost] / F.greatest(F.lit(1.0), whole[measure])
+    def rate(cost: str, measure: str) -> float:
+        return base[cost] / max(1.0, whole[measure] or 0.0)
 
     reps = resampled_sums(per_batch, measures, ["batch_id"], n_boot, seed)
     costed = reps.select(
         "rep",
         F.greatest(F.lit(0.0), F.col("good")).alias("good_units"),
-        base["unit_price"].alias("unit_price"),
+        F.lit(base["unit_price"]).alias("unit_price"),
         (F.col("total") * rate("material_cost", "total")).alias("material_cost"),
-        base["labor_cost"].alias("labor_cost"),
-        base["overhead_cost"].alias("overhead_cost"),
+        F.lit(base["labor_cost"]).alias("labor_cost"),
+        F.lit(base["overhead_cost"]).alias("overhead_cost"),
         (F.col("scrap_units") * rate("scrap_cost", "scrap_units")).alias("scrap_cost"),
         (F.col("rework_units") * rate("rework_cost", "rework_units")).alias("rework_cost"),
         (F.col("downtime_hours") * rate("downtime_cost", "downtime_hours")).alias("downtime_cost"),
@@ -313,9 +315,10 @@ def bootstrap_what_if_margin(
         "line_throughput", F.col("good_units") / F.lit(fv.SHIFT_HOURS)
     )
     margins = what_if(pnl, [scenario], ["rep"]).select((F.col("sim_margin") * 100.0).alias("m"))
-    found = percentiles(margins, [], "m", {"p10": 0.10, "median": 0.5, "p90": 0.90})
-    fallback = baseline.select(
-        *[F.coalesce(found.select(c).scalar(), F.col("margin") * 100.0).alias(c) for c in ("median", "p10", "p90")]
+    # one value per repetition, so the exact aggregate holds n_boot values at most
+    levels = {"median": 0.5, "p10": 0.10, "p90": 0.90}
+    fallback = margins.agg(
+        *[F.coalesce(F.percentile("m", p), F.lit(base["margin"] * 100.0)).alias(c) for c, p in levels.items()]
     )
     return fallback.select(
         rounded(F.col("median"), 2).alias("median_margin_pct"),
