@@ -3,6 +3,8 @@ binary case, nearest class means of the embeddings for the multi-class case."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
@@ -75,25 +77,35 @@ def multiclass_logits(t):
     feats = split_features(t)
     means = {row["category"]: row["c"] for row in class_means(feats).collect()}  # one row per class
     classes = sorted(means)
+
+    def direction(c):
+        size = max(1e-10, math.sqrt(sum(x * x for x in means[c])))
+        return F.lit([x / size for x in means[c]])
+
     v = vectors.unit(vectors.doubles(F.col("embedding")))
-    rows = feats.withColumn("_v", v)
-    z = F.array(*[F.lit(10.0) * vectors.dot(F.col("_v"), vectors.unit(F.lit([float(x) for x in means[c]]))) for c in classes])
+    z = vectors.let(v, lambda q: F.array(*[F.lit(10.0) * vectors.dot(q, direction(c)) for c in classes]))
+    rows = feats
     target = F.array_position(F.lit(classes), F.col("category")).cast("int") - 1
     return rows.select("vec_id", "category", "split", z.alias("logits"), target.alias("target")), classes
 
 
 def multi_scored(t):
     rows, classes = multiclass_logits(t)
-    rows = rows.withColumn("probs", vectors.softmax(F.col("logits")))
-    best = vectors.argmax(F.col("probs"))
     normal = classes.index("normal")
+    scores = vectors.let(
+        vectors.softmax(F.col("logits")),
+        lambda p: F.struct(
+            vectors.argmax(p).alias("best"), F.array_max(p).alias("top"), p[normal].alias("good"), p.alias("probs")
+        ),
+    )
+    rows = rows.withColumn("s", scores)
     return rows.select(
         "vec_id", "split", F.col("category").alias("actual_class"),
-        F.element_at(F.lit(classes), best + 1).alias("predicted_class"),
-        F.array_max("probs").alias("confidence"),
+        F.element_at(F.lit(classes), F.col("s.best") + 1).alias("predicted_class"),
+        F.col("s.top").alias("confidence"),
         (F.col("category") != "normal").cast("int").alias("actual"),
-        (F.lit(1.0) - F.col("probs")[normal] >= 0.5).cast("int").alias("predicted"),
-        "probs",
+        (F.lit(1.0) - F.col("s.good") >= 0.5).cast("int").alias("predicted"),
+        F.col("s.probs").alias("probs"),
     )
 
 

@@ -13,34 +13,48 @@ def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: lambda bodies are interpreted
+    and recompute whatever expression is written inside them."""
+    return F.transform(F.array(value), use)[0]
+
+
+def total(v: Column) -> Column:
+    return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+
+
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
 
 
 def unit(v: Column) -> Column:
     """L2-normalised; the norm is floored at 1e-10."""
-    size = F.greatest(norm(v), F.lit(1e-10))
-    return F.transform(v, lambda x: x / size)
+    return let(F.greatest(norm(v), F.lit(1e-10)), lambda size: F.transform(v, lambda x: x / size))
 
 
 def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return total(F.zip_with(a, b, lambda x, y: x * y))
 
 
 def softmax(z: Column, temperature: Column | float = 1.0) -> Column:
     """Softmax of z/T, T floored at 0.01."""
     t = F.greatest(F.lit(0.01), temperature if isinstance(temperature, Column) else F.lit(float(temperature)))
-    top = F.array_max(z)
-    e = F.transform(z, lambda x: F.exp((x - top) / t))
-    whole = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(e, lambda x: x / whole)
+
+    def from_logits(v):
+        powers = let(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp((x - top) / t)))
+        return let(powers, lambda e: let(total(e), lambda whole: F.transform(e, lambda x: x / whole)))
+
+    return let(z, from_logits)
 
 
 def neg_log_likelihood(z: Column, true_index: Column, temperature: Column) -> Column:
     """-log softmax(z/T)[true_index], with a 0-based class index."""
-    top = F.array_max(z)
-    whole = F.aggregate(z, F.lit(0.0), lambda a, x: a + F.exp((x - top) / temperature))
-    return F.log(whole) - (F.element_at(z, (true_index + 1).cast("int")) - top) / temperature
+
+    def loss(top):
+        whole = F.aggregate(z, F.lit(0.0), lambda a, x: a + F.exp((x - top) / temperature))
+        return F.log(whole) - (F.element_at(z, (true_index + 1).cast("int")) - top) / temperature
+
+    return let(F.array_max(z), loss)
 
 
 def argmax(v: Column) -> Column:
@@ -54,8 +68,7 @@ def scaled(v: Column, factor: Column | float) -> Column:
 
 def contrasted(v: Column, factor: Column | float) -> Column:
     """Stretch about the row mean."""
-    mean = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v)
-    return F.transform(v, lambda x: mean + (x - mean) * factor)
+    return let(total(v) / F.size(v), lambda mean: F.transform(v, lambda x: mean + (x - mean) * factor))
 
 
 def smoothed(v: Column, radius: int) -> Column:
@@ -71,10 +84,10 @@ def smoothed(v: Column, radius: int) -> Column:
     )
 
 
-def rotated(v: Column, places: int) -> Column:
+def rotated(v: Column, places: Column | int) -> Column:
     """Cyclic shift to the left."""
-    n = F.size(v)
-    return F.concat(F.slice(v, F.lit(places + 1), n - places), F.slice(v, F.lit(1), F.lit(places)))
+    k = places if isinstance(places, Column) else F.lit(places)
+    return F.concat(F.slice(v, k + 1, F.size(v) - k), F.slice(v, F.lit(1), k))
 
 
 def noisy(v: Column, key: Column, sigma: Column | float, tag: str = "noise") -> Column:

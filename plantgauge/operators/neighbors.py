@@ -1,4 +1,336 @@
-from pyspark.sql import functions as F
-def min_max(df, column, name):
-    lo = df.agg(F.min(column)).scalar(); hi = df.agg(F.max(column)).scalar()
-    return df.withColumn(name, F.when(hi > lo, (F.col(column) - lo) / (hi - lo)).otherwise(F.lit(0.0)))
+"""Nearest-neighbour novelty and anomaly scores.
+
+Distances are matrix products inside Arrow batches. A bank whose size has been
+checked is sent to every executor and the queries never move. A larger one is
+cut into cells around pivots; a query visits only the cells that the triangle
+inequality cannot rule out, cells and their visitors are cut into blocks of
+bounded size, each block keeps its k best, and the bests are merged. Both ways
+are exact.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from plantgauge import fixed_values as fv
+from plantgauge.functions import draws, vectors
+from plantgauge.operators.prefix import percentiles
+from plantgauge.operators.splits import hash_sample
+from plantgauge.session import cut_lineage
+
+BANK_BYTES = 64 * 1024 * 1024  # as doubles, on every executor
+BLOCK_ROWS = 4096
+PIVOTS = 64
+
+
+def min_max(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Scale to [0, 1]; a constant column gives 0."""
+    ends = df.agg(F.struct(F.min(column).alias("low"), F.max(column).alias("high"))).scalar()
+    width = ends["high"] - ends["low"]
+    return df.withColumn(name, F.when(width > 0, (F.col(column) - ends["low"]) / width).otherwise(0.0))
+
+
+def fits_broadcast(bank: DataFrame, vec: str) -> tuple[bool, int]:
+    """(small enough to send everywhere, number of rows)."""
+    n, width = bank.agg(F.count(F.lit(1)), F.max(F.size(vec))).first()
+    return n * (width or 0) * 8 <= BANK_BYTES, n
+
+
+def _nearest(k: int, cosine: bool):
+    """A function (queries, bank) -> the k smallest distances per query, unordered."""
+
+    def nearest(q, b):
+        import numpy as np
+
+        k_eff = min(k, len(b))
+        out = np.empty((len(q), k_eff))
+        rows = max(1, 4_000_000 // max(1, len(b)))  # bounds the distance matrix
+        b_sq = (b * b).sum(axis=1)
+        for i in range(0, len(q), rows):
+            part = q[i : i + rows]
+            dots = part @ b.T
+            if cosine:
+                d = 1.0 - dots
+            else:
+                d = np.sqrt(np.maximum((part * part).sum(axis=1)[:, None] + b_sq[None, :] - 2.0 * dots, 0.0))
+            out[i : i + rows] = d if k_eff == len(b) else np.partition(d, k_eff - 1, axis=1)[:, :k_eff]
+        return out
+
+    return nearest
+
+
+def _matrix(unit: bool):
+    def matrix(column):
+        import numpy as np
+
+        m = np.array(column.tolist(), dtype="float64")
+        if unit and len(m):
+            m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-10)
+        return m
+
+    return matrix
+
+
+def _by_broadcast(queries: DataFrame, bank: DataFrame, cosine: bool, k: int) -> DataFrame:
+    """queries: id, vec; bank: class, vec (checked to be small). -> id, class, distance."""
+    pdf = bank.toPandas()
+    matrix, nearest = _matrix(cosine), _nearest(k, cosine)
+    sides = {c: matrix(g["vec"]) for c, g in pdf.groupby("class")}
+    sent = queries.sparkSession.sparkContext.broadcast(sides)
+    kind = queries.schema["id"].dataType.simpleString()
+
+    def score(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            q = matrix(pdf["vec"])
+            for c, b in sent.value.items():
+                yield pd.DataFrame({"id": pdf["id"].values, "class": c, "distance": nearest(q, b).mean(axis=1)})
+
+    return queries.mapInPandas(score, f"id {kind}, class string, distance double")
+
+
+def _by_blocks(queries: DataFrame, bank: DataFrame, cosine: bool, k: int, block_rows: int) -> DataFrame:
+    """Like :func:`_by_broadcast` for a bank of any size; bank also has its id."""
+    matrix, nearest = _matrix(cosine), _nearest(k, cosine)
+    bank = cut_lineage(bank)
+    pivots = matrix(hash_sample(bank, "id", PIVOTS).toPandas()["vec"])  # PIVOTS rows
+    kind = queries.schema["id"].dataType.simpleString()
+    bank_kind = bank.schema["id"].dataType.simpleString()
+
+    def to_pivots(m):
+        import numpy as np
+
+        sq = (m * m).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1)[None, :] - 2.0 * (m @ pivots.T)
+        return np.sqrt(np.maximum(sq, 0.0))
+
+    def to_cells(batches):
+        for pdf in batches:
+            d = to_pivots(matrix(pdf["vec"])) if len(pdf) else None
+            if d is not None:
+                yield pdf.assign(cell=d.argmin(axis=1).astype("int32"), reach=d.min(axis=1))
+
+    celled = cut_lineage(
+        bank.mapInPandas(to_cells, f"id {bank_kind}, class string, vec array<double>, cell int, reach double")
+    )
+    # one row per class and pivot
+    cells = celled.groupBy("class", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("radius"))
+    table: dict[str, list] = {}
+    for row in cells.collect():
+        table.setdefault(row["class"], []).append((row["cell"], row["n"], row["radius"]))
+
+    def visits(batches):
+        import numpy as np
+        import pandas as pd
+
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            d = to_pivots(matrix(pdf["vec"]))
+            for c, rows in table.items():
+                ids = np.array([r[0] for r in rows])
+                sizes = np.array([r[1] for r in rows])
+                radius = np.array([r[2] for r in rows])
+                near, far = d[:, ids] - radius, d[:, ids] + radius
+                # the k-th neighbour is no farther than the reach of the closest cells that hold k rows
+                order = np.argsort(far, axis=1)
+                held = np.cumsum(sizes[order], axis=1)
+                full = held >= k
+                first = full.argmax(axis=1)
+                bound = np.take_along_axis(far, np.take_along_axis(order, first[:, None], 1), 1)[:, 0]
+                bound = np.where(full.any(axis=1), bound, np.inf)
+                hit_q, hit_c = np.nonzero(near <= bound[:, None] * (1 + 1e-9) + 1e-9)
+                yield pd.DataFrame(
+                    {
+                        "id": pdf["id"].values[hit_q], "vec": pdf["vec"].values[hit_q], "class": c,
+                        "cell": ids[hit_c].astype("int32"), "parts": -(-sizes[hit_c] // block_rows),
+                    }
+                )
+
+    going = queries.mapInPandas(visits, f"id {kind}, vec array<double>, class string, cell int, parts long")
+    going = cut_lineage(
+        going.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    )
+    parts = celled.join(F.broadcast(cells.select("class", "cell", "n")), ["class", "cell"]).withColumn(
+        "part", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / block_rows))
+    )
+    block = ["class", "cell", "part"]
+    visitors = going.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("chunks"))
+    left = going.join(visitors, block).withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(7)), F.col("chunks")))
+    right = parts.join(visitors, block).withColumn(
+        "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+    )
+
+    def best(q, b):
+        import pandas as pd
+
+        if len(q) == 0 or len(b) == 0:
+            return pd.DataFrame({"id": [], "class": [], "nearest": []})
+        d = nearest(matrix(q["vec"]), matrix(b["vec"]))
+        return pd.DataFrame({"id": q["id"].values, "class": q["class"].values, "nearest": list(d)})
+
+    keys = [*block, "chunk"]
+    found = (
+        left.select("id", "vec", *keys)
+        .groupBy(*keys)
+        .cogroup(right.select("vec", *keys).groupBy(*keys))
+        .applyInPandas(best, f"id {kind}, class string, nearest array<double>")
+    )
+    each = found.select("id", "class", F.explode("nearest").alias("d"))
+    w = Window.partitionBy("id", "class").orderBy("d")  # k rows from each visited block
+    top = each.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
+    return top.groupBy("id", "class").agg(F.avg("d").alias("distance"))
+
+
+def class_distances(
+    queries: DataFrame, bank: DataFrame, k: int = fv.NEIGHBOURS, cosine: bool = True,
+    block_rows: int = BLOCK_ROWS, force_blocks: bool = False,
+) -> DataFrame:
+    """Mean distance to the k nearest rows of each class: id, class, distance.
+
+    ``queries`` has id, vec; ``bank`` has id, class, vec. A class with fewer than
+    k rows uses all of them.
+    """
+    q = queries.select("id", vectors.doubles(F.col("vec")).alias("vec"))
+    b = bank.select("id", F.col("class").cast("string").alias("class"), vectors.doubles(F.col("vec")).alias("vec"))
+    small, n = (False, 1) if force_blocks else fits_broadcast(b, "vec")
+    if n == 0:
+        return q.select("id", F.lit(None).cast("string").alias("class"), F.lit(None).cast("double").alias("distance")).limit(0)
+    if small:
+        return _by_broadcast(q, b.select("class", "vec"), cosine, k)
+    return _by_blocks(q, b, cosine, k, block_rows)
+
+
+def novelty_scores(queries: DataFrame, bank: DataFrame, k: int = fv.NEIGHBOURS, **how) -> DataFrame:
+    """Least class distance per query: id, novelty_score, nearest_class."""
+    best = F.min_by(F.struct("distance", "class"), F.struct(F.round("distance", 9), F.col("class")))
+    return (
+        class_distances(queries, bank, k, True, **how)
+        .groupBy("id")
+        .agg(best.alias("b"))
+        .select("id", F.col("b.distance").alias("novelty_score"), F.col("b.class").alias("nearest_class"))
+    )
+
+
+def reference_bank(rows: DataFrame, size: int = fv.BANK_ROWS, seed: int = 42) -> DataFrame:
+    """At most ``size`` rows (id, vec) drawn by hash; the limit is the operator's own."""
+    return hash_sample(rows, "id", size, seed)
+
+
+def bank_scores(patches: DataFrame, bank: DataFrame, **how) -> DataFrame:
+    """Euclidean distance of each patch (id, vec) to the nearest bank row."""
+    one_class = bank.select("id", F.lit("bank").alias("class"), "vec")
+    return class_distances(patches, one_class, 1, False, **how).select("id", F.col("distance").alias("anomaly_score"))
+
+
+def unit_scores(scores: DataFrame, unit: str) -> DataFrame:
+    """A unit is as anomalous as its worst patch."""
+    return scores.groupBy(unit).agg(F.max("anomaly_score").alias("anomaly_score"))
+
+
+def score_threshold(scores: DataFrame, column: str, level: float, when_empty: float) -> DataFrame:
+    """One row: threshold (exact percentile), mean and max of the scores."""
+    found = percentiles(scores, [], column, {"threshold": level})
+    return scores.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.max(column).alias("max")).select(
+        F.coalesce(found.select("threshold").scalar(), F.lit(when_empty)).alias("threshold"), "n", "mean", "max"
+    )
+
+
+def above_threshold(scores: DataFrame, column: str, threshold: DataFrame | float, name: str) -> DataFrame:
+    limit = F.lit(threshold) if isinstance(threshold, float) else threshold.select("threshold").scalar()
+    return scores.withColumn(name, F.col(column) > limit)
+
+
+def random_projection(df: DataFrame, vec: str, width: int, out_width: int, seed: int = 42) -> DataFrame:
+    """Project to ``out_width`` dimensions with a fixed N(0, 1)/sqrt(out_width) matrix.
+
+    Each task derives the matrix from md5 draws, so every task has the same one.
+    """
+
+    def draw(*parts):
+        import hashlib
+
+        text = "|".join(str(p) for p in parts)
+        return int(hashlib.md5(text.encode()).hexdigest()[:8], 16) / 4294967296.0
+
+    def project(batches):
+        import numpy as np
+
+        weights = np.array(
+            [
+                [
+                    math.sqrt(-2.0 * math.log(1.0 - draw(seed, i, j, "a"))) * math.cos(2.0 * math.pi * draw(seed, i, j, "b"))
+                    for j in range(out_width)
+                ]
+                for i in range(width)
+            ]
+        ) / math.sqrt(out_width)
+        for pdf in batches:
+            if len(pdf):
+                m = np.array(pdf[vec].tolist(), dtype="float64")
+                pdf[vec] = list(m @ weights)
+            yield pdf
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields if f.name != vec)
+    return df.select(*[c for c in df.columns if c != vec], vectors.doubles(F.col(vec)).alias(vec)).mapInPandas(
+        project, f"{fields}, {vec} array<double>"
+    )
+
+
+# ---- conditions on vectors -------------------------------------------------
+
+
+def perturbations(v: Column, key: Column) -> list[tuple[str, Column]]:
+    """The robustness conditions, as operations on one vector."""
+    quarter = F.floor(F.size(v) / 4).cast("int")
+    return [
+        ("baseline", v),
+        ("bright_0.6", vectors.scaled(v, 0.6)),
+        ("bright_1.4", vectors.scaled(v, 1.4)),
+        ("contrast_0.6", vectors.contrasted(v, 0.6)),
+        ("contrast_1.4", vectors.contrasted(v, 1.4)),
+        ("rot_90", vectors.rotated(v, quarter)),
+        ("rot_180", vectors.rotated(v, quarter * 2)),
+        ("hflip", F.reverse(v)),
+        ("blur_1", vectors.smoothed(v, 1)),
+        ("blur_2", vectors.smoothed(v, 2)),
+        ("noise_10", vectors.noisy(v, key, 10.0 / 255.0, "noise_10")),
+        ("noise_25", vectors.noisy(v, key, 25.0 / 255.0, "noise_25")),
+    ]
+
+
+def perturbed(df: DataFrame, vec: str, id_col: str) -> DataFrame:
+    """Every row under every condition: adds ``condition``, replaces the vector."""
+    v = vectors.doubles(F.col(vec))
+    options = F.array(
+        *[F.struct(F.lit(n).alias("condition"), c.alias("vector")) for n, c in perturbations(v, F.col(id_col))]
+    )
+    others = [c for c in df.columns if c != vec]
+    return df.select(*others, F.explode(options).alias("_o")).select(
+        *others, F.col("_o.condition").alias("condition"), F.col("_o.vector").alias(vec)
+    )
+
+
+def augmented(df: DataFrame, vec: str, id_col: str, seed: int = 42) -> DataFrame:
+    """One random copy per row: brightness and contrast in [0.6, 1.4], a quarter-turn,
+    and flip, blur and noise each for half of the rows; all drawn from the row's id."""
+    key = F.col(id_col)
+
+    def draw(tag):
+        return draws.uniform(key, seed, tag)
+
+    v = vectors.doubles(F.col(vec))
+    v = vectors.scaled(v, F.lit(0.6) + F.lit(0.8) * draw("bright"))
+    v = vectors.contrasted(v, F.lit(0.6) + F.lit(0.8) * draw("contrast"))
+    turn = F.floor(draw("turn") * 4).cast("int")
+    out = df.withColumn(vec, v)
+    quarter = F.floor(F.size(vec) / 4).cast("int")
+    out = out.withColumn(vec, vectors.rotated(F.col(vec), turn * quarter))
+    out = out.withColumn(vec, F.when(draw("flip") > 0.5, F.reverse(vec)).otherwise(F.col(vec)))
+    out = out.withColumn(vec, F.when(draw("blur") > 0.5, vectors.smoothed(F.col(vec), 1)).otherwise(F.col(vec)))
+    sigma = (F.lit(5.0) + F.lit(20.0) * draw("sigma")) / 255.0
+    return out.withColumn(vec, F.when(draw("noisy") > 0.5, vectors.noisy(F.col(vec), key, sigma)).otherwise(F.col(vec)))
