@@ -251,16 +251,16 @@ def sample_warning(n: Column) -> Column:
     )
 
 
-def analyze_factors(table: DataFrame, parameters: Sequence[str] | None = None, n_boot: int = 1000) -> DataFrame:
-    """The ranked factor report, one row per parameter; empty below three batches."""
-    p = overall_pairs(table, parameters)
+def ranked_factors(p: Pairs) -> DataFrame:
+    """Statistics, p-values, adjusted p-values, labels and rank; one row per parameter,
+    none below three batches."""
     stats = with_p_values(factor_statistics(p)).withColumn("sample_size", F.lit(p.n_batches))
-    stats = stats.where(F.col("sample_size") >= 3)
-    adjusted = benjamini_hochberg(cut_lineage(stats), "p_spearman", [], ["parameter"])
-    ci = bootstrap_rho(p, n_boot).drop("n")
+    adjusted = benjamini_hochberg(
+        cut_lineage(stats.where(F.col("sample_size") >= 3)), "p_spearman", [], ["parameter"]
+    )
     raw = evidence_label(F.col("rho"), F.col("p_spearman"), F.col("delta"), F.col("p_mwu"))
     significant = F.col("q") < fv.SIGNIFICANCE
-    out = adjusted.join(ci, "parameter").withColumns(
+    labelled = adjusted.withColumns(
         {
             "raw_evidence_label": raw,
             "is_significant": significant,
@@ -268,9 +268,16 @@ def analyze_factors(table: DataFrame, parameters: Sequence[str] | None = None, n
             "effect_score": effect_score(F.col("rho"), F.col("delta")),
         }
     )
-    position = F.row_number().over(Window.orderBy(F.desc("effect_score"), "parameter"))  # one row per parameter
+    by_effect = Window.orderBy(F.desc(F.round("effect_score", 9)), "parameter")  # one row per parameter
+    return labelled.withColumn("rank", F.row_number().over(by_effect))
+
+
+def analyze_factors(table: DataFrame, parameters: Sequence[str] | None = None, n_boot: int = 1000) -> DataFrame:
+    """The ranked factor report with bootstrap ranges, one row per parameter."""
+    p = overall_pairs(table, parameters)
+    out = ranked_factors(p).join(bootstrap_rho(p, n_boot).drop("n"), "parameter")
     return out.select(
-        position.alias("rank"),
+        "rank",
         "parameter",
         "sample_size",
         rounded(F.col("rho"), 3).alias("spearman_rho"),
