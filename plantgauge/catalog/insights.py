@@ -1 +1,150 @@
+"""Findings, impact chain and recommendations over the test tables."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from plantgauge import fixed_values as fv
+from plantgauge.catalog.association import stats  # noqa: F401  (registers the statistics)
+from plantgauge.catalog.base import CTES, query, r
+from plantgauge.catalog.batches import DEF, table
+from plantgauge.catalog.cleaning import sql_category
+from plantgauge.catalog.economics import plant
+from plantgauge.catalog.evaluation import scored
+from plantgauge.catalog.flow import stations
+from plantgauge.operators import association, batch, evaluation, flow, insights
+
+CTES["family_counts"] = f"""
+SELECT defect_category AS family, count(*) AS n FROM inspection
+WHERE {DEF} = 1 AND {sql_category('defect_category')} GROUP BY ALL"""
+CTES["top_family"] = """
+SELECT family, n AS family_count, n / (SELECT sum(n) FROM family_counts)::DOUBLE AS family_share
+FROM family_counts ORDER BY n DESC, family LIMIT 1"""
+CTES["top_factor"] = """
+SELECT * FROM factor_stats ORDER BY round(0.7 * abs(rho) + 0.3 * least(1.0, 3.0 * abs(delta)), 9) DESC, parameter LIMIT 1"""
+CTES["facts"] = """
+SELECT f.*, t.parameter, t.rho, t.n AS n_batches_used, (SELECT count(*) FROM batch_table) AS n_batches, t.high_mean, t.low_mean,
+       l.bottleneck_station AS station, l.utilization, l.wip, l.rework_rate, l.throughput_lost_due_to_rework AS lost_uph,
+       p.line_throughput, p.cost_of_poor_quality AS copq, p.scrap_cost, p.rework_cost, p.downtime_cost, p.margin, p.revenue,
+       p.cost, p.profit, (tp + tn) / (tn + fp + fn + tp)::DOUBLE AS accuracy, fp / (tn + fp)::DOUBLE AS frr,
+       fn / (tp + fn)::DOUBLE AS far, (SELECT count(*) FROM scored WHERE confidence < 0.7) AS uncertain_count,
+       (SELECT avg(CAST(confidence < 0.7 AS INTEGER)) FROM scored) AS uncertain_fraction
+FROM top_family f, top_factor t, line_summary l, plant_pnl p, counts"""
+
+
+def facts(t):
+    rows = scored(t)
+    rates = evaluation.binary_rates(evaluation.confusion_counts(rows))
+    sure = evaluation.selective_metrics(rows).select(F.struct("*")).scalar()
+    rates = rates.withColumns({c: sure[c] for c in ("uncertain_count", "uncertain_fraction")})
+    ranked = association.ranked_factors(association.overall_pairs(table(t), fv.TELEMETRY))
+    return insights.gather(
+        t.spark,
+        quality_family=insights.top_defect_family(t.inspection),
+        factor=insights.top_factor(ranked),
+        flow=insights.flow_facts(flow.line_summary(stations(t))),
+        economics=insights.economics_facts(plant(t)),
+        quality=insights.quality_facts(rates),
+    )
+
+
+@query(oracle="SELECT * FROM top_family", doubles="family_share")
+def top_defect_family(t):
+    return insights.top_defect_family(t.inspection)
+
+
+@query(
+    oracle=f"""SELECT batch_id, defect_category AS family, n AS family_count, n / total::DOUBLE AS family_share FROM (
+                 SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY n DESC, defect_category) AS k,
+                        sum(n) OVER (PARTITION BY batch_id) AS total
+                 FROM (SELECT batch_id, defect_category, count(*) AS n FROM inspection
+                       WHERE {DEF} = 1 AND {sql_category('defect_category')} GROUP BY ALL)) WHERE k = 1""",
+    doubles="family_share",
+)
+def top_family_by_batch(t):
+    return insights.top_defect_family(t.inspection, by=["batch_id"])
+
+
+@query(oracle=f"""SELECT defect_category AS category, count(*) AS count FROM inspection
+                  WHERE {DEF} = 1 AND {sql_category('defect_category')} GROUP BY ALL""")
+def category_counts(t):
+    return batch.category_counts(t.inspection)
+
+
+NUMBERS = {
+    "Bottleneck & Flow": {
+        "utilization_pct": r("utilization * 100.0", 1), "wip": "wip::DOUBLE", "rework_load_pct": r("rework_rate * 100.0", 1),
+        "throughput_lost_uph": r("lost_uph", 1),
+    },
+    "Root-Cause Attribution": {
+        "spearman_rho": r("rho", 3), "n_batches": "n_batches::DOUBLE", "high_defect_mean_pct": r("high_mean * 100.0", 2),
+        "low_defect_mean_pct": r("low_mean * 100.0", 2),
+        "delta_points": r(r("high_mean * 100.0", 2) + " - " + r("low_mean * 100.0", 2), 1),
+    },
+    "Plant Economics": {
+        "copq": r("copq", 2), "scrap_cost": r("scrap_cost", 2), "rework_cost": r("rework_cost", 2),
+        "downtime_cost": r("downtime_cost", 2), "gross_margin_pct": r("margin * 100.0", 2),
+        "margin_penalty_points": r("copq / revenue * 100.0", 2),
+    },
+    "Quality AI & Triage": {
+        "test_accuracy_pct": r("accuracy * 100.0", 1), "false_reject_rate_pct": r("frr * 100.0", 1),
+        "false_accept_rate_pct": r("far * 100.0", 1), "uncertain_count": "uncertain_count::DOUBLE",
+        "uncertain_pct": r("uncertain_fraction * 100.0", 1),
+    },
+}
+
+
+@query(
+    oracle="\nUNION ALL ".join(
+        f"SELECT '{c}' AS category, '{n}' AS name, {e} AS value FROM facts" for c, cols in NUMBERS.items() for n, e in cols.items()
+    ),
+    doubles="value",
+)
+def computed_insights(t):
+    rows = insights.computed_insights(facts(t))
+    numbers = rows.select("category", F.explode("evidence").alias("name", "value"))
+    return numbers.where(F.col("name") != "p_value")  # the tail probability has no SQL twin
+
+
+@query(
+    oracle=r"""SELECT 1 AS stage, 'Top Defect Family' AS title, family AS name, printf('%.1f%% of defects', family_share * 100) AS metric, true AS is_available FROM facts
+               UNION ALL SELECT 2, 'Likely Contributing Factor', parameter, printf('Spearman rho = %+.2f', rho), true FROM facts
+               UNION ALL SELECT 3, 'Primary Line Bottleneck', station, printf('%.1f%% Utilization', utilization * 100), true FROM facts
+               UNION ALL SELECT 4, 'Throughput Lost', printf('%.1f UPH Lost', lost_uph), printf('-%.1f UPH', lost_uph), true FROM facts
+               UNION ALL SELECT 5, 'Cost of Poor Quality', '$' || format('{:,.2f}', copq), '$' || format('{:,.0f}', copq) || ' COPQ', true FROM facts
+               UNION ALL SELECT 6, 'Gross Margin Impact', printf('%.1f%% Margin', margin * 100), printf('%.1f%% Operating Margin', margin * 100), true FROM facts"""
+)
+def impact_chain(t):
+    return insights.impact_chain(facts(t)).drop("detail")
+
+
+@query(
+    oracle="""SELECT 'Process Telemetry & Quality Control' AS category, 'Process Intervention: Restabilize ' || parameter AS title,
+                     CAST(NULL AS DOUBLE) AS projected_profit_gain, CAST(NULL AS DOUBLE) AS projected_margin_points FROM facts
+              UNION ALL SELECT 'Production Flow & Bottlenecks', 'Bottleneck Relief: Pre-Screen at ' || station, NULL, NULL FROM facts
+              UNION ALL SELECT 'Plant Financials & COPQ', 'Cost Recovery: Mitigate $' || format('{:,.2f}', copq) || ' COPQ',
+                               copq * 0.30::DOUBLE, copq * 0.30::DOUBLE / revenue * 100.0 FROM facts""",
+    doubles="projected_profit_gain projected_margin_points",
+)
+def advisories(t):
+    return insights.advisories(facts(t)).select("category", "title", "projected_profit_gain", "projected_margin_points")
+
+
+@query(
+    oracle=f"""SELECT (SELECT count(*) FROM inspection) AS units, (SELECT CAST(sum({DEF}) AS BIGINT) FROM inspection) AS defects,
+                      (SELECT avg({DEF}) * 100.0 FROM inspection) AS defect_rate_pct, line_throughput, station AS bottleneck,
+                      utilization * 100.0 AS bottleneck_utilization_pct, revenue, cost, profit, margin * 100.0 AS margin_pct FROM facts""",
+    doubles="defect_rate_pct line_throughput bottleneck_utilization_pct revenue cost profit margin_pct",
+)
+def kpi_row(t):
+    known = insights.gather(
+        t.spark,
+        flow=insights.flow_facts(flow.line_summary(stations(t))),
+        economics=insights.economics_facts(plant(t)),
+    )
+    return insights.kpi_row(known, t.inspection)
+
+
+@query()
+def impact_narrative(t):
+    return insights.impact_narrative(facts(t))

@@ -95,7 +95,7 @@ def triage_counts(t):
 @query(
     oracle="""SELECT batch_id, predicted_status, count(*) AS n,
                      count(*) / sum(count(*)) OVER (PARTITION BY batch_id)::DOUBLE AS share
-              FROM routed GROUP BY ALL""",
+              FROM routed GROUP BY batch_id, predicted_status""",
     doubles="share",
 )
 def triage_counts_by_batch(t):

@@ -151,3 +151,54 @@ ANOMALY_OVER = "patch-anomaly score %.2f exceeds normal limit %.2f"
 ANOMALY_INSIDE = "patch-anomaly score %.2f is within envelope (%.2f)"
 ANOMALY_GOOD = "patch-anomaly score %.2f is within normal threshold %.2f"
 ANOMALY_MINOR = "minor localized anomaly %.2f vs limit %.2f"
+
+# ---- findings, impact chain and recommendations -------------------------
+FLOW_FINDING = (
+    "Bottleneck: %s (utilization %.1f%%, WIP %d); rework adds %.1f%% extra load, costing %.1f UPH in lost capacity."
+)
+FACTOR_FINDING = (
+    "Likely contributing factor: %s (Spearman rho=%+.2f, p=%.4f, n=%d batches); "
+    "batches with elevated %s averaged %.1f%% defect rate vs %.1f%% in baseline batches."
+)
+NO_FACTOR_FINDING = "Likely contributing factor: insufficient telemetry data to establish statistical correlation."
+COST_FINDING = (
+    "Cost of poor quality: $%s (scrap: $%s, rework: $%s, downtime: $%s); "
+    "direct margin impact: -%.1f percentage points of gross operating margin."
+)
+QUALITY_FINDING = (
+    "Quality AI inspection: test accuracy %.1f%% (FRR %.1f%%, FAR %.1f%%); "
+    "%d borderline units (%.1f%%) isolated to human triage queue."
+)
+FINDING_CATEGORIES = {
+    "flow": ("Bottleneck & Flow", "Direct Operational Line Calculation"),
+    "factor": ("Root-Cause Attribution", "Non-Parametric Statistical Association (%s Evidence)"),
+    "no factor": ("Root-Cause Attribution", "Data Missing"),
+    "cost": ("Plant Economics", "Financial Cost Accounting"),
+    "quality": ("Quality AI & Triage", "Held-Out Test Validation"),
+}
+STAGES = [
+    "Top Defect Family", "Likely Contributing Factor", "Primary Line Bottleneck",
+    "Throughput Lost", "Cost of Poor Quality", "Gross Margin Impact",
+]
+ADVICE_CATEGORIES = ["Process Telemetry & Quality Control", "Production Flow & Bottlenecks", "Plant Financials & COPQ"]
+ADVICE_TITLES = ["Process Intervention: Restabilize %s", "Bottleneck Relief: Pre-Screen at %s", "Cost Recovery: Mitigate %s COPQ"]
+ADVICE_CONFIDENCE = [
+    "High (Statistical Association)", "High (Deterministic Line Flow)", "High (Direct P&L Accounting)",
+]
+ADVICE_ACTIONS = [
+    "Recalibrate `%s` PID controllers and enforce tighter operational limits. "
+    "Statistical association indicates elevated `%s` drives %s formation (%s).",
+    "Install pre-station optical triage upstream of `%s` to intercept defective parts "
+    "before they enter the constraint stage (%s).",
+    "Prioritize scrap reduction targets on the top defect family to recover direct material costs "
+    "and eliminate secondary rework loops.",
+]
+ADVICE_IMPACTS = [
+    "Simulated / advisory: Restoring `%s` to baseline envelope is projected to reduce %s "
+    "defects by ~40-60%%, recovering up to ~%.1f UPH of effective line capacity.",
+    "Simulated / advisory: Diverting rework from `%s` eliminates the %s rework penalty, "
+    "restoring bottleneck effective utilization toward target baseline.",
+    "Simulated / advisory: Cutting poor-quality disruptions by 30%% would recover ~$%s "
+    "in net operating profit, lifting gross margin by ~%.1f percentage points.",
+]
+COPQ_RECOVERY = 0.30
