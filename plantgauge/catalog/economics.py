@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plantgauge.catalog.base import CTES, pick, query, r
 from plantgauge.catalog.batches import table
 from plantgauge.catalog.flow import stations
-from plantgauge.operators import economics, flow
+from plantgauge.operators import batch, economics, flow
 
 N_BOOT = 200
 GRID = [(d, c, w) for d in (0.0, 10.0, 20.0, 50.0) for c in (0.0, 10.0) for w in (0.0, 15.0)]
@@ -34,14 +34,15 @@ FROM (SELECT *, lab + mat + ovh + scr + rwk + dwn AS cost FROM (
 
 
 CTES["plant_pnl"] = _pnl(
-    """SELECT (SELECT count(*) FROM inspection) AS units, total_scrap AS scrap, total_rework AS rework,
+    """SELECT (SELECT CAST(sum(units_in) AS BIGINT) FROM production) AS units, total_scrap AS scrap, total_rework AS rework,
               downtime_hours * 60.0 AS minutes, CASE WHEN stations > 0 THEN stations * 2 ELSE 10 END AS crew,
               line_throughput FROM line_summary""",
     "line_throughput,",
 )
 CTES["batch_pnl"] = _pnl(
-    """SELECT b.batch_id, total_inspected AS units, scrap_units AS scrap, rework_units AS rework,
-              downtime_hours * 60.0 AS minutes, 10 AS crew FROM batch_table b""",
+    """SELECT batch_id, CAST(sum(units_in) AS BIGINT) AS units, CAST(sum(scrap_units) AS BIGINT) AS scrap,
+              CAST(sum(rework_units) AS BIGINT) AS rework, sum(downtime_hours) * 60.0 AS minutes, 10 AS crew
+       FROM production GROUP BY batch_id""",
     "batch_id,",
 )
 PNL_DOUBLES = (
@@ -117,7 +118,7 @@ CTES["boot_margins"] = _what_if("SELECT * FROM boot_pnl", "rep,")
 
 
 def plant(t):
-    units = t.inspection.agg(F.count(F.lit(1)).alias("total_units"))
+    units = t.production.agg(F.sum("units_in").alias("total_units"))
     return economics.plant_pnl(flow.line_summary(stations(t)), units, t.economic)
 
 
@@ -128,13 +129,8 @@ def pnl(t):
 
 @query(oracle="SELECT * FROM batch_pnl", doubles=PNL_DOUBLES)
 def pnl_by_batch(t):
-    rows = table(t).select(
-        "batch_id",
-        F.col("total_inspected").alias("total_units"),
-        "scrap_units",
-        "rework_units",
-        (F.col("downtime_hours") * 60.0).alias("downtime_minutes"),
-    )
+    names = {"units_in": "total_units", "scrap_units": "scrap_units", "rework_units": "rework_units", "downtime_hours": "_h"}
+    rows = batch.production_sums(t.production, names).withColumn("downtime_minutes", F.col("_h") * 60.0)
     return economics.calculate_pnl(rows, t.economic, ["batch_id"])
 
 

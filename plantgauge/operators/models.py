@@ -34,7 +34,8 @@ def balanced_weights(df: DataFrame, label: str) -> Column:
 
 def forest(label: str, features_col: str = "features") -> RandomForestClassifier:
     return RandomForestClassifier(
-        numTrees=100, maxDepth=8, labelCol=label, featuresCol=features_col, weightCol="_w", seed=SEED
+        numTrees=100, maxDepth=8, labelCol=label, featuresCol=features_col, weightCol="_w", seed=SEED,
+        maxMemoryInMB=1024,  # more tree nodes per pass over the data
     )
 
 
