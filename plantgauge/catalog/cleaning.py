@@ -92,7 +92,8 @@ def impute_median(t):
     doubles="temperature speed pressure vibration",
 )
 def telemetry_medians(t):
-    return medians(t.process, fv.TELEMETRY)
+    middle = medians(t.process, fv.TELEMETRY)
+    return t.spark.range(1).select(*[F.lit(v).cast("double").alias(c) for c, v in middle.items()])
 
 
 @query(oracle="SELECT unit_id, strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS ts FROM filled_times")

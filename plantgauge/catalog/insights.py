@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from plantgauge import fixed_values as fv
 from plantgauge.catalog.association import stats  # noqa: F401  (registers the statistics)
 from plantgauge.catalog.base import CTES, query, r
-from plantgauge.catalog.batches import DEF, table
+from plantgauge.catalog.batches import DEF
 from plantgauge.catalog.cleaning import sql_category
-from plantgauge.catalog.economics import plant
+from plantgauge.catalog.economics import plant  # noqa: F401  (registers plant_pnl)
 from plantgauge.catalog.evaluation import scored
-from plantgauge.catalog.flow import stations
-from plantgauge.operators import association, batch, evaluation, flow, insights
+from plantgauge.operators import batch, insights
+from plantgauge.plans.plant_report import PlantReport
 
 CTES["family_counts"] = f"""
 SELECT defect_category AS family, count(*) AS n FROM inspection
@@ -32,19 +32,11 @@ SELECT f.*, t.parameter, t.rho, t.n AS n_batches_used, (SELECT count(*) FROM bat
 FROM top_family f, top_factor t, line_summary l, plant_pnl p, counts"""
 
 
-def facts(t):
-    rows = scored(t)
-    rates = evaluation.binary_rates(evaluation.confusion_counts(rows))
-    sure = evaluation.selective_metrics(rows).select(F.struct("*")).scalar()
-    rates = rates.withColumns({c: sure[c] for c in ("uncertain_count", "uncertain_fraction")})
-    ranked = association.ranked_factors(association.overall_pairs(table(t), fv.TELEMETRY))
-    return insights.gather(
-        t.spark,
-        quality_family=insights.top_defect_family(t.inspection),
-        factor=insights.top_factor(ranked),
-        flow=insights.flow_facts(flow.line_summary(stations(t))),
-        economics=insights.economics_facts(plant(t)),
-        quality=insights.quality_facts(rates),
+def report(t) -> PlantReport:
+    return PlantReport(
+        t.inspection, t.process, t.production, t.economic, scored=scored(t),
+        units=t.production.agg(F.sum("units_in").alias("total_units")),
+        parameters=fv.TELEMETRY, categories=(), hours_per_batch=8.0,
     )
 
 
@@ -101,7 +93,7 @@ NUMBERS = {
     doubles="value",
 )
 def computed_insights(t):
-    rows = insights.computed_insights(facts(t))
+    rows = report(t).insights()
     numbers = rows.select("category", F.explode("evidence").alias("name", "value"))
     return numbers.where(F.col("name") != "p_value")  # the tail probability has no SQL twin
 
@@ -115,7 +107,7 @@ def computed_insights(t):
                UNION ALL SELECT 6, 'Gross Margin Impact', printf('%.1f%% Margin', margin * 100), printf('%.1f%% Operating Margin', margin * 100), true FROM facts"""
 )
 def impact_chain(t):
-    return insights.impact_chain(facts(t)).drop("detail")
+    return report(t).impact_chain().drop("detail")
 
 
 @query(
@@ -127,7 +119,7 @@ def impact_chain(t):
     doubles="projected_profit_gain projected_margin_points",
 )
 def advisories(t):
-    return insights.advisories(facts(t)).select("category", "title", "projected_profit_gain", "projected_margin_points")
+    return report(t).advisories().select("category", "title", "projected_profit_gain", "projected_margin_points")
 
 
 @query(
@@ -137,14 +129,9 @@ def advisories(t):
     doubles="defect_rate_pct line_throughput bottleneck_utilization_pct revenue cost profit margin_pct",
 )
 def kpi_row(t):
-    known = insights.gather(
-        t.spark,
-        flow=insights.flow_facts(flow.line_summary(stations(t))),
-        economics=insights.economics_facts(plant(t)),
-    )
-    return insights.kpi_row(known, t.inspection)
+    return report(t).kpis()
 
 
 @query()
 def impact_narrative(t):
-    return insights.impact_narrative(facts(t))
+    return report(t).narrative()

@@ -9,7 +9,8 @@ from plantgauge.catalog.base import CTES, query
 from plantgauge.catalog.batches import DEF, table
 from plantgauge.catalog.routing import routed, scored_units
 from plantgauge.catalog.splits import split_features
-from plantgauge.operators import evaluation, models, routing, splits
+from plantgauge.operators import models, routing, splits
+from plantgauge.plans.classifier_report import ClassifierReport
 from plantgauge.session import cut_lineage, fresh_folder
 from plantgauge.sources import sinks, tables
 from plantgauge.sources.driver_views import VIEWS
@@ -41,12 +42,23 @@ def _embedding_model(t):
     return model, rows
 
 
+def classifier(t) -> ClassifierReport:
+    return ClassifierReport(cut_lineage(split_features(t)))
+
+
 @query()
 def logreg_embeddings(t):
-    model, rows = _embedding_model(t)
-    scored = models.embedding_scores(model, rows.where(F.col("split") == "test"))
-    cells = evaluation.confusion_matrix(scored, (), "actual_class", "predicted_class")
-    return evaluation.per_class_metrics(cells, (), "actual_class", "predicted_class")
+    return classifier(t).per_class()
+
+
+@query()
+def logreg_operating_point(t):
+    return classifier(t).operating_point()
+
+
+@query()
+def logreg_calibration(t):
+    return classifier(t).calibration()
 
 
 @query()

@@ -116,8 +116,8 @@ def impute_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     df = df.withColumns({c: to_number(c) for c in present})
     if not present:
         return df
-    middle = medians(df.select(*present), present).select(F.struct(*present)).scalar()
-    return df.withColumns({c: F.coalesce(F.col(c), middle[c], F.lit(0.0)) for c in present})
+    middle = medians(df.select(*present), present)
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(middle[c] or 0.0)) for c in present})
 
 
 def standard_labels(df: DataFrame) -> DataFrame:

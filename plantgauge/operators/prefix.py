@@ -183,15 +183,42 @@ def percentiles(
     return found.select(*keys, "n", *out)
 
 
-def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row of exact medians, a column per input column (null if all null)."""
-    long = df.select(
-        F.explode(
-            F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns])
-        ).alias("e")
-    ).select("e.*")
-    found = percentiles(long, ["name"], "value", {"median": 0.5})
-    return found.agg(*[F.max(F.when(F.col("name") == c, F.col("median"))).alias(c) for c in columns])
+def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
+    """Exact median of each column, None if all null.
+
+    Like :func:`percentiles` with the column name as key, but the sketches of all
+    columns come out of one plain aggregate: a row of marks that becomes literals.
+    """
+    values = {c: F.col(c).cast("double") for c in columns}
+    marks = [0.5 - BRACKET, 0.5 + BRACKET]
+    sketch = df.agg(
+        *[F.count(v).alias(f"n_{i}") for i, v in enumerate(values.values())],
+        *[F.percentile_approx(v, marks, SKETCH_ACCURACY).alias(f"m_{i}") for i, v in enumerate(values.values())],
+    ).first()
+    entries = []
+    for i, (c, v) in enumerate(values.items()):
+        if not sketch[f"n_{i}"]:
+            continue
+        zone, kept = F.lit(0), v
+        if sketch[f"n_{i}"] > SMALL_GROUP:
+            low, high = sketch[f"m_{i}"]
+            zone = (v >= low).cast("int") + (v > high).cast("int")
+            kept = F.when(v.between(low, high), v)
+        entries.append(F.when(v.isNotNull(), F.struct(F.lit(c).alias("name"), zone.alias("zone"), kept.alias("v"))))
+    if not entries:
+        return {c: None for c in columns}
+    rows = df.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*")
+    hist = rows.groupBy("name", "zone", "v").agg(F.count(F.lit(1)).alias("k"))
+    walked = running(hist, ["name"], ["zone", "v"], {"k": "k"})
+    last = F.col("total_k") - 1
+
+    def at(place):
+        return F.max(F.when((F.col("before_k") <= place) & (place < F.col("before_k") + F.col("k")), F.col("v")))
+
+    half = last * F.lit(0.5)
+    found = walked.groupBy("name").agg(((at(F.floor(half)) + at(F.ceil(half))) / 2.0).alias("median")).collect()
+    by_name = {row["name"]: row["median"] for row in found}  # one row per column
+    return {c: by_name.get(c) for c in columns}
 
 
 def filled(df: DataFrame, row_key: Sequence[str], value: str, default) -> DataFrame:
@@ -201,31 +228,20 @@ def filled(df: DataFrame, row_key: Sequence[str], value: str, default) -> DataFr
     value are joined back. ``row_key`` must identify a row.
     """
     narrow = sliced(df.select(*row_key, value), [], list(row_key))
-    local = Window.partitionBy(SLICE)
-    back = local.orderBy(*row_key).rowsBetween(Window.unboundedPreceding, 0)
-    # backwards, because a frame that ends at the last row is rescanned for every row
-    ahead = local.orderBy(*[F.desc(k) for k in row_key]).rowsBetween(Window.unboundedPreceding, 0)
-    inside = narrow.withColumns(
-        {
-            "_prev": F.last(value, ignorenulls=True).over(back),
-            "_next": F.last(value, ignorenulls=True).over(ahead),
-        }
-    ).where(F.col(value).isNull())
+    back = Window.partitionBy(SLICE).orderBy(*row_key).rowsBetween(Window.unboundedPreceding, 0)
+    inside = narrow.withColumn("_prev", F.last(value, ignorenulls=True).over(back)).where(F.col(value).isNull())
     key = F.struct(*row_key)
     known = F.col(value).isNotNull()
     ends = narrow.groupBy(SLICE).agg(
         F.max_by(F.when(known, F.col(value)), F.when(known, key)).alias("_last"),
         F.min_by(F.when(known, F.col(value)), F.when(known, key)).alias("_first"),
     )
-    slices = Window.orderBy(SLICE)  # one row per slice
-    carry = ends.select(
-        SLICE,
-        F.last("_last", ignorenulls=True).over(slices.rowsBetween(Window.unboundedPreceding, -1)).alias("_c_prev"),
-        F.first("_first", ignorenulls=True).over(slices.rowsBetween(1, Window.unboundedFollowing)).alias("_c_next"),
-    )
+    slices = Window.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)  # one row per slice
+    carry = ends.select(SLICE, F.last("_last", ignorenulls=True).over(slices).alias("_c_prev"))
+    # what a forward fill leaves open comes before every known value, so the first one fills it
+    first = ends.agg(F.min_by("_first", F.when(F.col("_first").isNotNull(), F.col(SLICE)))).scalar()
     gaps = _stitch(inside, carry, []).select(
-        *[F.col(k).alias(f"_r_{k}") for k in row_key],
-        F.coalesce("_prev", "_c_prev", "_next", "_c_next").alias("_fill"),
+        *[F.col(k).alias(f"_r_{k}") for k in row_key], F.coalesce(F.col("_prev"), F.col("_c_prev"), first).alias("_fill")
     )
     on = F.col(value).isNull()
     for k in row_key:
