@@ -103,8 +103,8 @@ def factor_statistics(p: Pairs) -> DataFrame:
     outside = F.abs(F.col("x") - F.col("mean")) > 2.0 * F.col("std")
     agg = rows.groupBy(*p.keys).agg(
         F.count(F.lit(1)).alias("n"),
-        F.corr("rx", "ry").alias("_rho"),
-        F.stddev_pop("ry").alias("_sy"),
+        F.covar_pop("rx", "ry").alias("_cov"),  # corr itself fails on a constant side under ANSI
+        (F.stddev_pop("rx") * F.stddev_pop("ry")).alias("_spread"),
         F.count(F.when(high, 1)).alias("n_high"),
         F.count(F.when(~high, 1)).alias("n_low"),
         F.avg(F.when(high, F.col("y"))).alias("_yh"),
@@ -118,8 +118,10 @@ def factor_statistics(p: Pairs) -> DataFrame:
         F.count(F.when(outside, 1)).alias("affected_batches_count"),
         F.coalesce(F.avg(F.when(outside, F.col("y"))), F.lit(0.0)).alias("affected_defect_rate"),
     )
-    rho = F.when(F.col("_sy") > 0, clamp(F.col("_rho"), -1.0, 1.0)).otherwise(F.lit(0.0))
-    out = agg.withColumn("rho", F.coalesce(rho, F.lit(0.0)))
+    rho = F.when(F.col("_spread") > 0, clamp(F.col("_cov") / F.col("_spread"), -1.0, 1.0)).otherwise(F.lit(0.0))
+    # perfect agreement must come out as exactly one, however the sums were added up
+    near_one = F.abs(rho) > 1.0 - 1e-12
+    out = agg.withColumn("rho", F.when(near_one, F.signum(rho)).otherwise(rho))
     dof = F.col("n") - 2
     gap = F.greatest(F.lit(0.0), F.lit(1.0) - F.col("rho") * F.col("rho"))
     t = F.when(gap > 0, F.col("rho") * F.sqrt(dof / gap)).otherwise(
