@@ -108,7 +108,7 @@ UNITS = "unit_id string, batch_id string, timestamp timestamp, label string"
 
 
 def arrive(spark, folder, rows, name):
-    df = spark.createDataFrame([(u, b, pd.Timestamp(t), l) for u, b, t, l in rows], UNITS)
+    df = spark.createDataFrame([(u, b, pd.Timestamp(t).to_pydatetime(), l) for u, b, t, l in rows], UNITS)
     df.coalesce(1).write.mode("append").parquet(str(folder))
 
 
@@ -129,7 +129,7 @@ def test_stream_equals_batch(spark, tmp_path):
     arrive(spark, src, [("late", "B1", "2026-01-01 03:00", "fail")], "d")
     go()
     got = spark.read.parquet(out)
-    rows = spark.createDataFrame([(u, b, pd.Timestamp(t), l) for u, b, t, l in first + second], UNITS)
+    rows = spark.createDataFrame([(u, b, pd.Timestamp(t).to_pydatetime(), l) for u, b, t, l in first + second], UNITS)
     want = running_totals.defect_windows(rows)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0  # the late unit changes nothing
     last = running_totals.cumulative(got).orderBy(F.desc("window_start")).first()
