@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plantgauge import fixed_values as fv
 from plantgauge.functions.columns import is_defective, to_number
-from plantgauge.operators.prefix import filled, medians, numbered
+from plantgauge.operators.prefix import filled, medians, numbered, patched
 
 
 def alias_map(kind: str) -> dict[str, str]:
@@ -103,11 +103,7 @@ def fill_unit_ids(df: DataFrame, row_key: Sequence[str]) -> DataFrame:
         *[F.col(k).alias(f"_r_{k}") for k in row_key],
         F.concat(F.lit("U"), (F.lit(fv.FIRST_FALLBACK_UNIT) + F.col("row_index")).cast("string")).alias("_id"),
     )
-    on = F.col("unit_id").isNull()
-    for k in row_key:
-        on = on & (F.col(k) == F.col(f"_r_{k}"))
-    out = df.join(spots, on, "left").drop(*[f"_r_{k}" for k in row_key])
-    return out.withColumn("unit_id", F.coalesce("unit_id", "_id")).drop("_id")
+    return patched(df, row_key, "unit_id", spots, F.col("_id"))
 
 
 def impute_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -129,7 +125,7 @@ def clean_text(c: str, default: str) -> Column:
 
 
 def clean_inspection(df: DataFrame, row_key: Sequence[str]) -> DataFrame:
-    out = fill_unit_ids(fill_timestamps(df, row_key), row_key)
+    out = fill_timestamps(fill_unit_ids(df, row_key), row_key)
     if "label" in out.columns:
         out = standard_labels(out)
     if "defect_category" in out.columns:

@@ -73,8 +73,9 @@ def _matrix(unit: bool):
     return matrix
 
 
-def _by_broadcast(queries: DataFrame, bank: DataFrame, cosine: bool, k: int) -> DataFrame:
-    """queries: id, vec; bank: class, vec (checked to be small). -> id, class, distance."""
+def _by_broadcast(queries: DataFrame, bank: DataFrame, cosine: bool, k: int, closest_only: bool = False) -> DataFrame:
+    """queries: id, vec; bank: class, vec (checked to be small). -> id, class, distance,
+    for every class or only for the closest one; nothing is shuffled."""
     pdf = bank.toPandas()
     matrix, nearest = _matrix(cosine), _nearest(k, cosine)
     sides = {c: matrix(g["vec"]) for c, g in pdf.groupby("class")}
@@ -82,14 +83,21 @@ def _by_broadcast(queries: DataFrame, bank: DataFrame, cosine: bool, k: int) ->
     kind = queries.schema["id"].dataType.simpleString()
 
     def score(batches):
+        import numpy as np
         import pandas as pd
 
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            q = matrix(pdf["vec"])
-            for c, b in sent.value.items():
-                yield pd.DataFrame({"id": pdf["id"].values, "class": c, "distance": nearest(q, b).mean(axis=1)})
+            q, ids = matrix(pdf["vec"]), pdf["id"].values
+            each = {c: nearest(q, b).mean(axis=1) for c, b in sorted(sent.value.items())}
+            if closest_only:
+                names, d = list(each), np.column_stack(list(each.values()))
+                best = np.round(d, 9).argmin(axis=1)
+                yield pd.DataFrame({"id": ids, "class": [names[i] for i in best], "distance": d.min(axis=1)})
+            else:
+                for c, d in each.items():
+                    yield pd.DataFrame({"id": ids, "class": c, "distance": d})
 
     return queries.mapInPandas(score, f"id {kind}, class string, distance double")
 
@@ -188,12 +196,12 @@ def _by_blocks(queries: DataFrame, bank: DataFrame, cosine: bool, k: int, block_
 
 def class_distances(
     queries: DataFrame, bank: DataFrame, k: int = fv.NEIGHBOURS, cosine: bool = True,
-    block_rows: int = BLOCK_ROWS, force_blocks: bool = False,
+    block_rows: int = BLOCK_ROWS, force_blocks: bool = False, closest_only: bool = False,
 ) -> DataFrame:
     """Mean distance to the k nearest rows of each class: id, class, distance.
 
     ``queries`` has id, vec; ``bank`` has id, class, vec. A class with fewer than
-    k rows uses all of them.
+    k rows uses all of them. ``closest_only`` keeps the class with the least distance.
     """
     q = queries.select("id", vectors.doubles(F.col("vec")).alias("vec"))
     b = bank.select("id", F.col("class").cast("string").alias("class"), vectors.doubles(F.col("vec")).alias("vec"))
@@ -201,19 +209,18 @@ def class_distances(
     if n == 0:
         return q.select("id", F.lit(None).cast("string").alias("class"), F.lit(None).cast("double").alias("distance")).limit(0)
     if small:
-        return _by_broadcast(q, b.select("class", "vec"), cosine, k)
-    return _by_blocks(q, b, cosine, k, block_rows)
+        return _by_broadcast(q, b.select("class", "vec"), cosine, k, closest_only)
+    each = _by_blocks(q, b, cosine, k, block_rows)
+    if not closest_only:
+        return each
+    best = F.min_by(F.struct("class", "distance"), F.struct(F.round("distance", 9), F.col("class")))
+    return each.groupBy("id").agg(best.alias("b")).select("id", "b.*")
 
 
 def novelty_scores(queries: DataFrame, bank: DataFrame, k: int = fv.NEIGHBOURS, **how) -> DataFrame:
     """Least class distance per query: id, novelty_score, nearest_class."""
-    best = F.min_by(F.struct("distance", "class"), F.struct(F.round("distance", 9), F.col("class")))
-    return (
-        class_distances(queries, bank, k, True, **how)
-        .groupBy("id")
-        .agg(best.alias("b"))
-        .select("id", F.col("b.distance").alias("novelty_score"), F.col("b.class").alias("nearest_class"))
-    )
+    found = class_distances(queries, bank, k, True, closest_only=True, **how)
+    return found.select("id", F.col("distance").alias("novelty_score"), F.col("class").alias("nearest_class"))
 
 
 def reference_bank(rows: DataFrame, size: int = fv.BANK_ROWS, seed: int = 42) -> DataFrame:

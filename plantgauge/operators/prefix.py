@@ -243,8 +243,14 @@ def filled(df: DataFrame, row_key: Sequence[str], value: str, default) -> DataFr
     gaps = _stitch(inside, carry, []).select(
         *[F.col(k).alias(f"_r_{k}") for k in row_key], F.coalesce(F.col("_prev"), F.col("_c_prev"), first).alias("_fill")
     )
-    on = F.col(value).isNull()
+    return patched(df, row_key, value, gaps, F.coalesce(F.col("_fill"), F.lit(default).cast(df.schema[value].dataType)))
+
+
+def patched(df: DataFrame, row_key: Sequence[str], value: str, gaps: DataFrame, fill: Column) -> DataFrame:
+    """Put ``fill`` where ``value`` is null. ``gaps`` has one row per such row, its key
+    prefixed with _r_. Rows that have a value never move; only the others are joined."""
+    on = F.lit(True)
     for k in row_key:
-        on = on & (F.col(k) == F.col(f"_r_{k}"))
-    out = df.join(gaps, on, "left").drop(*[f"_r_{k}" for k in row_key])
-    return out.withColumn(value, F.coalesce(value, "_fill", F.lit(default).cast(df.schema[value].dataType))).drop("_fill")
+        on = on & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    lacking = df.where(F.col(value).isNull()).join(gaps, on, "left").withColumn(value, fill).select(*df.columns)
+    return df.where(F.col(value).isNotNull()).unionByName(lacking)
