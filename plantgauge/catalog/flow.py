@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from plantgauge.catalog.base import CTES, query, r
 from plantgauge.operators import flow
 

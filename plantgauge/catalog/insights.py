@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plantgauge import fixed_values as fv
-from plantgauge.catalog.association import stats  # noqa: F401  (registers the statistics)
+from plantgauge.catalog import association, economics  # noqa: F401  (register subqueries used below)
 from plantgauge.catalog.base import CTES, query, r
 from plantgauge.catalog.batches import DEF
 from plantgauge.catalog.cleaning import sql_category
-from plantgauge.catalog.economics import plant  # noqa: F401  (registers plant_pnl)
 from plantgauge.catalog.evaluation import scored
 from plantgauge.operators import batch, insights
 from plantgauge.plans.plant_report import PlantReport

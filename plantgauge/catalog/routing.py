@@ -12,6 +12,7 @@ from plantgauge.catalog.vectors import BANK, labelled, novelty
 from plantgauge.functions import draws
 from plantgauge.functions.columns import is_defective
 from plantgauge.operators import neighbors, routing
+from plantgauge.session import cut_lineage
 
 CTES["unit_scores"] = f"""
 SELECT unit_id, batch_id, variant, {DEF} AS actual, coalesce(trim(defect_category), 'None') AS family,
@@ -105,13 +106,13 @@ def triage_counts_by_batch(t):
 def verdict_rows(t):
     _, classes = multiclass_logits(t)
     rows = labelled(t)
-    scores = novelty(t)
+    scores = cut_lineage(novelty(t))  # used for the threshold and for the verdicts
     limit = neighbors.score_threshold(
         scores.where(F.col("split") == "val"), "novelty_score", fv.NOVELTY_PERCENTILE, fv.EMPTY_NOVELTY_THRESHOLD
     ).first()
     normal = rows.where((F.col("split") == "train") & (F.col("class") == fv.NORMAL_CLASS)).select("id", "vec")
     asked = rows.where(F.col("split") != "train")
-    far = neighbors.bank_scores(asked.select("id", "vec"), neighbors.reference_bank(normal, BANK))
+    far = cut_lineage(neighbors.bank_scores(asked.select("id", "vec"), neighbors.reference_bank(normal, BANK)))
     good_val = far.join(asked.where((F.col("split") == "val") & (F.col("class") == fv.NORMAL_CLASS)).select("id"), "id")
     edge = neighbors.score_threshold(good_val, "anomaly_score", fv.ANOMALY_PERCENTILE, fv.EMPTY_ANOMALY_THRESHOLD).first()
     out = (

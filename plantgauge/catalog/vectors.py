@@ -8,7 +8,7 @@ from plantgauge import fixed_values as fv
 from plantgauge.catalog.base import CTES, query, u
 from plantgauge.catalog.evaluation import sql_wilson
 from plantgauge.catalog.splits import split_features
-from plantgauge.functions.columns import per_unit, wilson
+from plantgauge.functions.columns import wilson
 from plantgauge.operators import features, neighbors
 
 BANK = 60  # test bank; smaller than the normal class, so that the draw matters
@@ -271,5 +271,5 @@ CTES["feature_scale"] = "SELECT " + ", ".join(
 )
 def zscore_novel(t):
     rows, names = features.tabular(t.inspection, t.process)
-    scored = features.max_abs_z(rows, names, features.scale(rows, names))
+    scored = features.max_abs_z(rows, features.scale(rows, names))
     return scored.select("unit_id", "anomaly_z", (F.col("anomaly_z") > fv.NOVEL_Z).alias("is_novel"))

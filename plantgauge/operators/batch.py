@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plantgauge import fixed_values as fv
-from plantgauge.functions.columns import has_category, is_defective, per_unit, rounded
+from plantgauge.functions.columns import has_category, is_defective, per_unit
 from plantgauge.operators.bounds import column_values
 from plantgauge.operators.prefix import percentiles, running
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, functions as F
 
 # a narrow table of this many rows is some tens of MB on each executor
@@ -36,11 +34,3 @@ def column_values(df: DataFrame, column: str, limit: int = PIVOT_VALUES) -> list
     if len(found) > limit:
         raise ValueError(f"{column} has more than {limit} values; use the long form")
     return sorted(found)
-
-
-def null_safe_on(left: Sequence[str], prefix: str = "_r_"):
-    """Null-safe equality of same-named keys, the right ones carrying a prefix."""
-    on = F.lit(True)
-    for k in left:
-        on = on & F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
-    return on

@@ -59,15 +59,15 @@ def tabular(inspection: DataFrame, process: DataFrame | None = None) -> tuple[Da
     return rows, names
 
 
-def scale(rows: DataFrame, names: Sequence[str]) -> DataFrame:
-    """One row: mean and population deviation (+1e-5) of each feature."""
-    return rows.agg(
+def scale(rows: DataFrame, names: Sequence[str]) -> dict[str, tuple[float, float]]:
+    """Mean and population deviation (+1e-5) of each feature."""
+    found = rows.agg(
         *[F.avg(c).alias(f"mean_{c}") for c in names], *[(F.stddev_pop(c) + 1e-5).alias(f"std_{c}") for c in names]
-    )
+    ).first()
+    return {c: (found[f"mean_{c}"] or 0.0, found[f"std_{c}"] or 1e-5) for c in names}
 
 
-def max_abs_z(rows: DataFrame, names: Sequence[str], stats: DataFrame) -> DataFrame:
+def max_abs_z(rows: DataFrame, stats: dict[str, tuple[float, float]]) -> DataFrame:
     """Largest absolute z-score over the features."""
-    s = stats.select(F.struct("*")).scalar()
-    z: list[Column] = [F.abs((F.col(c) - s[f"mean_{c}"]) / s[f"std_{c}"]) for c in names]
+    z: list[Column] = [F.abs((F.col(c) - F.lit(mean)) / F.lit(std)) for c, (mean, std) in stats.items()]
     return rows.withColumn("anomaly_z", F.greatest(*z) if len(z) > 1 else z[0])

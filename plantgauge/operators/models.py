@@ -46,7 +46,7 @@ class TwoStage:
     names: list[str]
     detector: PipelineModel
     category: PipelineModel | None
-    scale: DataFrame
+    scale: dict[str, tuple[float, float]]
 
 
 def prepare(inspection: DataFrame, process: DataFrame | None) -> tuple[DataFrame, list[str]]:
@@ -94,7 +94,7 @@ def score_two_stage(model: TwoStage, prepared: DataFrame) -> DataFrame:
         out = model.category.transform(out).drop("features", "_best", "_fp", "_fr")
     else:
         out = out.withColumn("family", F.lit(fv.DEFAULT_CATEGORY))
-    out = features.max_abs_z(out, model.names, model.scale)
+    out = features.max_abs_z(out, model.scale)
     return out.withColumns(
         {
             "confidence": F.greatest("p_good", "p_defective"),

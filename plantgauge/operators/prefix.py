@@ -207,7 +207,7 @@ def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
         entries.append(F.when(v.isNotNull(), F.struct(F.lit(c).alias("name"), zone.alias("zone"), kept.alias("v"))))
     if not entries:
         return {c: None for c in columns}
-    rows = df.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*")
+    rows = df.select(F.explode(F.array(*entries)).alias("e")).where(F.col("e").isNotNull()).select("e.*")
     hist = rows.groupBy("name", "zone", "v").agg(F.count(F.lit(1)).alias("k"))
     walked = running(hist, ["name"], ["zone", "v"], {"k": "k"})
     last = F.col("total_k") - 1
