@@ -11,7 +11,7 @@ from plantgauge.catalog.splits import split_features
 from plantgauge.functions.columns import wilson
 from plantgauge.operators import features, neighbors
 
-BANK = 60  # test bank; smaller than the normal class, so that the draw matters
+BANK = fv.BANK_ROWS  # the operator's own bank size
 
 CTES["pair_distances"] = """
 SELECT q.vec_id AS id, q.split, q.category, b.category AS class, b.vec_id AS other,

@@ -132,3 +132,11 @@ def test_hash_sample_is_stable(spark):
     a = [r["id"] for r in splits.hash_sample(df, "id", 4).collect()]
     b = [r["id"] for r in splits.hash_sample(df.repartition(9), "id", 4).collect()]
     assert a == b and len(set(a)) == 4
+
+
+def test_bank_is_the_smallest_hashes(spark):
+    df = frame(spark, np.arange(500.0)[:, None])
+    bank = sorted(r["id"] for r in neighbors.reference_bank(df, 60).collect())
+    every = df.orderBy(F.md5(F.concat_ws("|", F.col("id").cast("string"), F.lit("42"))), "id").limit(60)
+    assert bank == sorted(r["id"] for r in every.collect())
+    assert neighbors.reference_bank(df, 1000).count() == 500
