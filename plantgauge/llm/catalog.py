@@ -49,3 +49,27 @@ def op10_license_scan(spark, folder):
     from plantgauge.llm.license_scan import license_scan
 
     return license_scan(table(spark, folder, "documents").select("doc_id", "text"))[0]
+
+
+@query
+def op6_pii(spark, folder):
+    """Personal data of every document."""
+    from plantgauge.llm.pii import BASE, base_count, find_personal_data, span_digest
+
+    rows = find_personal_data(table(spark, folder, "documents").select("doc_id", "text"))
+    spans = F.col("pii")
+    return rows.select(
+        "doc_id",
+        *[base_count(spans, kind).alias(f"n_{kind}") for kind in BASE],
+        F.sha2(span_digest(spans, True), 256).alias("base_sha256"),
+        span_digest(spans, False).alias("spans"),
+    )
+
+
+@query
+def op5_sentencepiece(spark, folder):
+    """Token ids of every document with the installed public piece model."""
+    from plantgauge.llm.sentencepieces import encode_documents
+
+    rows = encode_documents(table(spark, folder, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_tokens", "token_ids", "round_trip")
