@@ -73,3 +73,11 @@ def op5_sentencepiece(spark, folder):
 
     rows = encode_documents(table(spark, folder, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_tokens", "token_ids", "round_trip")
+
+
+@query
+def op8_near_dedup(spark, folder):
+    """Near-duplicate class of every document."""
+    from plantgauge.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
