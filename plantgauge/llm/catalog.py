@@ -81,3 +81,14 @@ def op8_near_dedup(spark, folder):
     from plantgauge.llm.near_dedup import near_duplicates
 
     return near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query
+def op1_decontamination(spark, folder):
+    """Every document and benchmark item it leaks."""
+    from plantgauge.llm.decontaminate import find_leaks
+
+    rows = find_leaks(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
+    return rows.select("doc_id", F.inline("leaks")).select(
+        "doc_id", F.col("item").alias("item_id"), *[F.round(c, 6).alias(c) for c in ("lcs_share", "answer_share", "cosine")]
+    )

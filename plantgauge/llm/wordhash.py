@@ -9,6 +9,8 @@ _LETTER = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+# every ASCII character but letters and digits separates
+_MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -32,14 +34,17 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str], at_marks: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts in order, and the bounds: the words of
     text i are ``hashes[bounds[i]:bounds[i + 1]]``. Words are what stands between
-    ASCII white space."""
-    data = np.frombuffer("\n".join(texts).encode("utf-8", "surrogatepass"), dtype=np.uint8)
-    lengths = np.fromiter((len(t.encode("utf-8", "surrogatepass")) + 1 for t in texts), dtype=np.int64, count=len(texts))
+    ASCII white space, or ``at_marks`` between ASCII characters that are neither
+    letters nor digits."""
+    gaps = _MARKS if at_marks else _SPACE
+    coded = [t.encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer(b"\n".join(coded), dtype=np.uint8)
+    lengths = np.fromiter((len(t) + 1 for t in coded), dtype=np.int64, count=len(texts))
     ends_of_text = np.cumsum(lengths)
-    space = np.concatenate([[True], _SPACE[data], [True]])
+    space = np.concatenate([[True], gaps[data], [True]])
     starts = np.flatnonzero(space[:-2] & ~space[1:-1])
     ends = np.flatnonzero(~space[1:-1] & space[2:]) + 1
     bounds = np.concatenate([[0], np.searchsorted(starts, ends_of_text - 1, side="left")]) if len(texts) else np.zeros(1, dtype=np.int64)
