@@ -92,3 +92,12 @@ def op1_decontamination(spark, folder):
     return rows.select("doc_id", F.inline("leaks")).select(
         "doc_id", F.col("item").alias("item_id"), *[F.round(c, 6).alias(c) for c in ("lcs_share", "answer_share", "cosine")]
     )
+
+
+@query
+def op4_html_extraction(spark, folder):
+    """Main text of every page."""
+    from plantgauge.llm.html_extract import extract_articles
+
+    rows = extract_articles(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
