@@ -101,3 +101,12 @@ def op4_html_extraction(spark, folder):
 
     rows = extract_articles(table(spark, folder, "pages").select("page_id", "url", "html"))
     return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op3_repeated_strings(spark, folder):
+    """Bytes of every document that a repeated string of 400 bytes covers."""
+    from plantgauge.llm.repeated_strings import drop_repeated_strings
+
+    rows = drop_repeated_strings(table(spark, folder, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
