@@ -110,3 +110,11 @@ def op3_repeated_strings(spark, folder):
 
     rows = drop_repeated_strings(table(spark, folder, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op2_near_passages(spark, folder):
+    """Every passage of a document that another document holds too."""
+    from plantgauge.llm.near_passages import near_passages
+
+    return near_passages(table(spark, folder, "documents").select("doc_id", "text"))
