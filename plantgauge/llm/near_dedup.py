@@ -7,10 +7,11 @@ stops as soon as its next arrival is later than every register. The share of
 equal registers estimates the probability Jaccard similarity of two documents.
 
 Bands of registers put documents into buckets. Equal texts are one node. In each
-bucket the smallest and the largest node are compared with all others, components
-are formed, and only documents of a bucket that are still apart are compared with
-each other, so no link between different texts is lost and a group of n similar
-texts costs about 2n comparisons a band. A comparison is first made on signatures
+bucket the smallest, the largest and then the most typical node (fewest shingles of
+its own) are compared with all others and components are formed. Documents with too
+many shingles of their own to have a partner are put aside, and only what a bucket
+then still holds apart is compared pair by pair, so no link between different texts
+is lost and a group of n similar texts costs about 3n comparisons a band. A comparison is first made on signatures
 and then exactly, on the shingle sets.
 """
 
@@ -149,16 +150,52 @@ def near_links(df: DataFrame, text: str = "text") -> DataFrame:
     texts = stored(rows.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "texts")
     links = stored(similar(candidates, texts), "links")
 
-    # what a bucket still holds apart
+    # what a bucket still holds apart, without documents that cannot have a partner
+    apart = still_apart(buckets.select("band", "node"), links)
+    apart = stored(apart.join(own_shares(texts.join(apart.select("node").distinct(), "node", "left_semi")), "node"), "apart")
+    typical = apart.groupBy("band").agg(F.min(F.struct("own", "node")).alias("c")).select("band", F.col("c.node").alias("c"))
+    again = apart.join(typical, "band").where("node <> c").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
+    again = stored(again.join(stars, ["a", "b"], "left_anti"), "pairs")
+    links = stored(links.unionByName(similar(stored(agreeing(again, sigs), "pairs"), texts)), "links")
+
+    rest = stored(still_apart(apart.select("band", "node"), links), "apart")
+    one, two = rest.select("band", F.col("node").alias("a"), F.col("label").alias("la")), rest.select("band", F.col("node").alias("b"), F.col("label").alias("lb"))
+    pairs = one.join(two, "band").where("la < lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = pairs.join(stars.unionByName(again), ["a", "b"], "left_anti")
+    more = similar(stored(agreeing(pairs, sigs), "pairs"), texts)
+    return stored(links.unionByName(more), "links")
+
+
+def still_apart(buckets: DataFrame, links: DataFrame) -> DataFrame:
+    """(band, node, label) of the buckets whose nodes are in several components."""
     labels = components(links)
     apart = buckets.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
     mixed = apart.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("band")
-    apart = stored(apart.join(mixed, "band", "left_semi"), "apart")
-    one, two = apart.select("band", F.col("node").alias("a"), F.col("label").alias("la")), apart.select("band", F.col("node").alias("b"), F.col("label").alias("lb"))
-    rest = one.join(two, "band").where("la < lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = rest.join(stars, ["a", "b"], "left_anti")
-    more = similar(stored(agreeing(rest, sigs), "pairs"), texts)
-    return stored(links.unionByName(more), "links")
+    return apart.join(mixed, "band", "left_semi")
+
+
+def own_shares(texts: DataFrame) -> DataFrame:
+    """(node, own): the share of a document's shingles that no other of these
+    documents has, where it does not rule out a partner: a document similar to
+    another by 0.8 shares at least 0.8 of its own shingles."""
+
+    def explode(batches):
+        for batch in batches:
+            column = batch.column(1).to_pylist()
+            for a, b in chunks([len(t) for t in column], 1_500_000):
+                words, bounds = word_hashes([t.lower() for t in column[a:b]])
+                s, t, _ = shingle_hashes(words, bounds, SHINGLE_WORDS)
+                s, t, _ = weighted_elements(s, t)
+                sizes = np.bincount(t, minlength=b - a)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(a + t)), pa.array(s.view(np.int64)), pa.array(sizes[t].astype(np.int32))], names=["node", "shingle", "size"]
+                )
+
+    rows = stored(texts.select("node", "text").mapInArrow(explode, "node binary, shingle long, size int"), "shingles")
+    alone = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    sizes = rows.groupBy("node").agg(F.first("size").alias("size"))
+    shares = sizes.join(alone, "node", "left").select("node", (F.coalesce("alone", F.lit(0)) / F.col("size")).alias("own"))
+    return shares.where(F.col("own") <= 1 - SIMILARITY + 1e-9)
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -179,3 +216,15 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
     return labelled.join(classes, "label").select(
         F.col("_n_key").alias(key), "class_id", "class_size", F.col("_n_key").eqNullSafe(F.col("class_id")).alias("kept")
     )
+
+
+def drop_near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``df`` with one row of each class: the smallest key (null last), and of
+    repeated rows one. Columns stay as they are."""
+    nodes = df.withColumn("_n_node", F.unhex(F.md5(whole_text(text))))
+    labels = components(near_links(df, text))
+    labelled = nodes.select(F.col("_n_node").alias("node"), F.col(key).alias("k")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    first = labelled.groupBy("label").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "node")).alias("one"))
+    first = first.select(F.col("one.node").alias("_n_node"), F.col("one.k").alias("_n_k"))
+    kept = nodes.join(first, "_n_node").where(F.col(key).eqNullSafe(F.col("_n_k")))
+    return kept.dropDuplicates(["_n_node", "_n_k"]).select(*df.columns)
