@@ -6,19 +6,18 @@ from pyspark.sql import functions as F
 
 from plantgauge import fixed_values as fv
 from plantgauge.catalog.base import CTES, pick, query, r
-from plantgauge.catalog.batches import table
+from plantgauge.catalog.batches import BRANDS, table
 from plantgauge.operators import association
 
-N_BOOT = 100
-FAMILIES = ["Brand#1", "Brand#12", "Brand#23"]
+N_BOOT = 1000
 
 CTES["pairs"] = """
 SELECT parameter, batch_id, round(x, 10) AS x, round(defect_rate, 10) AS y
 FROM (UNPIVOT (SELECT batch_id, defect_rate, temperature, speed, pressure, vibration FROM batch_table)
       ON temperature, speed, pressure, vibration INTO NAME parameter VALUE x)"""
-CTES["family_pairs"] = f"""
+CTES["family_pairs"] = """
 SELECT f.family, p.parameter, p.batch_id, x, round(coalesce(c.rate, 0.0::DOUBLE), 10) AS y
-FROM pairs p CROSS JOIN (SELECT unnest({FAMILIES}) AS family) f
+FROM pairs p CROSS JOIN (SELECT DISTINCT category AS family FROM category_rates) f
 LEFT JOIN category_rates c ON c.batch_id = p.batch_id AND c.category = f.family"""
 
 
@@ -66,7 +65,7 @@ def stats(t):
 
 
 def family_stats(t):
-    return association.factor_statistics(association.family_pairs(table(t, FAMILIES), fv.TELEMETRY))
+    return association.factor_statistics(association.family_pairs(table(t, None), fv.TELEMETRY))
 
 
 @query(oracle="SELECT parameter, n, rho FROM factor_stats", doubles="rho")
@@ -157,7 +156,7 @@ def family_matrix(t):
 
 @query(
     oracle="""SELECT family, arg_min(parameter, k) AS parameter, arg_min(rho, k) AS rho
-              FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY abs(rho) DESC, parameter) AS k FROM family_stats)
+              FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY round(abs(rho), 9) DESC, parameter) AS k FROM family_stats)
               GROUP BY family""",
     doubles="rho",
 )
@@ -165,6 +164,14 @@ def top_factor_per_family(t):
     return association.top_factor_per_family(family_stats(t))
 
 
+@query(
+    oracle=f"""SELECT parameter, {', '.join(f"max({r('rho', 3)}) FILTER (family = '{b}') AS \"{b}\"" for b in BRANDS)}
+               FROM family_stats GROUP BY parameter"""
+)
+def family_matrix_wide(t):
+    return association.correlation_matrix(family_stats(t), BRANDS)
+
+
 @query()
 def factor_report(t):
     return association.analyze_factors(table(t), fv.TELEMETRY, n_boot=N_BOOT)
@@ -172,4 +179,4 @@ def factor_report(t):
 
 @query()
 def family_report(t):
-    return association.analyze_families(table(t, FAMILIES), fv.TELEMETRY, n_boot=N_BOOT)
+    return association.analyze_families(table(t, None), fv.TELEMETRY, n_boot=N_BOOT)

@@ -47,6 +47,9 @@ FROM (UNPIVOT (SELECT batch_id, defect_rate, temperature, speed, pressure, vibra
       ON temperature, speed, pressure, vibration INTO NAME parameter VALUE x)
 WINDOW p AS (PARTITION BY parameter)"""
 
+# the categories of the view
+BRANDS = [f"Brand#{i}" for i in range(1, 26)]
+
 
 def table(t: Tables, categories=()):
     return batch.batch_table(t.inspection, t.process, t.production, categories)
@@ -76,17 +79,17 @@ def batch_category_rates(t):
 
 
 @query(
-    oracle="""SELECT b.* EXCLUDE (first_ts), strftime(first_ts, '%Y-%m-%d %H:%M:%S') AS first_seen,
-                     coalesce(r1.count, 0) AS brand_1_count, coalesce(r1.rate, 0.0) AS brand_1_rate
-              FROM batch_table b
-              LEFT JOIN (SELECT * FROM category_rates WHERE category = 'Brand#1') r1 ON b.batch_id = r1.batch_id""",
-    doubles="defect_rate temperature speed pressure vibration downtime_hours brand_1_rate",
+    oracle=f"""SELECT b.* EXCLUDE (first_ts), strftime(first_ts, '%Y-%m-%d %H:%M:%S') AS first_seen, c.* EXCLUDE (batch_id)
+               FROM batch_table b JOIN (
+                 SELECT b.batch_id, {', '.join(
+                   f"coalesce(max(r.count) FILTER (category = '{n}'), 0) AS \"count_{n}\", "
+                   f"floor(coalesce(max(r.rate) FILTER (category = '{n}'), 0.0) * 1e6 + 0.5001) / 1e6 AS \"rate_{n}\"" for n in BRANDS)}
+                 FROM batch_table b LEFT JOIN category_rates r ON b.batch_id = r.batch_id GROUP BY b.batch_id) c
+               ON b.batch_id = c.batch_id""",
+    doubles="defect_rate temperature speed pressure vibration downtime_hours",
 )
 def batch_table(t):
-    out = table(t, ["Brand#1"])
-    return out.withColumn("first_seen", F.date_format("first_ts", "yyyy-MM-dd HH:mm:ss")).drop("first_ts").withColumnsRenamed(
-        {"count_Brand#1": "brand_1_count", "rate_Brand#1": "brand_1_rate"}
-    )
+    return table(t, None).withColumn("first_seen", F.date_format("first_ts", "yyyy-MM-dd HH:mm:ss")).drop("first_ts")
 
 
 @query(

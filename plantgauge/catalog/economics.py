@@ -9,12 +9,12 @@ from plantgauge.catalog.batches import table
 from plantgauge.catalog.flow import stations
 from plantgauge.operators import batch, economics, flow
 
-N_BOOT = 200
+N_BOOT = 1000
 GRID = [(d, c, w) for d in (0.0, 10.0, 20.0, 50.0) for c in (0.0, 10.0) for w in (0.0, 15.0)]
 
 
 def _pnl(source: str, keys: str) -> str:
-    """``source`` gives units, scrap, rework, minutes, crew (and the keys)."""
+    """``source`` gives units, scrap, rework, minutes, crew, hrs (and the keys)."""
     return f"""
 SELECT {keys} units AS total_units_produced, scrap AS scrapped, rework AS reworked,
        {r('minutes', 1)} AS downtime_minutes, good AS good_units, unit_price,
@@ -27,21 +27,26 @@ SELECT {keys} units AS total_units_produced, scrap AS scrapped, rework AS rework
        {r(r('CASE WHEN good * unit_price > 0 THEN (good * unit_price - cost) / (good * unit_price) ELSE 0.0::DOUBLE END', 4) + ' * 100.0', 2)} AS gross_margin_pct
 FROM (SELECT *, lab + mat + ovh + scr + rwk + dwn AS cost FROM (
         SELECT s.*, e.unit_price, greatest(0, units - scrap) AS good, units * e.material_cost AS mat,
-               8.0::DOUBLE * crew * e.labor_cost AS lab, 8.0::DOUBLE * e.overhead_cost AS ovh,
+               hrs * crew * e.labor_cost AS lab, hrs * e.overhead_cost AS ovh,
                scrap * e.scrap_cost AS scr, rework * e.rework_cost AS rwk,
                minutes / 60.0 * e.downtime_cost_per_hour AS dwn
         FROM ({source}) s, economic e))"""
 
 
-CTES["plant_pnl"] = _pnl(
-    """SELECT (SELECT CAST(sum(units_in) AS BIGINT) FROM production) AS units, total_scrap AS scrap, total_rework AS rework,
-              downtime_hours * 60.0 AS minutes, CASE WHEN stations > 0 THEN stations * 2 ELSE 10 END AS crew,
-              line_throughput FROM line_summary""",
-    "line_throughput,",
-)
+def _plant(line: str) -> str:
+    return _pnl(
+        f"""SELECT (SELECT count(*) FROM inspection) AS units, total_scrap AS scrap, total_rework AS rework,
+                   downtime_hours * 60.0 AS minutes, CASE WHEN stations > 0 THEN stations * 2 ELSE 10 END AS crew,
+                   hours AS hrs, line_throughput FROM {line}""",
+        "line_throughput,",
+    )
+
+
+CTES["plant_pnl"] = _plant("line_summary")
+CTES["plant_pnl_shift"] = _plant("line_summary_shift")
 CTES["batch_pnl"] = _pnl(
     """SELECT batch_id, CAST(sum(units_in) AS BIGINT) AS units, CAST(sum(scrap_units) AS BIGINT) AS scrap,
-              CAST(sum(rework_units) AS BIGINT) AS rework, sum(downtime_hours) * 60.0 AS minutes, 10 AS crew
+              CAST(sum(rework_units) AS BIGINT) AS rework, sum(downtime_hours) * 60.0 AS minutes, 10 AS crew, 8.0::DOUBLE AS hrs
        FROM production GROUP BY batch_id""",
     "batch_id,",
 )
@@ -117,9 +122,9 @@ FROM (SELECT *, mat + labor_cost + overhead_cost + scr + rwk + dwn AS cost
 CTES["boot_margins"] = _what_if("SELECT * FROM boot_pnl", "rep,")
 
 
-def plant(t):
-    units = t.production.agg(F.sum("units_in").alias("total_units"))
-    return economics.plant_pnl(flow.line_summary(stations(t)), units, t.economic)
+def plant(t, hours_per_batch=8.0):
+    units = t.inspection.agg(F.count(F.lit(1)).alias("total_units"))
+    return economics.plant_pnl(flow.line_summary(stations(t, hours_per_batch)), units, t.economic)
 
 
 @query(oracle="SELECT * FROM plant_pnl", doubles="line_throughput " + PNL_DOUBLES)
@@ -127,6 +132,12 @@ def pnl(t):
     return plant(t)
 
 
+@query(oracle="SELECT * FROM plant_pnl_shift", doubles="line_throughput " + PNL_DOUBLES)
+def pnl_reference_hours(t):
+    """One shift of eight hours against the sums of all batches."""
+    return plant(t, None)
+
+
 @query(oracle="SELECT * FROM batch_pnl", doubles=PNL_DOUBLES)
 def pnl_by_batch(t):
     names = {"units_in": "total_units", "scrap_units": "scrap_units", "rework_units": "rework_units", "downtime_hours": "_h"}

@@ -355,15 +355,19 @@ def selective_metrics(t):
 
 # ---- conditions ------------------------------------------------------------
 
+# share of verdicts that each robustness condition turns over
+FLIPS = {
+    "baseline": 0.0, "bright_0.6": 0.05, "bright_1.4": 0.06, "contrast_0.6": 0.08, "contrast_1.4": 0.04, "rot_90": 0.2, "rot_180": 0.15,
+    "hflip": 0.02, "blur_1": 0.1, "blur_2": 0.18, "noise_10": 0.12, "noise_25": 0.3,
+}
 CTES["conditioned"] = f"""
 SELECT *, CAST(actual_class = predicted_class AS INTEGER) AS correct FROM (
   SELECT m.vec_id, c.condition, actual_class, confidence, actual,
          CASE WHEN {u("m.vec_id || '|' || c.condition")} < c.flip THEN CASE WHEN actual_class = 'normal' THEN 'defective' ELSE 'normal' END
               ELSE predicted_class END AS predicted_class,
          CASE WHEN {u("m.vec_id || '|' || c.condition")} < c.flip THEN CAST(actual_class = 'normal' AS INTEGER) ELSE predicted END AS predicted
-  FROM multi m, (VALUES ('baseline', 0.0::DOUBLE), ('blur_1', 0.1::DOUBLE), ('noise_25', 0.3::DOUBLE)) AS c(condition, flip)
+  FROM multi m, (VALUES {', '.join(f"('{c}', {x}::DOUBLE)" for c, x in FLIPS.items())}) AS c(condition, flip)
   WHERE split = 'test')"""
-FLIPS = {"baseline": 0.0, "blur_1": 0.1, "noise_25": 0.3}
 CFRR, CFAR = sql_wilson("fp", "(tn + fp)"), sql_wilson("fn", "(tp + fn)")
 
 
@@ -395,7 +399,7 @@ CONDITION_DOUBLES = "accuracy f1_macro " + RATES + " uncertain_fraction mean_con
 
 
 def conditioned(t):
-    """Test predictions under three conditions, each flipping a share of the verdicts."""
+    """Test predictions under all twelve conditions, each flipping a share of the verdicts."""
     rows = multi_scored(t).where(F.col("split") == "test").drop("probs", "split")
     options = F.array(*[F.struct(F.lit(c).alias("condition"), F.lit(f).alias("flip")) for c, f in FLIPS.items()])
     rows = rows.select("*", F.explode(options).alias("o")).select("*", "o.*").drop("o")

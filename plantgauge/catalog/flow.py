@@ -31,9 +31,11 @@ FROM (SELECT *, (60.0::DOUBLE / ct) * (1.0 - dt) AS cap, CASE WHEN uout > 0 THEN
 
 
 CTES["station_metrics"] = _metrics("rolled", "", "hours")
+CTES["station_metrics_shift"] = _metrics("rolled", "", "8.0::DOUBLE")
 CTES["batch_station_metrics"] = _metrics("production", "batch_id,", "8.0::DOUBLE")
 WORST = "row_number() OVER (%s ORDER BY utilization DESC, wip DESC, cycle_time DESC, station)"
 CTES["worst_station"] = f"SELECT * EXCLUDE (k) FROM (SELECT *, {WORST % ''} AS k FROM station_metrics) WHERE k = 1"
+CTES["worst_station_shift"] = CTES["worst_station"].replace("station_metrics", "station_metrics_shift")
 CTES["worst_by_batch"] = (
     f"SELECT * EXCLUDE (k) FROM (SELECT *, {WORST % 'PARTITION BY batch_id'} AS k FROM batch_station_metrics) WHERE k = 1"
 )
@@ -44,18 +46,26 @@ SELECT b.station AS bottleneck_station, b.utilization, b.wip, b.rework_rate,
        effective_capacity AS line_throughput, effective_capacity AS throughput_without_rework,
        {r('effective_capacity / (1.0 + b.rework_rate)', 2)} AS throughput_with_rework,
        {r('effective_capacity - effective_capacity / (1.0 + b.rework_rate)', 2)} AS throughput_lost_due_to_rework,
-       total_wip, total_scrap, total_rework, stations, t.downtime_hours, total_line_cycle_time_sec
+       total_wip, total_scrap, total_rework, stations, t.hours, t.downtime_hours, total_line_cycle_time_sec
 FROM worst_station b,
      (SELECT CAST(sum(wip) AS BIGINT) AS total_wip, CAST(sum(scrap_units) AS BIGINT) AS total_scrap,
              CAST(sum(rework_units) AS BIGINT) AS total_rework, count(*) AS stations,
-             sum(downtime_fraction * 8.0) AS downtime_hours,
+             sum(downtime_fraction * hours) AS downtime_hours, max(hours) AS hours,
              sum({r('cycle_time * 60.0', 1)}) AS total_line_cycle_time_sec FROM station_metrics) t"""
 
+CTES["line_summary_shift"] = CTES["line_summary"].replace("worst_station", "worst_station_shift").replace("station_metrics", "station_metrics_shift")
+
 METRIC_DOUBLES = "hours cycle_time downtime_fraction effective_capacity rework_rate effective_load utilization"
 
 
-def stations(t):
-    return flow.station_metrics(flow.station_rollup(t.production, hours_per_batch=8.0))
+def stations(t, hours_per_batch=8.0):
+    return flow.station_metrics(flow.station_rollup(t.production, hours_per_batch=hours_per_batch))
+
+
+@query(oracle="SELECT * FROM station_metrics_shift", doubles=METRIC_DOUBLES)
+def station_metrics_reference_hours(t):
+    """One shift of eight hours against the sums of all batches."""
+    return stations(t, None)
 
 
 @query(oracle="SELECT * FROM station_metrics", doubles=METRIC_DOUBLES)
@@ -69,7 +79,7 @@ def station_metrics_by_batch(t):
 
 
 @query(
-    oracle="SELECT * EXCLUDE (units_in, units_out, rework_units, scrap_units) FROM worst_station",
+    oracle="SELECT * FROM worst_station",
     doubles=METRIC_DOUBLES,
 )
 def bottleneck(t):
@@ -77,7 +87,7 @@ def bottleneck(t):
 
 
 @query(
-    oracle="SELECT * EXCLUDE (units_in, units_out, rework_units, scrap_units) FROM worst_by_batch",
+    oracle="SELECT * FROM worst_by_batch",
     doubles=METRIC_DOUBLES,
 )
 def bottleneck_by_batch(t):
@@ -87,7 +97,7 @@ def bottleneck_by_batch(t):
 @query(
     oracle="SELECT * FROM line_summary",
     doubles="utilization rework_rate line_throughput throughput_without_rework throughput_with_rework"
-    " throughput_lost_due_to_rework downtime_hours total_line_cycle_time_sec",
+    " throughput_lost_due_to_rework hours downtime_hours total_line_cycle_time_sec",
 )
 def line_summary(t):
     return flow.line_summary(stations(t))

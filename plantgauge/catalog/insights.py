@@ -34,7 +34,6 @@ FROM top_family f, top_factor t, line_summary l, plant_pnl p, counts"""
 def report(t) -> PlantReport:
     return PlantReport(
         t.inspection, t.process, t.production, t.economic, scored=scored(t),
-        units=t.production.agg(F.sum("units_in").alias("total_units")),
         parameters=fv.TELEMETRY, categories=(), hours_per_batch=8.0,
     )
 

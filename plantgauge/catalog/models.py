@@ -19,7 +19,7 @@ from plantgauge.streaming import live_scoring, running_totals
 
 def _two_stage(t):
     prepared, names = models.prepare(t.inspection, t.process)
-    rows = cut_lineage(splits.group_split(prepared, "batch_id", "unit_id"))
+    rows = cut_lineage(splits.group_split(prepared, "batch_id", "unit_id", F.col("actual")))
     model = models.train_two_stage(rows.where(F.col("split") == "train"), names)
     return model, rows
 

@@ -4,15 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plantgauge.catalog.base import CTES, pick, query
+from plantgauge.catalog.base import CTES, query
+from plantgauge.catalog.batches import DEF
 from plantgauge.operators import splits
+from plantgauge.operators.batch import defect_flag
 
 CTES["split_features"] = """
 SELECT vec_id, embedding, label, category,
        CASE WHEN k * 100 <= n * 60 THEN 'train' WHEN k * 100 <= n * 80 THEN 'val' ELSE 'test' END AS split
 FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY md5(vec_id || '|42'), vec_id) AS k,
              count(*) OVER (PARTITION BY category) AS n FROM features)"""
-CTES["batch_folds"] = f"SELECT unit_id, batch_id, {pick("batch_id || '|42'", '5')} AS fold FROM inspection"
+CTES["batch_folds"] = f"""
+SELECT i.unit_id, i.batch_id, fold FROM inspection i LEFT JOIN (
+  SELECT batch_id, (row_number() OVER (ORDER BY share, md5(batch_id || '|42'), batch_id) - 1) % least(5, count(*) OVER ()) AS fold
+  FROM (SELECT batch_id, round(avg({DEF}), 9) AS share FROM inspection WHERE batch_id IS NOT NULL GROUP BY batch_id)) f
+ON i.batch_id = f.batch_id"""
+
+
+def batches_split(t):
+    return splits.group_split(t.inspection, "batch_id", "unit_id", defect_flag(t.inspection))
 
 
 def split_features(t):
@@ -29,8 +39,7 @@ def stratified_split(t):
               FROM batch_folds GROUP BY ALL"""
 )
 def group_split(t):
-    rows = splits.group_split(t.inspection.select("unit_id", "batch_id"), "batch_id", "unit_id")
-    return rows.groupBy("batch_id", "split").agg(F.count(F.lit(1)).alias("n"))
+    return batches_split(t).groupBy("batch_id", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -44,7 +53,7 @@ def group_split(t):
 )
 def split_overlap(t):
     feats = split_features(t)
-    batches = splits.group_split(t.inspection.select("unit_id", "batch_id"), "batch_id", "unit_id")
+    batches = batches_split(t)
     trained = feats.where(F.col("split") == "train").select("category").distinct()
     untrained = feats.select("category").distinct().join(trained, "category", "left_anti")
     parts = [

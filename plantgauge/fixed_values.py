@@ -68,7 +68,6 @@ MINUTE_ALIASES = ["downtime_min"]  # aliases of an hours column that hold minute
 DEFECTIVE_WORDS = ["1", "1.0", "true", "t", "defective", "defect", "fail", "failed", "ng", "bad"]
 NO_CATEGORY_WORDS = ["none", "good", "nan", ""]
 IMAGE_CLASSES = ["normal", "crack", "hole", "rust", "scratch"]
-CLASS_ORDER = ["crack", "hole", "normal", "rust", "scratch"]
 NORMAL_CLASS = "normal"
 IMAGE_SUFFIXES = ["png", "jpg", "jpeg", "bmp", "tiff"]
 
@@ -105,10 +104,6 @@ SMALL_SAMPLE = 25
 SIGNIFICANCE = 0.05
 
 # ---- robustness conditions ----------------------------------------------
-CONDITIONS = [
-    "baseline", "bright_0.6", "bright_1.4", "contrast_0.6", "contrast_1.4", "rot_90",
-    "rot_180", "hflip", "blur_1", "blur_2", "noise_10", "noise_25",
-]
 
 # ---- texts ---------------------------------------------------------------
 BBOX_PRESENT = "Verified Spatial Annotation (Ground Truth Bounding Box)"

@@ -78,10 +78,6 @@ def wilson(count: Column, n: Column, z: float = fv.WILSON_Z) -> dict[str, Column
     }
 
 
-def margin_percent(fraction: Column) -> Column:
-    return fraction * 100.0
-
-
 def sequence_number(c: Column | str) -> Column:
     """The first run of digits, as a double."""
     return F.nullif(F.regexp_extract(as_col(c), r"(\d+)", 1), F.lit("")).try_cast("double")

@@ -84,7 +84,7 @@ def _u_tail():
                 return 1.0
             n1, n2 = int(n1), int(n2)
             high = max(u, n1 * n2 - u)
-            if ties == 0 and min(n1, n2) <= 8 and n1 * n2 <= 2000:
+            if ties == 0 and min(n1, n2) <= 8:
                 return exact(high, n1, n2)
             n = n1 + n2
             var = n1 * n2 / 12.0 * ((n + 1) - ties / (n * (n - 1.0)))

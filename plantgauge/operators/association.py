@@ -326,7 +326,7 @@ def analyze_families(table: DataFrame, parameters: Sequence[str] | None = None,
     constant = p.df.groupBy("family").agg((F.stddev_pop("y") > 0).alias("_v")).where("_v").drop("_v")
     out = adjusted.join(ci, p.keys).join(constant, "family", "left_semi")
     significant = F.col("q") < fv.SIGNIFICANCE
-    position = F.row_number().over(varying.orderBy(F.desc(F.abs("rho")), "parameter"))
+    position = F.row_number().over(varying.orderBy(F.desc(F.round(F.abs("rho"), 9)), "parameter"))
     return out.select(
         "family",
         "parameter",
@@ -344,7 +344,7 @@ def analyze_families(table: DataFrame, parameters: Sequence[str] | None = None,
 
 def top_factor_per_family(stats: DataFrame) -> DataFrame:
     """The parameter with the largest |rho| in each family."""
-    best = F.min_by(F.struct("parameter", "rho"), F.struct(-F.abs("rho"), F.col("parameter")))
+    best = F.min_by(F.struct("parameter", "rho"), F.struct(-F.round(F.abs("rho"), 9), F.col("parameter")))
     return stats.groupBy("family").agg(best.alias("b")).select(
         "family", F.col("b.parameter").alias("parameter"), F.col("b.rho").alias("rho")
     )

@@ -16,11 +16,6 @@ def row_count(df: DataFrame) -> int:
     return df.agg(F.count(F.lit(1))).first()[0]
 
 
-def at_most(df: DataFrame, limit: int) -> bool:
-    """True if ``df`` has no more than ``limit`` rows; stops counting there."""
-    return row_count(df.limit(limit + 1)) <= limit
-
-
 def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Marked for broadcast if its row count is known to be small; otherwise left
     to a shuffled join, where adaptive execution splits hot keys."""

@@ -56,15 +56,17 @@ def calculate_pnl(
     totals: DataFrame,
     economic: DataFrame | None,
     keep: Sequence[str] = (),
-    shift_hours: float = fv.SHIFT_HOURS,
+    shift_hours: float | str = fv.SHIFT_HOURS,
     workers: int | str = fv.DEFAULT_WORKERS,
 ) -> DataFrame:
     """P&L of rows holding total_units, scrap_units, rework_units, downtime_minutes.
 
-    ``workers`` is a number or the name of a column.
+    ``workers`` and ``shift_hours`` are numbers or names of columns; labor and
+    overhead are paid for these hours.
     """
     p = economic_params(economic)
     crew = F.col(workers) if isinstance(workers, str) else F.lit(workers)
+    hours = F.col(shift_hours) if isinstance(shift_hours, str) else F.lit(float(shift_hours))
     units, scrap, rework = F.col("total_units"), F.col("scrap_units"), F.col("rework_units")
     rolled = totals.select(
         *keep,
@@ -75,8 +77,8 @@ def calculate_pnl(
         F.greatest(F.lit(0), units - scrap).alias("good_units"),
         p["unit_price"].alias("unit_price"),
         (units * p["material_cost"]).alias("material_cost"),
-        (F.lit(float(shift_hours)) * crew * p["labor_cost"]).alias("labor_cost"),
-        (F.lit(float(shift_hours)) * p["overhead_cost"]).alias("overhead_cost"),
+        (hours * crew * p["labor_cost"]).alias("labor_cost"),
+        (hours * p["overhead_cost"]).alias("overhead_cost"),
         (scrap * p["scrap_cost"]).alias("scrap_cost"),
         (rework * p["rework_cost"]).alias("rework_cost"),
         (F.col("downtime_minutes") / 60.0 * p["downtime_cost_per_hour"]).alias("downtime_cost"),
@@ -91,7 +93,8 @@ def calculate_pnl(
 
 def plant_pnl(line_summary: DataFrame, units: DataFrame, economic: DataFrame | None) -> DataFrame:
     """P&L of the whole plant: inspected units, and scrap, rework and downtime of its
-    stations; two workers per station. ``units`` is one row with total_units."""
+    stations; two workers per station, paid for the hours the line's sums belong to.
+    ``units`` is one row with total_units."""
     crew = F.when(F.col("stations") > 0, F.col("stations") * 2).otherwise(F.lit(fv.DEFAULT_WORKERS))
     totals = line_summary.select(
         units.select("total_units").scalar().alias("total_units"),
@@ -99,9 +102,10 @@ def plant_pnl(line_summary: DataFrame, units: DataFrame, economic: DataFrame | N
         F.col("total_rework").alias("rework_units"),
         (F.coalesce(F.col("downtime_hours"), F.lit(0.0)) * 60.0).alias("downtime_minutes"),
         crew.alias("workers"),
+        F.coalesce("hours", F.lit(float(fv.SHIFT_HOURS))).alias("hours"),
         "line_throughput",
     )
-    return calculate_pnl(totals, economic, keep=["line_throughput"], workers="workers")
+    return calculate_pnl(totals, economic, keep=["line_throughput"], shift_hours="hours", workers="workers")
 
 
 WATERFALL = [  # row name, column, sign

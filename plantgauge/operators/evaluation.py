@@ -15,6 +15,7 @@ from plantgauge import fixed_values as fv
 from plantgauge.functions import vectors
 from plantgauge.functions.columns import per_unit, ratio, rounded, wilson
 from plantgauge.operators.prefix import running
+from plantgauge.session import cut_lineage
 
 
 def _count_if(c: Column) -> Column:
@@ -365,24 +366,34 @@ def evaluate_conditions(
     """Metrics per condition and their drop against the baseline condition.
 
     ``df`` holds actual_class, predicted_class, actual, predicted (0/1) and confidence.
+    One grouping of ``df`` into cells; all figures follow from these few rows.
     """
     keys = [*by, condition]
-    cells = confusion_matrix(df, keys, "actual_class", "predicted_class")
-    multi = macro_metrics(per_class_metrics(cells, keys, "actual_class", "predicted_class"), keys)
-    binary = binary_rates(confusion_counts(df, keys), keys).drop("accuracy", "precision", "recall", "f1", "f1_macro")
-    sure = df.groupBy(*keys).agg(
-        F.avg((F.col("confidence") < threshold).cast("double")).alias("uncertain_fraction"),
-        F.avg("confidence").alias("mean_confidence"),
+    groups = [*keys, "actual_class", "predicted_class", "actual", "predicted"]
+    cells = cut_lineage(
+        df.groupBy(*groups).agg(
+            F.count(F.lit(1)).alias("n"),
+            _count_if(F.col("confidence") < threshold).alias("_unsure"),
+            F.sum("confidence").alias("_sum"),
+            F.count("confidence").alias("_known"),
+        )
     )
-    rows = multi.select(*keys, "n", "accuracy", "f1_macro").join(binary, keys).join(sure, keys)
-    base = rows.where(F.col(condition) == baseline).select(
-        *by, F.col("accuracy").alias("_ba"), F.col("f1_macro").alias("_bf")
+    matrix = cells.groupBy(*keys, "actual_class", "predicted_class").agg(F.sum("n").alias("n"))
+    multi = macro_metrics(per_class_metrics(matrix, keys, "actual_class", "predicted_class"), keys)
+    bad, called = F.col("actual") == 1, F.col("predicted") == 1
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    counts = cells.groupBy(*keys).agg(
+        total(~bad & ~called).alias("tn"), total(~bad & called).alias("fp"), total(bad & ~called).alias("fn"), total(bad & called).alias("tp")
     )
-    return _join(rows, base, by).select(
-        *rows.columns,
-        (F.col("_ba") - F.col("accuracy")).alias("drop_accuracy"),
-        (F.col("_bf") - F.col("f1_macro")).alias("drop_f1_macro"),
+    binary = binary_rates(counts, keys).drop("accuracy", "precision", "recall", "f1", "f1_macro")
+    sure = cells.groupBy(*keys).agg(
+        (F.sum("_unsure") / F.sum("_known")).alias("uncertain_fraction"), (F.sum("_sum") / F.sum("_known")).alias("mean_confidence")
     )
+    rows = multi.select(*keys, "n", "accuracy", "f1_macro").join(binary, keys).join(sure, keys)
+    # one row per condition, so the window is small
+    whole = Window.partitionBy(*by)
+    of_base = lambda c: F.max(F.when(F.col(condition) == baseline, F.col(c))).over(whole) - F.col(c)
+    return rows.select("*", of_base("accuracy").alias("drop_accuracy"), of_base("f1_macro").alias("drop_f1_macro"))
 
 
 def worst_condition(evaluated: DataFrame, condition: str = "condition", baseline: str = "baseline", by: Sequence[str] = ()) -> DataFrame:

@@ -101,8 +101,8 @@ def station_metrics(stations: DataFrame, by: Sequence[str] = (), hours: float =
 
 def _worst(metrics: DataFrame) -> Column:
     """The station with the highest (utilisation, wip, cycle time); name breaks ties."""
-    fields = ["station", "hours", "cycle_time", "downtime_fraction", "effective_capacity", "effective_load",
-              "rework_rate", "utilization", "wip"]
+    fields = ["station", "hours", "cycle_time", "downtime_fraction", "effective_capacity", "units_in", "units_out",
+              "rework_units", "scrap_units", "effective_load", "rework_rate", "utilization", "wip"]
     order = F.struct(-F.col("utilization"), -F.col("wip"), -F.col("cycle_time"), F.col("station"))
     return F.min_by(F.struct(*fields), order)
 
@@ -122,7 +122,8 @@ def line_summary(metrics: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.coalesce(F.sum("scrap_units"), F.lit(0)).alias("total_scrap"),
         F.coalesce(F.sum("rework_units"), F.lit(0)).alias("total_rework"),
         F.count(F.lit(1)).alias("stations"),
-        F.sum(F.col("downtime_fraction") * fv.SHIFT_HOURS).alias("downtime_hours"),
+        F.sum(F.col("downtime_fraction") * F.col("hours")).alias("downtime_hours"),
+        F.max("hours").alias("hours"),
         F.sum(rounded(F.col("cycle_time") * 60.0, 1)).alias("total_line_cycle_time_sec"),
     )
     cap = F.coalesce(F.col("b.effective_capacity"), F.lit(0.0))
@@ -144,6 +145,7 @@ def line_summary(metrics: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         "total_scrap",
         "total_rework",
         "stations",
+        "hours",
         "downtime_hours",
         "total_line_cycle_time_sec",
     )

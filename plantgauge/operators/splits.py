@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plantgauge.functions import draws
-from plantgauge.operators.prefix import running
+from plantgauge.operators.prefix import numbered, running
 
 
 def by_hash(df: DataFrame, id_col: str, keys: Sequence[str], seed: int) -> DataFrame:
@@ -34,16 +34,30 @@ def stratified_split(
     return by_hash(df, id_col, [strata], seed).withColumn("split", split).drop("row_index", "total_rows")
 
 
-def group_fold(group: Column, folds: int = 5, seed: int = 42) -> Column:
-    """Fold of a whole group; fold 0 is the held-out one."""
-    return draws.index(F.lit(folds), group, seed)
+def group_folds(df: DataFrame, group: str, label: Column | None = None, folds: int = 5, seed: int = 42) -> DataFrame:
+    """(group, fold) of whole groups. Groups are ordered by their share of ``label``,
+    then by hash, and dealt in turn to min(folds, groups) folds: every fold has
+    a group, and shares of the label are spread over the folds."""
+    share = F.round(F.avg(label.cast("double")), 9) if label is not None else F.lit(0.0)
+    sizes = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.coalesce(share, F.lit(0.0)).alias("_share"))
+    hashed = sizes.withColumn("_hash", draws.digest(F.col(group), seed))
+    placed = numbered(hashed, [], ["_share", "_hash", group])
+    return placed.select(group, F.pmod("row_index", F.least(F.lit(folds), F.col("total_rows"))).cast("int").alias("fold"))
 
 
-def group_split(df: DataFrame, group: str, id_col: str, folds: int = 5, seed: int = 42) -> DataFrame:
-    """Add ``split``: whole groups are held out, or single rows if there are fewer than three groups."""
+def group_split(
+    df: DataFrame, group: str, id_col: str, label: Column | None = None, folds: int = 5, seed: int = 42
+) -> DataFrame:
+    """Add ``split``: fold 0 of the groups is held out, so the test part is never
+    empty. Fewer than three groups: single rows are drawn by hash instead. Rows
+    without a group are training rows."""
     few = df.select(group).where(F.col(group).isNotNull()).distinct().limit(3).count() < 3
-    fold = group_fold(F.col(id_col if few else group).cast("string"), folds, seed)
-    return df.withColumn("split", F.when(fold == 0, "test").otherwise("train"))
+    if few:
+        fold = draws.index(F.lit(folds), F.col(id_col).cast("string"), seed)
+        return df.withColumn("split", F.when(fold == 0, "test").otherwise("train"))
+    dealt = group_folds(df, group, label, folds, seed).withColumnRenamed("fold", "_fold")
+    rows = df.join(dealt, group, "left").withColumn("split", F.when(F.col("_fold") == 0, "test").otherwise("train"))
+    return rows.select(*df.columns, "split")
 
 
 def overlap(df: DataFrame, key: str, a: str = "train", b: str = "test") -> DataFrame:

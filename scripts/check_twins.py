@@ -24,7 +24,7 @@ def rows_of(names, rows):
 def main():
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     wanted = sys.argv[2:] or list(QUERIES)
-    spark = local_session(8)
+    spark = local_session(int(os.environ.get("CPUS", "8")))
     con = duckdb.connect()
     for name in TABLES:
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")

@@ -155,3 +155,23 @@ def test_copq_shares(spark):
     assert sum(r["cost"] for r in rows) == 7000.0 and sum(r["share"] for r in rows) == pytest.approx(1.0)
     steps = {r["step"]: r["amount"] for r in economics.waterfall(pnl(spark)).collect()}
     assert sum(v for k, v in steps.items() if k != "Operating Profit") == steps["Operating Profit"]
+
+
+PRODUCTION = "station string, batch_id string, cycle_time double, wip long, downtime_hours double, units_in long, units_out long, rework_units long, scrap_units long"
+
+
+def test_line_downtime_is_the_sum_in_production(spark):
+    """Two stations, three shifts: downtime, labor and overhead belong to 24 hours."""
+    rows = [(f"S{s}", f"B{b}", 30.0, 4, 0.6 * s, 100, 95, 5, 2) for s in (1, 2) for b in (1, 2, 3)]
+    stations = flow.station_metrics(flow.station_rollup(spark.createDataFrame(rows, PRODUCTION), hours_per_batch=8.0))
+    line = flow.line_summary(stations)
+    row = line.first()
+    assert row["hours"] == 24.0 and row["downtime_hours"] == pytest.approx(3 * (0.6 + 1.2), abs=1e-9)
+    units = spark.createDataFrame([(600,)], "total_units long")
+    got = economics.plant_pnl(line, units, spark.createDataFrame([(10.0, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0)], "unit_price double, material_cost double, labor_cost double, overhead_cost double, scrap_cost double, rework_cost double, downtime_cost_per_hour double")).first()
+    assert got["good_units"] == 600 - 12 and got["revenue"] == 5880.0 and got["material_cost"] == 600.0
+    assert (got["labor_cost"], got["overhead_cost"]) == (24.0 * 4 * 2.0, 24.0 * 3.0)
+    assert (got["scrap_cost"], got["rework_cost"], got["downtime_cost"]) == (48.0, 150.0, 32.4)
+    # one shift against the sums of three: the single-shift formula
+    one = flow.line_summary(flow.station_metrics(flow.station_rollup(spark.createDataFrame(rows, PRODUCTION)))).first()
+    assert one["hours"] == 8.0 and one["downtime_hours"] == pytest.approx(5.4, abs=1e-9)

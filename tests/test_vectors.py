@@ -127,6 +127,21 @@ def test_group_split_keeps_batches_whole(spark):
     assert {r[0] for r in single.select("split").distinct().collect()} == {"train", "test"}
 
 
+def test_group_split_always_holds_out_a_group(spark):
+    for n in range(3, 9):
+        for prefix in ("B", "B1", "B2"):
+            df = spark.createDataFrame([(i, f"{prefix}{i % n:03d}", int(i % n >= n - 2)) for i in range(8 * n)], "id int, b string, y int")
+            rows = splits.group_split(df, "b", "id", F.col("y")).groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("b").alias("g")).collect()
+            sizes = {r["split"]: (r["n"], r["g"]) for r in rows}
+            assert sizes["test"][1] == -(-n // min(5, n)) and sizes["train"][1] == n - sizes["test"][1]
+
+
+def test_group_split_spreads_the_label(spark):
+    df = spark.createDataFrame([(i, f"B{i % 40}", int(i % 40 < 10)) for i in range(400)], "id int, b string, y int")
+    share = {r["split"]: r["s"] for r in splits.group_split(df, "b", "id", F.col("y")).groupBy("split").agg(F.avg("y").alias("s")).collect()}
+    assert abs(share["test"] - share["train"]) < 0.05
+
+
 def test_hash_sample_is_stable(spark):
     df = spark.createDataFrame([(i,) for i in range(100)], "id int")
     a = [r["id"] for r in splits.hash_sample(df, "id", 4).collect()]
