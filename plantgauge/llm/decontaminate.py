@@ -2,12 +2,12 @@
 
 Documents are cut into passages; a passage is a TF-IDF vector over the words of
 the benchmark items. A distributed randomised SVD of all passages (random test
-matrix, range by A'A, orthonormal basis, small eigenproblem) gives the latent
+matrix, range by A'A, small eigenproblem, SVD of what is left) gives the latent
 space. Every window of every document that could hold an item is compared with
 all items by latent cosine; candidates are checked by longest common subsequence
 of words and by the item's answer words, its rarest ones.
 
-Four passes over the documents: passage frequencies, range, small problem, search.
+Three passes over the documents: passage frequencies, range, search.
 What is summed over the corpus is a vocabulary-sized table per partition, added
 up in two levels by key. The items are the stated query set: they are taken in
 blocks of ``BLOCK_ITEMS``, so what a task receives is bounded.
@@ -155,28 +155,23 @@ class Latent:
         self.vocabulary = vocabulary = every[active]
         weight = np.maximum(idf[active] - IDF_FLOOR, LEAST_WEIGHT).astype(np.float32)
         width = min(RANK + OVERSAMPLE, len(vocabulary))
-        test = np.random.default_rng(seed).standard_normal((len(vocabulary), width)).astype(np.float32) * weight[:, None]
+        test = np.random.default_rng(seed).standard_normal((len(vocabulary), width)).astype(np.float32)
+        spread = test * weight[:, None]
 
         def ranges(total, blocks):
             for _, _, _, words, bounds in blocks:
-                at, passage, _, sums = gathered(index_in(vocabulary, words), passages_of(bounds), test)
+                at, passage, _, sums = gathered(index_in(vocabulary, words), passages_of(bounds), spread)
                 if len(at):
                     order = np.argsort(at, kind="stable")
                     change = np.flatnonzero(np.diff(at[order], prepend=-1))
                     total[at[order][change]] += segment_sums(sums[passage[order]], change)
 
-        basis = np.linalg.qr(summed(rows, ranges, test.shape) * weight[:, None])[0].astype(np.float32)
-        spread = basis * weight[:, None]
-
-        def gram(total, blocks):
-            for _, _, _, words, bounds in blocks:
-                sums = gathered(index_in(vocabulary, words), passages_of(bounds), spread)[3]
-                total += sums.T @ sums
-
-        values, turn = np.linalg.eigh(summed(rows, gram, (basis.shape[1],) * 2))
-        best = np.argsort(values)[::-1][:RANK]
-        self.singular = np.sqrt(np.maximum(values[best], 0))
-        self.basis = (basis @ turn[:, best]).astype(np.float32)
+        # A'A is close to Y (T'Y)^-1 Y' for Y = A'A T: the small problem needs no pass
+        sample = summed(rows, ranges, test.shape) * weight[:, None]
+        values, turn = np.linalg.eigh((test.T @ sample + sample.T @ test) / 2)
+        firm = values > 1e-6 * max(values.max(initial=0), 1e-12)
+        basis, singular, _ = np.linalg.svd(sample @ turn[:, firm] / np.sqrt(values[firm]), full_matrices=False)
+        self.singular, self.basis = singular[:RANK], basis[:, :RANK].astype(np.float32)
         self.project = self.basis * weight[:, None]
         at = [index_in(vocabulary, w) for w in items.words]
         self.items = np.stack([self.project[x[x >= 0]].sum(axis=0) for x in at]).astype(np.float32)
