@@ -39,23 +39,34 @@ def fits_broadcast(bank: DataFrame, vec: str) -> tuple[bool, int]:
 
 
 def _nearest(k: int, cosine: bool):
-    """A function (queries, bank) -> the k smallest distances per query, unordered."""
+    """A function (queries, bank) -> the k smallest distances per query, unordered.
+
+    Candidates are ranked by |a|^2 + |b|^2 - 2ab about the bank's mean; the distances
+    of the k kept are taken again by difference, free of cancellation.
+    """
 
     def nearest(q, b):
         import numpy as np
 
         k_eff = min(k, len(b))
         out = np.empty((len(q), k_eff))
-        rows = max(1, 4_000_000 // max(1, len(b)))  # bounds the distance matrix
+        width = max(1, b.shape[1] if b.ndim == 2 else 1)
+        rows = max(1, min(4_000_000 // max(1, len(b)), 4_000_000 // (max(1, k_eff) * width)))  # bounds both matrices
+        if not cosine:
+            middle = b.mean(axis=0)
+            q, b = q - middle, b - middle
         b_sq = (b * b).sum(axis=1)
         for i in range(0, len(q), rows):
             part = q[i : i + rows]
             dots = part @ b.T
             if cosine:
                 d = 1.0 - dots
-            else:
-                d = np.sqrt(np.maximum((part * part).sum(axis=1)[:, None] + b_sq[None, :] - 2.0 * dots, 0.0))
-            out[i : i + rows] = d if k_eff == len(b) else np.partition(d, k_eff - 1, axis=1)[:, :k_eff]
+                out[i : i + rows] = d if k_eff == len(b) else np.partition(d, k_eff - 1, axis=1)[:, :k_eff]
+                continue
+            d = b_sq[None, :] - 2.0 * dots
+            kept = np.argpartition(d, k_eff - 1, axis=1)[:, :k_eff] if k_eff < len(b) else np.tile(np.arange(len(b)), (len(part), 1))
+            gap = part[:, None, :] - b[kept]
+            out[i : i + rows] = np.sqrt((gap * gap).sum(axis=2))
         return out
 
     return nearest
@@ -110,9 +121,18 @@ def _by_blocks(queries: DataFrame, bank: DataFrame, cosine: bool, k: int, block_
     kind = queries.schema["id"].dataType.simpleString()
     bank_kind = bank.schema["id"].dataType.simpleString()
 
+    middle = pivots.mean(axis=0) if len(pivots) else 0.0
+    pivots = pivots - middle
+    farthest = float((pivots * pivots).sum(axis=1).max()) ** 0.5 if len(pivots) else 0.0
+
+    def slack(m):
+        """What rounding can take from a distance to a pivot, for each row."""
+        return 1e-7 * ((((m - middle) ** 2).sum(axis=1)) ** 0.5 + farthest) + 1e-9
+
     def to_pivots(m):
         import numpy as np
 
+        m = m - middle
         sq = (m * m).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1)[None, :] - 2.0 * (m @ pivots.T)
         return np.sqrt(np.maximum(sq, 0.0))
 
@@ -138,7 +158,8 @@ def _by_blocks(queries: DataFrame, bank: DataFrame, cosine: bool, k: int, block_
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            d = to_pivots(matrix(pdf["vec"]))
+            m = matrix(pdf["vec"])
+            d, loose = to_pivots(m), slack(m)
             for c, rows in table.items():
                 ids = np.array([r[0] for r in rows])
                 sizes = np.array([r[1] for r in rows])
@@ -151,7 +172,7 @@ def _by_blocks(queries: DataFrame, bank: DataFrame, cosine: bool, k: int, block_
                 first = full.argmax(axis=1)
                 bound = np.take_along_axis(far, np.take_along_axis(order, first[:, None], 1), 1)[:, 0]
                 bound = np.where(full.any(axis=1), bound, np.inf)
-                hit_q, hit_c = np.nonzero(near <= bound[:, None] * (1 + 1e-9) + 1e-9)
+                hit_q, hit_c = np.nonzero(near <= bound[:, None] * (1 + 1e-9) + loose[:, None])
                 yield pd.DataFrame(
                     {
                         "id": pdf["id"].values[hit_q], "vec": pdf["vec"].values[hit_q], "class": c,

@@ -127,6 +127,17 @@ def test_group_split_keeps_batches_whole(spark):
     assert {r[0] for r in single.select("split").distinct().collect()} == {"train", "test"}
 
 
+@pytest.mark.parametrize("blocks", [False, True])
+def test_distances_of_an_offset_bank(spark, blocks):
+    """Vectors near 1000: a bank row is at distance 0 from itself."""
+    import numpy as np
+
+    m = 1000.0 + np.random.default_rng(1).random((60, 8))
+    bank = spark.createDataFrame([(i, "a", [float(x) for x in v]) for i, v in enumerate(m)], "id int, class string, vec array<double>")
+    got = neighbors.class_distances(bank.select("id", "vec"), bank, k=1, cosine=False, block_rows=10, force_blocks=blocks).collect()
+    assert len(got) == 60 and max(r["distance"] for r in got) < 1e-9
+
+
 def test_group_split_always_holds_out_a_group(spark):
     for n in range(3, 9):
         for prefix in ("B", "B1", "B2"):
