@@ -33,17 +33,18 @@ FROM (SELECT *, lab + mat + ovh + scr + rwk + dwn AS cost FROM (
         FROM ({source}) s, economic e))"""
 
 
-def _plant(line: str) -> str:
+def _plant(line: str, units: str) -> str:
     return _pnl(
-        f"""SELECT (SELECT count(*) FROM inspection) AS units, total_scrap AS scrap, total_rework AS rework,
+        f"""SELECT ({units}) AS units, total_scrap AS scrap, total_rework AS rework,
                    downtime_hours * 60.0 AS minutes, CASE WHEN stations > 0 THEN stations * 2 ELSE 10 END AS crew,
                    hours AS hrs, line_throughput FROM {line}""",
         "line_throughput,",
     )
 
 
-CTES["plant_pnl"] = _plant("line_summary")
-CTES["plant_pnl_shift"] = _plant("line_summary_shift")
+# scrap and rework of the view count pieces, and so do the units of most queries
+CTES["plant_pnl"] = _plant("line_summary", "SELECT CAST(sum(units_in) AS BIGINT) FROM production")
+CTES["plant_pnl_shift"] = _plant("line_summary_shift", "SELECT count(*) FROM inspection")
 CTES["batch_pnl"] = _pnl(
     """SELECT batch_id, CAST(sum(units_in) AS BIGINT) AS units, CAST(sum(scrap_units) AS BIGINT) AS scrap,
               CAST(sum(rework_units) AS BIGINT) AS rework, sum(downtime_hours) * 60.0 AS minutes, 10 AS crew, 8.0::DOUBLE AS hrs
@@ -122,9 +123,9 @@ FROM (SELECT *, mat + labor_cost + overhead_cost + scr + rwk + dwn AS cost
 CTES["boot_margins"] = _what_if("SELECT * FROM boot_pnl", "rep,")
 
 
-def plant(t, hours_per_batch=8.0):
-    units = t.inspection.agg(F.count(F.lit(1)).alias("total_units"))
-    return economics.plant_pnl(flow.line_summary(stations(t, hours_per_batch)), units, t.economic)
+def plant(t):
+    units = t.production.agg(F.sum("units_in").alias("total_units"))
+    return economics.plant_pnl(flow.line_summary(stations(t)), units, t.economic)
 
 
 @query(oracle="SELECT * FROM plant_pnl", doubles="line_throughput " + PNL_DOUBLES)
@@ -134,8 +135,9 @@ def pnl(t):
 
 @query(oracle="SELECT * FROM plant_pnl_shift", doubles="line_throughput " + PNL_DOUBLES)
 def pnl_reference_hours(t):
-    """One shift of eight hours against the sums of all batches."""
-    return plant(t, None)
+    """One shift of eight hours against the sums of all batches, on inspected units."""
+    units = t.inspection.agg(F.count(F.lit(1)).alias("total_units"))
+    return economics.plant_pnl(flow.line_summary(stations(t, None)), units, t.economic)
 
 
 @query(oracle="SELECT * FROM batch_pnl", doubles=PNL_DOUBLES)
