@@ -132,9 +132,9 @@ def with_node(df: DataFrame, text: str) -> DataFrame:
     return df.select(F.unhex(F.md5(whole)).alias("node"), whole.alias("text"))
 
 
-def near_links(df: DataFrame, text: str = "text") -> DataFrame:
-    """Links (a, b) between digests of different texts that are near duplicates,
-    enough to join every group."""
+def near_groups(df: DataFrame, text: str = "text") -> DataFrame:
+    """(node, label) of the digests of texts that have a near duplicate: the
+    smallest digest of their component."""
     rows = with_node(df, text)
     sigs = stored(signatures(rows).dropDuplicates(["node"]), "signatures")
     width = 2 * BAND_ROWS
@@ -151,24 +151,25 @@ def near_links(df: DataFrame, text: str = "text") -> DataFrame:
     links = stored(similar(candidates, texts), "links")
 
     # what a bucket still holds apart, without documents that cannot have a partner
-    apart = still_apart(buckets.select("band", "node"), links)
+    labels = components(links)
+    apart = still_apart(buckets.select("band", "node"), labels)
     apart = stored(apart.join(own_shares(texts.join(apart.select("node").distinct(), "node", "left_semi")), "node"), "apart")
     typical = apart.groupBy("band").agg(F.min(F.struct("own", "node")).alias("c")).select("band", F.col("c.node").alias("c"))
     again = apart.join(typical, "band").where("node <> c").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
     again = stored(again.join(stars, ["a", "b"], "left_anti"), "pairs")
     links = stored(links.unionByName(similar(stored(agreeing(again, sigs), "pairs"), texts)), "links")
 
-    rest = stored(still_apart(apart.select("band", "node"), links), "apart")
+    labels = components(links, start=labels)
+    rest = stored(still_apart(apart.select("band", "node"), labels), "apart")
     one, two = rest.select("band", F.col("node").alias("a"), F.col("label").alias("la")), rest.select("band", F.col("node").alias("b"), F.col("label").alias("lb"))
     pairs = one.join(two, "band").where("la < lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = pairs.join(stars.unionByName(again), ["a", "b"], "left_anti")
-    more = similar(stored(agreeing(pairs, sigs), "pairs"), texts)
-    return stored(links.unionByName(more), "links")
+    more = stored(similar(stored(agreeing(pairs, sigs), "pairs"), texts), "links")
+    return components(links.unionByName(more), start=labels) if more.limit(1).count() else labels
 
 
-def still_apart(buckets: DataFrame, links: DataFrame) -> DataFrame:
+def still_apart(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """(band, node, label) of the buckets whose nodes are in several components."""
-    labels = components(links)
     apart = buckets.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
     mixed = apart.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("band")
     return apart.join(mixed, "band", "left_semi")
@@ -210,7 +211,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
     table gives an empty result.
     """
     rows = df.select(F.col(key).alias("_n_key"), F.unhex(F.md5(whole_text(text))).alias("node"))
-    labels = components(near_links(df, text))
+    labels = near_groups(df, text)
     labelled = rows.join(labels, "node", "left").select("_n_key", F.coalesce("label", "node").alias("label"))
     classes = labelled.groupBy("label").agg(F.min("_n_key").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return labelled.join(classes, "label").select(
@@ -222,7 +223,7 @@ def drop_near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id")
     """``df`` with one row of each class: the smallest key (null last), and of
     repeated rows one. Columns stay as they are."""
     nodes = df.withColumn("_n_node", F.unhex(F.md5(whole_text(text))))
-    labels = components(near_links(df, text))
+    labels = near_groups(df, text)
     labelled = nodes.select(F.col("_n_node").alias("node"), F.col(key).alias("k")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     first = labelled.groupBy("label").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "node")).alias("one"))
     first = first.select(F.col("one.node").alias("_n_node"), F.col("one.k").alias("_n_k"))
