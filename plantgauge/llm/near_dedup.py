@@ -154,15 +154,17 @@ def near_groups(df: DataFrame, text: str = "text") -> DataFrame:
     labels = components(links)
     apart = still_apart(buckets.select("band", "node"), labels)
     apart = stored(apart.join(own_shares(texts.join(apart.select("node").distinct(), "node", "left_semi")), "node"), "apart")
-    typical = apart.groupBy("band").agg(F.min(F.struct("own", "node")).alias("c")).select("band", F.col("c.node").alias("c"))
+    typical = apart.groupBy("band").agg(F.min(F.struct((F.col("alone") / F.col("size")).alias("own"), "node")).alias("c")).select("band", F.col("c.node").alias("c"))
     again = apart.join(typical, "band").where("node <> c").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
     again = stored(again.join(stars, ["a", "b"], "left_anti"), "pairs")
     links = stored(links.unionByName(similar(stored(agreeing(again, sigs), "pairs"), texts)), "links")
 
     labels = components(links, start=labels)
-    rest = stored(still_apart(apart.select("band", "node"), labels), "apart")
-    one, two = rest.select("band", F.col("node").alias("a"), F.col("label").alias("la")), rest.select("band", F.col("node").alias("b"), F.col("label").alias("lb"))
-    pairs = one.join(two, "band").where("la < lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = stored(still_apart(apart.drop("label"), labels), "apart")
+    one, two = (rest.select("band", F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("label", "alone", "size")]) for x in ("a", "b"))
+    # shingles of its own stay outside what two documents share, and inside their union
+    can = [(F.col(f"size_{x}") - F.col(f"alone_{x}")) >= SIMILARITY * (F.col(f"size_{x}") + F.col(f"alone_{y}")) - 1e-9 for x, y in ("ab", "ba")]
+    pairs = one.join(two, "band").where((F.col("label_a") < F.col("label_b")) & can[0] & can[1]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = pairs.join(stars.unionByName(again), ["a", "b"], "left_anti")
     more = stored(similar(stored(agreeing(pairs, sigs), "pairs"), texts), "links")
     return components(links.unionByName(more), start=labels) if more.limit(1).count() else labels
@@ -170,14 +172,14 @@ def near_groups(df: DataFrame, text: str = "text") -> DataFrame:
 
 def still_apart(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """(band, node, label) of the buckets whose nodes are in several components."""
-    apart = buckets.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+    apart = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = apart.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("band")
     return apart.join(mixed, "band", "left_semi")
 
 
 def own_shares(texts: DataFrame) -> DataFrame:
-    """(node, own): the share of a document's shingles that no other of these
-    documents has, where it does not rule out a partner: a document similar to
+    """(node, size, alone): a document's shingles, and those that no other of these
+    documents has, where they do not rule out a partner: a document similar to
     another by 0.8 shares at least 0.8 of its own shingles."""
 
     def explode(batches):
@@ -195,8 +197,8 @@ def own_shares(texts: DataFrame) -> DataFrame:
     rows = stored(texts.select("node", "text").mapInArrow(explode, "node binary, shingle long, size int"), "shingles")
     alone = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
     sizes = rows.groupBy("node").agg(F.first("size").alias("size"))
-    shares = sizes.join(alone, "node", "left").select("node", (F.coalesce("alone", F.lit(0)) / F.col("size")).alias("own"))
-    return shares.where(F.col("own") <= 1 - SIMILARITY + 1e-9)
+    shares = sizes.join(alone, "node", "left").select("node", "size", F.coalesce("alone", F.lit(0)).alias("alone"))
+    return shares.where(F.col("alone") <= (1 - SIMILARITY) * F.col("size") + 1e-9)
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
