@@ -442,3 +442,52 @@ def test_compact_windows_hold_every_stretch():
                 least = int(np.argmin(h[a + i : a + j + 1])) + i
                 held = [k for k in range(len(c)) if text[k] == t and l[k] <= i and j <= r[k] and i <= c[k] <= j]
                 assert [int(c[k]) for k in held] == [least]
+
+
+@pytest.mark.parametrize("n,inserted,cut", [(104, 9, 0), (104, 14, 0), (200, 25, 0), (300, 40, 0), (80, 8, 0), (104, 0, 9), (60, 0, 1), (200, 14, 8)])
+def test_passage_with_insertion_or_deletion(n, inserted, cut):
+    """Both whole passages are found, though one side has far more unmatched tokens."""
+    from plantgauge.llm.near_passages import LEAST, best_stretch
+
+    x = np.random.default_rng(n).permutation(10_000)[: n - 4].astype(np.uint64)
+    half = len(x) // 2
+    gap = np.arange(20_000, 20_000 + inserted + 4 if inserted else 20_000 + 4).astype(np.uint64)
+    y = np.concatenate([x[:half], gap, x[half + cut + 4 if cut else half + 4 :]])
+    both = len(np.intersect1d(x, y))
+    assert both >= 0.8 * len(np.union1d(x, y))
+    after = len(x) - 3
+    for c in (3, after):
+        d = int(np.flatnonzero(y == x[c])[0])
+        a, b, lo, hi = best_stretch(x, y, 0, c, len(x) - 1, 0, d, len(y) - 1)
+        assert (a, b) == (0, len(x) + 4) and (lo, hi) == (0, len(y) + 4)
+
+
+def test_stretches_against_brute_force():
+    """A stretch pair is found exactly if any around the token qualifies."""
+    from plantgauge.llm import near_passages as m
+
+    rng = random.Random(8)
+    found = 0
+    for _ in range(60):
+        x = [rng.randint(0, 10**6) for _ in range(rng.randint(50, 62))]
+        y = list(x)
+        for _ in range(rng.randint(0, 4)):
+            at, k = rng.randrange(len(y)), rng.randint(1, 4)
+            y[at : at + rng.choice([0, 0, k])] = [rng.randint(2 * 10**6, 3 * 10**6) for _ in range(rng.choice([0, k]))]
+        c = rng.randrange(len(x))
+        if x[c] not in y:
+            continue
+        d = y.index(x[c])
+
+        def jaccard(a, b):
+            return len(a & b) / len(a | b)
+
+        any_ = any(
+            jaccard(set(x[i : j + 1]), set(y[k : n + 1])) >= 0.8
+            for i in range(min(c, len(x) - m.LEAST) + 1) for j in range(max(c, i + m.LEAST - 1), len(x))
+            for k in range(min(d, len(y) - m.LEAST) + 1) for n in range(max(d, k + m.LEAST - 1), len(y))
+        )
+        got = m.best_stretch(np.array(x, dtype=np.uint64), np.array(y, dtype=np.uint64), 0, c, len(x) - 1, 0, d, len(y) - 1)
+        assert (got is not None) == any_
+        found += any_
+    assert 5 < found < 60
