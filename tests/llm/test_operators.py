@@ -491,3 +491,29 @@ def test_stretches_against_brute_force():
         assert (got is not None) == any_
         found += any_
     assert 5 < found < 60
+
+
+def test_passages_of_a_group_without_its_ends(spark):
+    """Edited copies of a phrase meet though the smallest and largest text of each
+    key, which hold only a piece of it, verify with none; recall against brute force."""
+    from plantgauge.llm.near_passages import near_passages
+
+    rng = random.Random(3)
+    texts, families = [], []
+    for g in range(40):
+        words = [f"w{g}x{i}" for i in range(60)]
+        new = lambda n: [f"n{rng.random()}" for _ in range(n)]
+        one, two = list(words), list(words)
+        one[30] = new(1)[0]
+        families.append((len(texts), len(texts) + 1))
+        texts += [" ".join(new(20) + w + new(20)) for w in (one, two)]
+        # pieces too short to be a passage, in many texts: they are the ends of key groups
+        for k in range(0, 60, 20):
+            texts += [" ".join(new(20) + words[k : k + 30] + new(20)) for _ in range(4)]
+    rows = near_passages(make(spark, texts)).collect()
+    classes = collections.defaultdict(set)
+    for r in rows:
+        classes[r["doc_id"]].add(r["class_id"])
+    met = sum(bool(classes[a] & classes[b]) for a, b in families)
+    assert met >= 0.96 * len(families), met
+    assert set(classes) <= {i for f in families for i in f}
