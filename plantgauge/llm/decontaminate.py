@@ -4,8 +4,11 @@ Documents are cut into passages; a passage is a TF-IDF vector over the words of
 the benchmark items. A distributed randomised SVD of all passages (random test
 matrix, range by A'A, small eigenproblem, SVD of what is left) gives the latent
 space. Every window of every document that could hold an item is compared with
-all items by latent cosine; candidates are checked by longest common subsequence
-of words and by the item's answer words, its rarest ones.
+all items by latent cosine. The rank is far below the number of items, so some items
+are hardly in that space: windows that hold as many of an item's rarest words as a
+leak must hold are candidates too, whatever their cosine, and no leak is lost.
+Candidates are checked by longest common subsequence of words and by the item's
+answer words, its rarest ones.
 
 Three passes over the documents: passage frequencies, range, search.
 What is summed over the corpus is a vocabulary-sized table per partition, added
@@ -151,6 +154,7 @@ class Latent:
         idf = np.log((1 + counts[size]) / (1 + counts[:size]))
         rare = answer_words(items, idf)
         self.answers = [frozenset(x.tolist()) for x in rare]
+        self.lists = [Postings(rare, [-(-len(x) // 2) for x in rare]), Postings(*needed_words(items, idf))]
         active = (idf > IDF_FLOOR + LEAST_WEIGHT) | np.isin(every, np.concatenate(rare))
         self.vocabulary = vocabulary = every[active]
         weight = np.maximum(idf[active] - IDF_FLOOR, LEAST_WEIGHT).astype(np.float32)
@@ -203,6 +207,45 @@ def answer_words(items: Items, idf: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def needed_words(items: Items, idf: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
+    """The rarest words of each item, and how many of their places a text with SHARE
+    of the item's words must hold: all but those it may miss."""
+    out, least = [], []
+    for words in items.words:
+        missed = len(words) - int(np.ceil(SHARE * len(words) - 1e-9))
+        rare = words[np.argsort(-idf[np.searchsorted(items.vocabulary, words)], kind="stable")][: 2 * missed + 2]
+        out.append(np.unique(rare))
+        least.append(len(rare) - missed)
+    return out, least
+
+
+class Postings:
+    """The items of each listed word, and how many hits each item needs."""
+
+    def __init__(self, lists: list[np.ndarray], least: list[int]):
+        words, item = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        order = np.argsort(words, kind="stable")
+        self.words, self.first = np.unique(words[order], return_index=True)
+        self.item, self.first, self.least = item[order], np.append(self.first, len(words)), np.array(least)
+
+    def windows(self, words: np.ndarray, starts: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Item, first and last step of every run of hits that is enough for the
+        item and fits in the item's steps."""
+        at = index_in(self.words, words)
+        held = np.flatnonzero(at >= 0)
+        n = (self.first[1:] - self.first[:-1])[at[held]]
+        which = np.repeat(np.arange(len(held)), n)
+        item = self.item[self.first[at[held]][which] + np.arange(len(which)) - (np.cumsum(n) - n)[which]]
+        step = (np.searchsorted(starts, held, side="right") - 1)[which]
+        order = np.argsort(item * (len(starts) + 1) + step, kind="stable")
+        item, step = item[order], step[order]
+        end = np.arange(len(item)) + self.least[item] - 1
+        inside = np.flatnonzero(end < len(item))
+        end = end[inside]
+        good = (item[end] == item[inside]) & (step[end] - step[inside] < steps[item[inside]])
+        return item[inside][good], step[inside][good], step[end][good]
+
+
 def search(words: np.ndarray, bounds: np.ndarray, items: Items, latent: Latent) -> dict:
     """{(text, item): (lcs share, answer share, cosine)} of the leaks in a block."""
     vectors, norms, answers = latent.items, latent.norms, latent.answers
@@ -216,6 +259,9 @@ def search(words: np.ndarray, bounds: np.ndarray, items: Items, latent: Latent)
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     last_step, last_word = first[1:][text], bounds[1:][text]
     best: dict = {}
+    runs = [np.concatenate(x) for x in zip(*(p.windows(words, starts, items.steps) for p in latent.lists))]
+    inner = text[runs[1]] == text[runs[2]]
+    runs = [x[inner] for x in runs]
     for length in np.unique(items.steps):
         mine = np.flatnonzero(items.steps == length)
         low = np.arange(len(starts))
@@ -230,14 +276,30 @@ def search(words: np.ndarray, bounds: np.ndarray, items: Items, latent: Latent)
         size = np.sqrt((window[near[0]] ** 2).sum(axis=1))
         cosine = share_of[near] * norms[mine][near[1]] / np.maximum(size, 1e-6)
         hit = np.flatnonzero(cosine >= COSINE)
-        for w, i, angle in zip(near[0][hit], near[1][hit], cosine[hit]):
+        # windows that hold a run of hits, those at the ends of a text cut short
+        own = items.steps[runs[0]] == length
+        item, one, last = (x[own] for x in runs)
+        begin = first[:-1][text[one]]
+        lowest = np.maximum(begin, np.minimum(last - length + 1, last_step[one] - length))
+        highest = np.maximum(lowest, np.minimum(one, last_step[one] - length))
+        n = highest - lowest + 1
+        which = np.repeat(np.arange(len(n)), n)
+        held = np.searchsorted(low, lowest[which] + np.arange(len(which)) - (np.cumsum(n) - n)[which])
+        pairs = np.unique(np.concatenate([near[0][hit] * len(mine) + near[1][hit], held * len(mine) + np.searchsorted(mine, item[which])]))
+        at, of = pairs // max(len(mine), 1), pairs % max(len(mine), 1)
+        angles = share_of[at, of] * norms[mine][of] / np.maximum(np.sqrt((window[at] ** 2).sum(axis=1)), 1e-6)
+        for w, i, angle in zip(at, of, angles):
             item = int(mine[i])
             a, b = starts[low[w]], min(starts[low[w]] + length * STEP, last_word[low[w]])
             passage = words[a:b]
-            answer = len(answers[item].intersection(passage.tolist())) / len(answers[item])
-            if answer < ANSWER:
+            there = set(passage.tolist())
+            answer = len(answers[item] & there) / len(answers[item])
+            # words of the item that the passage holds bound what it holds in order
+            least = LESS_SHARE if answer >= ANSWER else SHARE
+            n_item = len(items.words[item])
+            if sum(x in there for x in items.words[item].tolist()) / n_item < least:
                 continue
-            share = common_subsequence(items.words[item], passage) / len(items.words[item])
+            share = common_subsequence(items.words[item], passage) / n_item
             if share >= SHARE or share >= LESS_SHARE and answer >= ANSWER:
                 key = (int(text[low[w]]), item)
                 value = (share, answer, float(angle))

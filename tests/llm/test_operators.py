@@ -319,6 +319,70 @@ def test_leaks(spark):
     assert find_leaks(make(spark, texts), bench.limit(0)).where(F.size("leaks") > 0).count() == 0
 
 
+def brute_leaks(items, latent, texts):
+    """{(text, item)} of all windows and all items, without any gate."""
+    from plantgauge.llm import decontaminate as d
+
+    at = np.full((len(items.words), max(map(len, items.words))), len(items.vocabulary))
+    for i, w in enumerate(items.words):
+        at[i, : len(w)] = np.searchsorted(items.vocabulary, w)
+    lengths, found = np.array([len(w) for w in items.words]), set()
+    for t, words in enumerate(texts):
+        for size in np.unique(items.steps):
+            for a in range(max(1, -(-len(words) // d.STEP) - size + 1)):
+                passage = words[a * d.STEP : (a + size) * d.STEP]
+                there = np.append(np.isin(items.vocabulary, passage), False)
+                for i in np.flatnonzero((items.steps == size) & (there[at].sum(axis=1) >= d.LESS_SHARE * lengths - 1e-9)):
+                    answer = len(latent.answers[i].intersection(passage.tolist())) / len(latent.answers[i])
+                    if d.common_subsequence(items.words[i], passage) / lengths[i] >= (d.LESS_SHARE if answer >= d.ANSWER else d.SHARE):
+                        found.add((t, int(i)))
+    return found
+
+
+def test_leaks_of_a_full_block_equal_brute_force(spark):
+    """Verbatim items, items without most of their rarest words, and short ones; as
+    many items as a block holds, so that the latent rank is far below them."""
+    from plantgauge.llm import decontaminate as d
+
+    rng = random.Random(12)
+    names = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(6000)]
+    word = lambda: names[min(int(rng.paretovariate(0.6)) - 1, 5999) if rng.random() < 0.7 else rng.randrange(6000)]
+    benchmark = [" ".join(word() for _ in range(rng.randint(5, 60))) for _ in range(d.BLOCK_ITEMS)]
+    items = d.Items(list(range(len(benchmark))), benchmark)
+    noise = lambda n: [word() for _ in range(n)]
+    texts = [" ".join(noise(40) + benchmark[rng.randrange(len(benchmark))].split() + noise(40)) for _ in range(60)]
+    counts = collections.Counter(w for t in texts + benchmark for w in set(t.split()))
+    for i in range(60, 90):  # a seventh of the words replaced, the rarest first
+        w = benchmark[i].split()
+        rare = sorted(set(w), key=lambda x: (counts[x], x))[: len(w) // 7]
+        texts.append(" ".join(noise(30) + [f"zz{k}" if x in rare else x for k, x in enumerate(w)] + noise(30)))
+    docs = spark.createDataFrame([(t,) for t in texts], "_d_text string")
+    latent = d.Latent(docs, items)
+    words, bounds = d.word_hashes(texts, at_marks=True)
+    got = set(d.search(words, bounds, items, latent))
+    want = brute_leaks(items, latent, [words[a:b] for a, b in zip(bounds[:-1], bounds[1:])])
+    assert got == want and len(want) >= 80
+
+
+def test_leak_without_its_answer(spark):
+    """SHARE of the words in order is a leak, whatever the answer words."""
+    from plantgauge.llm.decontaminate import find_leaks
+
+    items = [" ".join(f"i{k}w{j}" for j in range(42)) if k else prose(42, 77) for k in range(4)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    w = items[0].split()
+    common = prose(3000, 77)  # the item's words stand in many passages but for eight
+    rare = [3, 8, 13, 18, 23, 28, 33, 38]
+    for k in rare:
+        w[k] = f"own{k}"
+    items[0] = " ".join(w)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    changed = [f"other{k}" if k in rare else x for k, x in enumerate(w)]
+    texts = [common, prose(40, 78) + " " + " ".join(changed) + " " + prose(40, 79)]
+    rows = {r["doc_id"]: r["leaks"] for r in find_leaks(make(spark, texts), bench).collect()}
+    assert [x["item"] for x in rows[1]] == [0] and rows[1][0]["lcs_share"] >= 0.8
+
+
 def test_common_subsequence():
     from plantgauge.llm.decontaminate import common_subsequence
 
