@@ -1,17 +1,18 @@
 """Near duplicates by ProbMinHash signatures, banding and verification.
 
-Each shingle of five words is an element whose weight grows with its count in the
-document. Elements arrive in exponential (Poisson) processes with their weight as
-rate; every arrival falls into one register, which keeps the earliest. An element
-stops as soon as its next arrival is later than every register. The share of
-equal registers estimates the probability Jaccard similarity of two documents.
+Each distinct shingle of five words is an element of weight one, however often it
+stands in the document, as the classes are decided on sets. Elements arrive in
+exponential (Poisson) processes with their weight as rate; every arrival falls into
+one register, which keeps the earliest. An element stops as soon as its next arrival
+is later than every register. With equal weights the share of equal registers
+estimates the plain Jaccard similarity of two documents.
 
 Bands of registers put documents into buckets. Equal texts are one node. In each
 bucket the smallest, the largest and then the most typical node (fewest shingles of
 its own) are compared with all others and components are formed. Documents with too
 many shingles of their own to have a partner are put aside, and only what a bucket
-then still holds apart is compared pair by pair, so no link between different texts
-is lost and a group of n similar texts costs about 3n comparisons a band. A comparison is first made on signatures
+then still holds apart is compared pair by pair, so a link between different texts
+is lost only with their bands and a group of n similar texts costs about 3n comparisons a band. A comparison is first made on signatures
 and then exactly, on the shingle sets.
 """
 
@@ -34,15 +35,13 @@ REGISTERS = BANDS * BAND_ROWS
 LEAST_AGREE = int(REGISTERS * (SIMILARITY - 6 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5))
 
 
-def weighted_elements(shingles: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (shingle, text) with weight 1 + ln(count)."""
+def distinct_elements(shingles: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (shingle, text), in order of the texts."""
     order = np.lexsort((shingles, text))
     s, t = shingles[order], text[order]
     first = np.ones(len(s), dtype=bool)
     first[1:] = (s[1:] != s[:-1]) | (t[1:] != t[:-1])
-    at = np.flatnonzero(first)
-    count = np.diff(np.concatenate([at, [len(s)]]))
-    return s[at], t[at], 1.0 + np.log(count)
+    return s[first], t[first]
 
 
 def prob_min_hash(shingles: np.ndarray, text: np.ndarray, weights: np.ndarray, n_texts: int, registers: int = REGISTERS) -> np.ndarray:
@@ -77,7 +76,8 @@ def signatures(df: DataFrame) -> DataFrame:
                 block = [t.lower() for t in texts.slice(a, b - a).to_pylist()]
                 words, bounds = word_hashes(block)
                 s, t, _ = shingle_hashes(words, bounds, SHINGLE_WORDS)
-                sig = prob_min_hash(*weighted_elements(s, t), len(block))
+                s, t = distinct_elements(s, t)
+                sig = prob_min_hash(s, t, np.ones(len(s)), len(block))
                 some = np.diff(bounds) > 0
                 rows = [sig[i].tobytes() if some[i] else None for i in range(len(block))]
                 yield pa.RecordBatch.from_arrays([nodes.slice(a, b - a), pa.array(rows, pa.binary())], names=["node", "signature"])
@@ -110,7 +110,7 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 block = [t.lower() for i in (2, 3) for t in batch.column(i).to_pylist()]
                 words, bounds = word_hashes(block)
                 s, t, _ = shingle_hashes(words, bounds, SHINGLE_WORDS)
-                s, t, _ = weighted_elements(s, t)
+                s, t = distinct_elements(s, t)
                 cut = np.searchsorted(t, np.arange(len(block) + 1))
                 n, keep = batch.num_rows, []
                 for i in range(n):
@@ -188,7 +188,7 @@ def own_shares(texts: DataFrame) -> DataFrame:
             for a, b in chunks([len(t) for t in column], 1_500_000):
                 words, bounds = word_hashes([t.lower() for t in column[a:b]])
                 s, t, _ = shingle_hashes(words, bounds, SHINGLE_WORDS)
-                s, t, _ = weighted_elements(s, t)
+                s, t = distinct_elements(s, t)
                 sizes = np.bincount(t, minlength=b - a)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(a + t)), pa.array(s.view(np.int64)), pa.array(sizes[t].astype(np.int32))], names=["node", "shingle", "size"]

@@ -275,6 +275,26 @@ def test_near_duplicates_equal_brute_force(spark):
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want))
 
 
+def test_near_duplicates_of_unequal_repetition(spark):
+    """How often a part is repeated plays no role: the sets of shingles decide."""
+    from plantgauge.llm.near_dedup import LEAST_AGREE, REGISTERS, near_duplicates, signatures, with_node
+
+    texts = []
+    for g in range(12):
+        base, part = prose(110, 300 + g), prose(54, 400 + g)
+        texts += [f"{base} {part} {part}", f"{edited(base, 110, g)}" + f" {part}" * 30]
+    df = make(spark, texts)
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(df).collect()}
+    want = brute_classes(texts)
+    assert [got[i] for i in range(len(texts))] == want and len(set(want)) < len(want)
+    # signatures estimate the similarity of the sets, not of the counts
+    sigs = {bytes(r["node"]): np.frombuffer(r["signature"], dtype=np.uint16) for r in signatures(with_node(df, "text")).collect()}
+    for i in range(0, len(texts), 2):
+        if want[i] == want[i + 1]:
+            x, y = (sigs[hashlib.md5(t.encode()).digest()] for t in texts[i : i + 2])
+            assert (x == y).sum() >= LEAST_AGREE and (x == y).mean() > 0.8 - 4 * (0.16 / REGISTERS) ** 0.5
+
+
 def test_near_duplicates_without_rows_or_keys(spark):
     from plantgauge.llm.near_dedup import drop_near_duplicates, near_duplicates
 
