@@ -54,14 +54,18 @@ def anchors(data: np.ndarray, offsets: np.ndarray):
     sums = prefix_sums(data)
     at = np.arange(len(data) - GRAM + 1)
     gram = string_hash(sums, at, at + GRAM)
-    # least hash, the rightmost on ties
-    key = (gram & ~LOW) | (LOW - at.astype(np.uint64))
-    low, size = key, 1
-    while size * 2 <= SPAN:
-        low = np.minimum(low[:-size], low[size:])
-        size *= 2
-    low = np.minimum(low[: len(low) - (SPAN - size)], low[SPAN - size :])
-    place = (LOW - (low & LOW)).astype(np.int64)
+    # least hash, the rightmost on ties; places are packed relative to their piece
+    starts = len(gram) - SPAN + 1
+    place = np.empty(starts, dtype=np.int64)
+    piece = int(LOW) + 2 - SPAN
+    for a in range(0, starts, piece):
+        own = gram[a : a + piece + SPAN - 1]
+        low, size = (own & ~LOW) | (LOW - np.arange(len(own), dtype=np.uint64)), 1
+        while size * 2 <= SPAN:
+            low = np.minimum(low[:-size], low[size:])
+            size *= 2
+        low = np.minimum(low[: len(low) - (SPAN - size)], low[SPAN - size :])
+        place[a : a + piece] = a + (LOW - (low & LOW)).astype(np.int64)
     lengths = np.diff(offsets)
     text = np.repeat(np.arange(len(lengths)), np.maximum(lengths - WIDTH + 1, 0))
     count = np.maximum(lengths - WIDTH + 1, 0)

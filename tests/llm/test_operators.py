@@ -490,6 +490,25 @@ def test_repeated_strings_equal_brute_force(spark):
     assert drop_repeated_strings(make(spark, [])).count() == 0
 
 
+def test_places_past_the_packed_bits(monkeypatch):
+    """Texts longer than a packed place are walked in pieces: equal parts far apart
+    keep equal anchors and windows."""
+    from plantgauge.llm import near_passages, repeated_strings
+
+    a = np.frombuffer(prose(900, 60).encode(), dtype=np.uint8)
+    b = np.frombuffer(prose(900, 61).encode(), dtype=np.uint8)
+    data = np.concatenate([a, b, a])
+    offsets = np.array([0, len(data)])
+    want = repeated_strings.anchors(data, offsets)
+    h = np.random.default_rng(5).permutation(3000).astype(np.uint64) << np.uint64(40)
+    bounds = np.array([0, 1700, 3000])
+    windows = near_passages.compact_windows(h, bounds)
+    for module in (repeated_strings, near_passages):
+        monkeypatch.setattr(module, "LOW", np.uint64((1 << 10) - 1))
+    for got, whole in ((repeated_strings.anchors(data, offsets), want), (near_passages.compact_windows(h, bounds), windows)):
+        assert all((x == y).all() for x, y in zip(got, whole))
+
+
 # --- passages ------------------------------------------------------------------------
 
 
