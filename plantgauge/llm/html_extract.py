@@ -29,7 +29,7 @@ TRAIN_PAGES = 2_000
 TREES, DEPTH = 20, 4
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|svg|iframe|head|title|button|object|canvas)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
     re.S | re.I,
 )
@@ -41,6 +41,10 @@ BLOCKS = frozenset(
     "figure figcaption header footer nav aside form fieldset address details summary hr center dialog menu".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+# left out with all they hold; one without an end tag of its own ends at the next block
+DROPPED = frozenset("noscript template select svg iframe button object canvas".split())
+# a head ends at its end tag or at the first element that is none of these
+IN_HEAD = frozenset("base basefont bgsound link meta noscript template noframes script style title".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCKS
 ENDS_SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
@@ -63,6 +67,21 @@ FEATURES = (
 MASKED = [FEATURES.index(n) for n in ("good", "bad", "good_above", "bad_above")]
 
 
+def dropped_ends(tokens: list[re.Match]) -> dict[int, int]:
+    """The token that ends each dropped element with an end tag, by its first token."""
+    open_: dict[str, list[int]] = {}
+    ends = {}
+    for k, m in enumerate(tokens):
+        name = m[3].lower() if m[3] else ""
+        if name in DROPPED:
+            if not m[2]:
+                if not m[4].endswith("/"):
+                    open_.setdefault(name, []).append(k)
+            elif open_.get(name):
+                ends[open_[name].pop()] = k
+    return ends
+
+
 class Page:
     """Block nodes of a page in document order, and its pieces of text."""
 
@@ -73,15 +92,29 @@ class Page:
         self.own, self.links, self.marks = [0], [0], [0]
         self.pieces: list[tuple[int, int, str]] = []  # node, block number, text
         stack, block, anchors, at = [0], 0, 0, 0
-        for m in TOKEN.finditer(source):
-            if m.start() > at:
-                self.text(source[at : m.start()], stack[-1], block, anchors)
-            at = m.end()
+        tokens = list(TOKEN.finditer(source))
+        ends = dropped_ends(tokens)
+        skip, unended, head = -1, False, False
+        for k, m in enumerate(tokens):
+            piece, at = source[at : m.start()], m.end()
+            head = head and not piece.strip()
+            if piece and k > skip and not unended and not head:
+                self.text(piece, stack[-1], block, anchors)
             name = m[3]
-            if not name:
+            if not name or k <= skip:
                 continue
             name = name.lower()
-            if name in ("a",):
+            if name == "head":
+                head = not m[2]
+                continue
+            head = head and name in IN_HEAD
+            unended = unended and name not in BLOCKS
+            if unended:
+                continue
+            if name in DROPPED:
+                if not m[2] and not m[4].endswith("/"):
+                    skip, unended = ends.get(k, skip), k not in ends
+            elif name in ("a",):
                 anchors = 0 if m[2] else 1
             elif name == "br":
                 self.pieces.append((stack[-1], block, " "))
@@ -109,7 +142,7 @@ class Page:
                     self.open(name, m[4], stack)
                     if name in VOID or m[4].endswith("/"):
                         stack.pop()
-        if at < len(source):
+        if at < len(source) and not unended and not (head and source[at:].isspace()):
             self.text(source[at:], stack[-1], block, anchors)
 
     def open(self, name: str, attributes: str, stack: list[int]) -> None:
@@ -289,7 +322,11 @@ def training_nodes(pages: DataFrame, html: str) -> DataFrame:
                     rows += version.tolist()
             yield pa.RecordBatch.from_arrays([pa.array(label, pa.float64()), pa.array(rows, pa.list_(pa.float64()))], names=["label", "features"])
 
-    held = pages.select(whole_text(html).alias("html")).where("html <> ''").withColumn("h", F.xxhash64("html"))
+    def named(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([Page(source).labels() is not None for source in batch.column(0).to_pylist()], pa.bool_()))
+
+    held = pages.select(whole_text(html).alias("html")).where("html <> ''").mapInArrow(named, "html string").withColumn("h", F.xxhash64("html"))
     return held.orderBy("h").limit(TRAIN_PAGES).select("html").mapInArrow(nodes, "label double, features array<double>")
 
 

@@ -442,6 +442,32 @@ def test_articles(spark):
     assert "Home" not in got[36]
 
 
+@pytest.mark.parametrize("name", ["head", "button", "select", "object"])
+def test_elements_without_end_tags(name):
+    """An element that is not closed does not take the article after it along; a
+    closed one is left out, nested ones too."""
+    from plantgauge.llm.html_extract import Page
+
+    text = lambda s: " ".join("".join(p for _, _, p in Page(s).pieces).split())
+    start = "<head><meta x><title>T</title>" if name == "head" else f"<body><{name}>gone"
+    assert text(f"<html>{start}<div><h1>Top</h1><p>The article.</p></div>").endswith("Top" + "The article.")
+    if name != "head":
+        assert text(f"<div><{name}>a<{name}>b</{name}>c</{name}><p>kept</p></div>") == "kept"
+        assert text(f"<div><{name}>a<p>b</p></{name}><p>kept</p></div>") == "kept"
+    assert text("<head><title>T</title> <style>x</style></head><body>kept") == "kept"
+
+
+def test_training_pages_are_named(spark, monkeypatch):
+    """Where few pages name an article, the limit counts only those."""
+    from plantgauge.llm import html_extract
+
+    monkeypatch.setattr(html_extract, "TRAIN_PAGES", 6)
+    sources = ["<div><p>plain %d</p></div>" % i for i in range(60)] + [page(i) for i in range(6)]
+    rows = spark.createDataFrame([(s,) for s in sources], "html string")
+    want = 2 * sum(len(html_extract.Page(s).tag) for s in sources[60:])
+    assert html_extract.training_nodes(rows, "html").count() == want
+
+
 def test_decoding_never_contradicts():
     from plantgauge.llm.html_extract import decode
 
