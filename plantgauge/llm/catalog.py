@@ -119,3 +119,15 @@ def op2_near_passages(spark, folder):
     from plantgauge.llm.near_passages import near_passages
 
     return near_passages(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query
+def op13_warc(spark, folder):
+    """Every page through an archive and back."""
+    from plantgauge.llm.warc import read_archives, write_archives
+    from plantgauge.session import fresh_folder
+
+    path = fresh_folder(spark, "warc")
+    write_archives(table(spark, folder, "pages").select("page_id", "url", "html"), path)
+    rows = read_archives(spark, path, payloads=False, strict=True)
+    return rows.select("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -91,9 +91,17 @@ class AS (SELECT class_id, sum(n) AS class_size FROM label JOIN t USING (id) GRO
 SELECT d.doc_id, class_id, class_size::BIGINT AS class_size, d.doc_id = class_id AS kept
 FROM documents d JOIN t ON coalesce(d.text, '') = t.x JOIN label USING (id) JOIN class USING (class_id)"""
 
+ARCHIVED = """
+WITH p AS (SELECT page_id, url, strlen(coalesce(html, '')) AS size, sha256(coalesce(html, '')) AS digest FROM pages),
+q AS (SELECT *, CASE WHEN size >= 100 THEN min(page_id) OVER (PARTITION BY digest) END AS first FROM p)
+SELECT page_id, url, size::BIGINT AS payload_bytes, digest AS payload_digest,
+       CASE WHEN first IS NOT NULL AND (page_id IS NULL OR page_id > first) THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first IS NOT NULL AND (page_id IS NULL OR page_id > first) THEN first END AS refers_to FROM q"""
+
 TWINS = {
     "op3_repeated_strings": REPEATED,
     "op7_quality_rules": quality(),
     "op8_near_dedup": NEAR,
     "op10_license_scan": licenses(),
+    "op13_warc": ARCHIVED,
 }
