@@ -121,6 +121,14 @@ def op2_near_passages(spark, folder):
     return near_passages(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+@query
+def op12_spelling_variants(spark, folder):
+    """Near words, form and root of every frequent word."""
+    from plantgauge.llm.spelling import spelling_variants
+
+    return spelling_variants(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query
 def op13_warc(spark, folder):
     """Every page through an archive and back."""

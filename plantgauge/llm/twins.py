@@ -98,10 +98,36 @@ SELECT page_id, url, size::BIGINT AS payload_bytes, digest AS payload_digest,
        CASE WHEN first IS NOT NULL AND (page_id IS NULL OR page_id > first) THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN first IS NOT NULL AND (page_id IS NULL OR page_id > first) THEN first END AS refers_to FROM q"""
 
+VARIANTS = """
+WITH RECURSIVE crc AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(range(0, 8),
+        lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+d AS (SELECT row_number() OVER () AS k, coalesce(doc_id::VARCHAR, '') || ':' AS id,
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
+runs AS (SELECT k, id, run, count(*) AS n FROM (SELECT k, id, unnest(regexp_extract_all(x, '[a-zÀ-ÿ]+')) AS run FROM d) GROUP BY ALL),
+keyed AS (SELECT run, n, flatten(list_transform(string_split(id || run, ''),
+        lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c) - 64::BIGINT] END)) AS b
+    FROM runs WHERE length(run) >= 6),
+hashed AS (SELECT run, n, xor(list_reduce(b, lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1]), 4294967295), 4294967295) AS h FROM keyed, crc),
+words AS (SELECT w, sum(n)::BIGINT AS n FROM (
+    SELECT n, CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS w FROM hashed)
+    WHERE length(w) >= 6 GROUP BY w HAVING sum(n) >= 5),
+cut AS (SELECT w, n, i, left(w, i) || '_' || substr(w, i + 2) AS skip, left(w, i) || substr(w, i + 2) AS less
+        FROM (SELECT w, n, unnest(range(0, length(w))) AS i FROM words)),
+near AS (SELECT a.w, b.w AS o, b.n FROM cut a JOIN cut b ON a.skip = b.skip AND a.w <> b.w
+         UNION SELECT c.w, s.w, s.n FROM cut c JOIN words s ON c.less = s.w
+         UNION SELECT s.w, c.w, c.n FROM cut c JOIN words s ON c.less = s.w),
+best AS (SELECT w, count(*) AS n_near, first(o ORDER BY n DESC, o) AS o, max(n) AS m FROM near GROUP BY w),
+told AS (SELECT w, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * n THEN o END AS form, CASE WHEN m >= 5 * n THEN m END AS form_n
+         FROM words LEFT JOIN best USING (w)),
+walk(w, last) AS (SELECT w, w FROM told UNION ALL SELECT walk.w, told.form FROM walk JOIN told ON told.w = walk.last WHERE told.form IS NOT NULL)
+SELECT told.w AS word, told.form, walk.last AS root, told.n, told.n_near::BIGINT AS n_near, told.form_n
+FROM told JOIN walk ON walk.w = told.w JOIN told e ON e.w = walk.last AND e.form IS NULL"""
+
 TWINS = {
     "op3_repeated_strings": REPEATED,
     "op7_quality_rules": quality(),
     "op8_near_dedup": NEAR,
     "op10_license_scan": licenses(),
+    "op12_spelling_variants": VARIANTS,
     "op13_warc": ARCHIVED,
 }
