@@ -121,6 +121,14 @@ def op2_near_passages(spark, folder):
     return near_passages(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+@query
+def op11_collocations(spark, folder):
+    """The first phrases of every language by how much they exceed chance."""
+    from plantgauge.llm.collocations import collocations
+
+    return collocations(table(spark, folder, "documents").select("doc_id", "text", "lang"))
+
+
 @query
 def op12_spelling_variants(spark, folder):
     """Near words, form and root of every frequent word."""

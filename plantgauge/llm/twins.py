@@ -98,6 +98,28 @@ SELECT page_id, url, size::BIGINT AS payload_bytes, digest AS payload_digest,
        CASE WHEN first IS NOT NULL AND (page_id IS NULL OR page_id > first) THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN first IS NOT NULL AND (page_id IS NULL OR page_id > first) THEN first END AS refers_to FROM q"""
 
+PHRASES = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws
+      FROM (SELECT lang, unnest(regexp_split_to_array(x, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+total AS (SELECT lang, sum(len(ws)) AS n FROM p GROUP BY lang),
+g AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase, count(*) AS f
+      FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM p, (VALUES (1), (2), (3), (4), (5)) t(m) WHERE len(ws) >= m)
+      GROUP BY ALL HAVING count(*) >= 100),
+cand AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM g WHERE m > 1),
+cuts AS (SELECT c.lang, c.phrase, k, a, l.f AS l, r.f AS r, n, (1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f) AS score
+         FROM (SELECT *, unnest(range(1, m)) AS k FROM cand) c JOIN total USING (lang)
+         JOIN g l ON l.lang = c.lang AND l.phrase = array_to_string(ws[1:k], ' ')
+         JOIN g r ON r.lang = c.lang AND r.phrase = array_to_string(ws[k + 1:m], ' ')),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT lang, array_to_string(ws[i:i + s - 1], ' ') AS phrase, max(a) AS most
+           FROM (SELECT *, unnest(range(1, m - s + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS s FROM cand)) GROUP BY ALL),
+kept AS (SELECT lowest.* FROM lowest LEFT JOIN inside USING (lang, phrase) WHERE most IS NULL OR 100 * most < 100 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked WHERE rank <= 2000"""
+
 VARIANTS = """
 WITH RECURSIVE crc AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(range(0, 8),
         lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
@@ -128,6 +150,7 @@ TWINS = {
     "op7_quality_rules": quality(),
     "op8_near_dedup": NEAR,
     "op10_license_scan": licenses(),
+    "op11_collocations": PHRASES,
     "op12_spelling_variants": VARIANTS,
     "op13_warc": ARCHIVED,
 }
