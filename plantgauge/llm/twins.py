@@ -110,8 +110,8 @@ g AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase, count(*)
 cand AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM g WHERE m > 1),
 cuts AS (SELECT c.lang, c.phrase, k, a, l.f AS l, r.f AS r, n, (1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f) AS score
          FROM (SELECT *, unnest(range(1, m)) AS k FROM cand) c JOIN total USING (lang)
-         JOIN g l ON l.lang = c.lang AND l.phrase = array_to_string(ws[1:k], ' ')
-         JOIN g r ON r.lang = c.lang AND r.phrase = array_to_string(ws[k + 1:m], ' ')),
+         JOIN g l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[1:k], ' ')
+         JOIN g r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[k + 1:c.m], ' ')),
 lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
 inside AS (SELECT lang, array_to_string(ws[i:i + s - 1], ' ') AS phrase, max(a) AS most
            FROM (SELECT *, unnest(range(1, m - s + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS s FROM cand)) GROUP BY ALL),
