@@ -106,11 +106,12 @@ def op4_html_extraction(spark, folder):
 
 @query
 def op3_repeated_strings(spark, folder):
-    """Bytes of every document that a repeated string of 400 bytes covers."""
+    """Bytes of every document that a repeated string of 400 bytes covers, and the text without them."""
     from plantgauge.llm.repeated_strings import drop_repeated_strings
 
-    rows = drop_repeated_strings(table(spark, folder, "documents").select("doc_id", "text"))
-    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    docs = table(spark, folder, "documents")
+    rows = drop_repeated_strings(docs.select("doc_id", F.col("text").alias("whole")), "whole")
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("kept_text").alias("text"))
 
 
 @query

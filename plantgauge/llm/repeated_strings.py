@@ -151,11 +151,12 @@ def bins_of(rows: DataFrame) -> DataFrame:
 
 
 def strings_of(rows: DataFrame) -> DataFrame:
-    """(string, node, at, single) of rows (node, data, bins): every single string."""
+    """(core, string, node, at, single) of rows (node, data, bins): every single string. Equal
+    strings share the core of their bin, so two 64-bit hashes tell strings apart."""
 
     def cut(batches):
         for batch in batches:
-            row, (lo, hi, p, single) = lists(batch.column(2), ["lo", "hi", "p", "single"])
+            row, (lo, hi, p, single, core) = lists(batch.column(2), ["lo", "hi", "p", "single", "core"])
             for a, b, data, offsets in blocks_of(batch, 1):
                 mine = np.flatnonzero((row >= a) & (row < b))
                 if not len(mine):
@@ -166,11 +167,14 @@ def strings_of(rows: DataFrame) -> DataFrame:
                 start = at + offsets[:-1][row[which] - a]
                 h = mix(string_hash(prefix_sums(data), start, start + WIDTH) + (p[which] - at).astype(np.uint64))
                 yield pa.RecordBatch.from_arrays(
-                    [signed(h), batch.column(0).take(pa.array(row[which])), pa.array(at.astype(np.int32)), pa.array(single[which].astype(bool))],
-                    names=["string", "node", "at", "single"],
-                )
+                    [
+                        pa.array(core[which]), signed(h), batch.column(0).take(pa.array(row[which])), pa.array(at.astype(np.int32)),
+                        pa.array(single[which].astype(bool)),
+                    ],
+                    names=["core", "string", "node", "at", "single"],
+                )
 
-    return rows.mapInArrow(cut, "string long, node binary, at int, single boolean")
+    return rows.mapInArrow(cut, "core long, string long, node binary, at int, single boolean")
 
 
 def repeated_runs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -194,11 +198,11 @@ def repeated_runs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     cores = covers.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"))
     covers = stored(covers.join(cores, "core"), "covers")
     more = bins.join(covers.where("n > 1").select("core", "cover"), ["core", "cover"], "left_semi").where("single").select("node", "lo", "hi")
-    edges = covers.where("kinds > 1").select("one.node", "one.lo", "one.hi", "one.p", (F.col("one.single") & (F.col("n") == 1)).alias("single"))
-    edges = edges.groupBy("node").agg(F.collect_list(F.struct("lo", "hi", "p", "single")).alias("bins"))
+    edges = covers.where("kinds > 1").select("core", "one.node", "one.lo", "one.hi", "one.p", (F.col("one.single") & (F.col("n") == 1)).alias("single"))
+    edges = edges.groupBy("node").agg(F.collect_list(F.struct("lo", "hi", "p", "single", "core")).alias("bins"))
     strings = stored(strings_of(texts.join(edges, "node").select("node", "data", "bins")), "strings")
-    twice = strings.groupBy("string").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("string")
-    last = strings.join(twice, "string", "left_semi").where("single").select("node", F.col("at").alias("lo"), F.col("at").alias("hi"))
+    twice = strings.groupBy("core", "string").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core", "string")
+    last = strings.join(twice, ["core", "string"], "left_semi").where("single").select("node", F.col("at").alias("lo"), F.col("at").alias("hi"))
     every = runs.unionByName(more).unionByName(last)
     return every.groupBy("node").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), texts
 
@@ -215,44 +219,53 @@ def covered(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def drop_repeated_strings(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with n_bytes, n_removed, n_spans (long), kept_sha256 (string) and
-    kept_text (binary, null where nothing is removed: the text stands).
+    kept_text (string: what remains; a character cut in half is left out).
 
     Each byte covered by a string of WIDTH bytes that also starts anywhere else in
     the table, same document included, is removed, judged on the input. A null text
     is empty; texts below WIDTH bytes lose nothing; a text that stands in several
     rows loses all its bytes in each. An empty table stays empty. Columns of these
-    names are replaced. Strings are told apart by 64-bit hashes.
+    names are replaced, any others are kept. Strings are told apart by two 64-bit hashes.
     """
     own = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
-    data = F.encode(whole_text(text), "UTF-8")
-    df = df.drop(*own).withColumn("_r_node", F.unhex(F.md5(data)))
-    runs, texts = repeated_runs(df.select(F.col("_r_node").alias("node"), data.alias("data")))
+    whole = whole_text(text)
+    data = F.encode(whole, "UTF-8")
+    carried = [c for c in df.columns if c not in own]
+    # the caller's columns travel as one, so that no name can clash
+    rows = df.select(
+        F.unhex(F.md5(data)).alias("node"), F.length(data).cast("long").alias("n_bytes"), F.sha2(data, 256).alias("whole"),
+        F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"), whole.alias("text"),
+    )
+    runs, texts = repeated_runs(rows.select("node", F.encode("text", "UTF-8").alias("data")))
 
     def cut(batches):
         for batch in batches:
             row, (lo, hi) = lists(batch.column(2), ["lo", "hi"])
             bounds = np.searchsorted(row, np.arange(batch.num_rows + 1))
             removed, spans, digests, kept = [], [], [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
+            for i, t in enumerate(batch.column(1)):
+                t = t.as_py()
                 mine = slice(bounds[i], bounds[i + 1])
                 start, end = covered(lo[mine], hi[mine])
                 edges = [0, *np.stack([start, end], axis=1).ravel().tolist(), len(t)]
-                rest = b"".join(t[edges[j] : edges[j + 1]] for j in range(0, len(edges), 2))
+                pieces = [t[edges[j] : edges[j + 1]] for j in range(0, len(edges), 2)]
+                rest = b"".join(pieces)
                 removed.append(len(t) - len(rest))
                 spans.append(len(start))
                 digests.append(hashlib.sha256(rest).hexdigest())
-                kept.append(rest)
+                kept.append("".join(p.decode("utf-8", "ignore") for p in pieces))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.binary())],
+                [batch.column(0), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.string())],
                 names=["node", "removed", "spans", "digest", "rest"],
             )
 
-    cuts = texts.join(runs, "node").select("node", "data", "runs").mapInArrow(cut, "node binary, removed long, spans long, digest string, rest binary")
-    rows = df.withColumn("n_bytes", F.length(data).cast("long")).withColumn("_r_whole", F.sha2(data, 256))
-    return rows.join(cuts, rows["_r_node"] == cuts["node"], "left").select(
-        *[c for c in rows.columns if not c.startswith("_r_")],
+    cuts = texts.join(runs, "node").select("node", "data", "runs").mapInArrow(cut, "node binary, removed long, spans long, digest string, rest string")
+    return rows.join(cuts, "node", "left").select(
+        "row.*",
+        "n_bytes",
         F.coalesce("removed", F.lit(0).cast("long")).alias("n_removed"),
         F.coalesce("spans", F.lit(0).cast("long")).alias("n_spans"),
-        F.coalesce("digest", "_r_whole").alias("kept_sha256"),
-        F.col("rest").alias("kept_text"),
+        F.coalesce("digest", "whole").alias("kept_sha256"),
+        F.coalesce("rest", "text").alias("kept_text"),
     )
+

@@ -72,9 +72,11 @@ runs AS (SELECT k, min(q) AS a, max(q) + 400 AS b FROM (
 gone AS (SELECT k, sum(b - a) AS n, count(*) AS spans FROM runs GROUP BY k),
 pieces AS (SELECT k, a AS pos, lag(b, 1, 0) OVER (PARTITION BY k ORDER BY a) AS lo, a AS hi FROM runs
            UNION ALL SELECT k, 1000000000, max(b), 1000000000 FROM runs GROUP BY k),
-rest AS (SELECT k, string_agg(substr(h, 2 * lo + 1, 2 * (least(hi, len(h) // 2) - lo)), '' ORDER BY pos) AS r FROM pieces JOIN d USING (k) GROUP BY k)
+cut AS (SELECT k, pos, substr(h, 2 * lo + 1, 2 * (least(hi, len(h) // 2) - lo)) AS p FROM pieces JOIN d USING (k)),
+rest AS (SELECT k, string_agg(p, '' ORDER BY pos) AS r, string_agg(decode(unhex(regexp_replace(regexp_replace(p, '^([89AB].)+', ''),
+             '([CD].|E.([89AB].)?|F.([89AB].){0,2})$', ''))), '' ORDER BY pos) AS t FROM cut GROUP BY k)
 SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
-       sha256(unhex(coalesce(r, h))) AS kept_sha256
+       sha256(unhex(coalesce(r, h))) AS kept_sha256, coalesce(t, decode(unhex(h))) AS text
 FROM d LEFT JOIN gone USING (k) LEFT JOIN rest USING (k)"""
 
 NEAR = r"""

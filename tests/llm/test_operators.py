@@ -511,11 +511,31 @@ def test_repeated_strings_equal_brute_force(spark):
         a, a[:401] + "Q" + b, "R" + b[50:460], prose(30, 22) + a[100:510] + "é" + a[100:505], "ab" * 600, "x" * 399, "x" * 400, b[:399], b[:400] + "!",
         prose(400, 23), prose(400, 23)[:1500] + "??" + prose(400, 23)[1490:],
     ]
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in drop_repeated_strings(make(spark, texts)).collect()}
+    rows = {r["doc_id"]: r for r in drop_repeated_strings(make(spark, texts)).collect()}
+    got = {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in rows.items()}
     assert [got[i] for i in range(len(texts))] == brute_strings(texts)
+    for i, r in rows.items():
+        assert r["lang"] == "en" and r["text"] == texts[i]
+        if r["n_spans"] == 0:
+            assert r["kept_text"] == (texts[i] or "")
+        elif "é" not in texts[i]:
+            assert hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"]
     assert drop_repeated_strings(make(spark, [])).count() == 0
 
 
+def test_repeated_strings_with_names_of_their_own(spark):
+    """Columns called like the operator's inner ones are kept as they are; halved characters go."""
+    from plantgauge.llm.repeated_strings import drop_repeated_strings
+
+    same = "é" * 300
+    names = ["node", "removed", "spans", "digest", "rest", "whole", "row", "data"]
+    rows = [(1, "a" + same, *names), (2, "bb" + same[:250], *names), (3, None, *names)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    out = {r["doc_id"]: r for r in drop_repeated_strings(df).collect()}
+    assert all(r[n] == n for r in out.values() for n in names)
+    assert out[1]["kept_text"] == "a" and out[2]["kept_text"] == "bb" and out[3]["kept_text"] == ""
+
+
 def test_places_past_the_packed_bits(monkeypatch):
     """Texts longer than a packed place are walked in pieces: equal parts far apart
     keep equal anchors and windows."""
