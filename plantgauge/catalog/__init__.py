@@ -8,10 +8,13 @@ from plantgauge.catalog import (  # noqa: F401  (importing registers)
     economics,
     evaluation,
     flow,
+    hypothesis,
     insights,
+    margins,
     models,
     routing,
     splits,
+    timeline,
     vectors,
 )
 
