@@ -16,6 +16,7 @@ from plantgauge.catalog import (  # noqa: F401  (importing registers)
     splits,
     timeline,
     vectors,
+    conditions,
 )
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plantgauge import fixed_values as fv
 from plantgauge.catalog.base import CTES, pick, query, r
 from plantgauge.catalog.batches import BRANDS, table
-from plantgauge.operators import association
+from plantgauge.operators import association, batch
 
 N_BOOT = 1000
 
@@ -64,8 +64,12 @@ def stats(t):
     return association.factor_statistics(association.overall_pairs(table(t), fv.TELEMETRY))
 
 
+def family_pairs(t):
+    return association.family_pairs(table(t), fv.TELEMETRY, batch.category_counts_by_batch(t.inspection))
+
+
 def family_stats(t):
-    return association.factor_statistics(association.family_pairs(table(t, None), fv.TELEMETRY))
+    return association.factor_statistics(family_pairs(t))
 
 
 @query(oracle="SELECT parameter, n, rho FROM factor_stats", doubles="rho")
@@ -172,6 +176,68 @@ def family_matrix_wide(t):
     return association.correlation_matrix(family_stats(t), BRANDS)
 
 
+# tail probabilities in SQL: Student's t with whole degrees of freedom is a finite series, the
+# normal tail a series of positive terms
+def t_p(t: str, dof: str) -> str:
+    theta, c2 = f"atan(abs({t}) / sqrt({dof}))", f"(1.0 / (1.0 + {t} * {t} / {dof}))"
+    even = f"list_sum(list_transform(range(0, ({dof}) // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1.0) - lgamma(0.5) + k * ln({c2}))))"
+    odd = f"coalesce(list_sum(list_transform(range(0, ({dof} - 1) // 2), lambda k: exp(lgamma(0.5) - ln(2.0) + lgamma(k + 1.0) - lgamma(k + 1.5) + k * ln({c2})))), 0.0)"
+    return f"""least(1.0, greatest(0.0, CASE WHEN {dof} <= 0 THEN 1.0 WHEN ({dof}) % 2 = 0 THEN 1.0 - sin({theta}) * {even}
+        ELSE 1.0 - 2.0 / pi() * ({theta} + sin({theta}) * cos({theta}) * {odd}) END))"""
+
+
+def normal_p(z: str) -> str:
+    x = f"(({z}) / sqrt(2.0))"
+    erf = f"list_sum(list_transform(range(0, 120), lambda k: exp((2 * k + 1) * ln({x}) - lgamma(k + 1.5) - {x} * {x})))"
+    return f"CASE WHEN ({z}) <= 0 THEN 1.0 WHEN ({z}) > 8 THEN 0.0 ELSE greatest(0.0, 1.0 - {erf}) END"
+
+
+CTES["factor_p"] = f"""
+SELECT s.*, {t_p('s.t', '(s.n - 2)')} AS p, {normal_p('z')} AS p_mwu FROM (
+  SELECT *, (greatest(u, n_high * n_low - u) - n_high * n_low / 2.0 - 0.5)
+            / sqrt(n_high * n_low / 12.0 * ((n + 1) - tie_term / (n * (n - 1.0)))) AS z FROM factor_stats) s"""
+CTES["factor_q"] = """
+SELECT *, min(raw) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS q
+FROM (SELECT *, least(1.0, p * m / k) AS raw FROM (
+  SELECT *, row_number() OVER (ORDER BY p, parameter) AS k, count(*) OVER () AS m FROM factor_p))"""
+CTES["factor_labels"] = f"""
+SELECT *, CASE WHEN (abs(rho) >= 0.6 AND p < 0.05) OR (abs(delta) >= 0.08 AND p_mwu < 0.1) THEN 'Strong'
+               WHEN (abs(rho) >= 0.35 AND p < 0.15) OR abs(delta) >= 0.04 THEN 'Moderate' ELSE 'Weak' END AS raw_label,
+       q < {fv.SIGNIFICANCE} AS is_significant, 0.7 * abs(rho) + 0.3 * least(1.0, 3.0 * abs(delta)) AS effect_score FROM factor_q"""
+
+
+@query(
+    oracle="""SELECT parameter, p AS p_value, q AS p_adjusted, is_significant, CASE WHEN is_significant THEN raw_label ELSE 'not significant' END AS evidence,
+                     row_number() OVER (ORDER BY round(effect_score, 9) DESC, parameter)::INTEGER AS rank FROM factor_labels""",
+    doubles="p_value p_adjusted",
+)
+def factor_evidence(t):
+    """Rank correlation p-values, their adjustment, and what is left of each association."""
+    ranked = association.ranked_factors(association.overall_pairs(table(t), fv.TELEMETRY))
+    return ranked.select(
+        "parameter", F.col("p_spearman").alias("p_value"), F.col("q").alias("p_adjusted"), "is_significant",
+        F.col("evidence_label").alias("evidence"), "rank",
+    )
+
+
+@query(
+    oracle="""SELECT p.parameter, p.batch_id, p.x, p.y, mean - 2.0 * std AS lower, mean + 2.0 * std AS upper
+              FROM pairs p JOIN factor_stats s ON s.parameter = p.parameter WHERE abs(x - mean) > 2.0 * std""",
+    doubles="x y lower upper",
+)
+def factor_affected_batches(t):
+    return association.affected_batches(association.overall_pairs(table(t), fv.TELEMETRY))
+
+
+@query(
+    oracle=f"""SELECT parameter, family, {r('rho', 3)} AS rho FROM family_stats
+               WHERE family IN (SELECT family FROM family_pairs GROUP BY family HAVING stddev_pop(y) > 0)""",
+    doubles="rho",
+)
+def factor_category_correlations(t):
+    return association.category_correlations(family_pairs(t))
+
+
 @query()
 def factor_report(t):
     return association.analyze_factors(table(t), fv.TELEMETRY, n_boot=N_BOOT)
@@ -179,4 +245,5 @@ def factor_report(t):
 
 @query()
 def family_report(t):
-    return association.analyze_families(table(t, None), fv.TELEMETRY, n_boot=N_BOOT)
+    rates = batch.category_counts_by_batch(t.inspection)
+    return association.analyze_families(table(t), fv.TELEMETRY, n_boot=N_BOOT, rates=rates)

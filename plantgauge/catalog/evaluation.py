@@ -65,32 +65,27 @@ def scored(t):
     )
 
 
-def class_means(feats):
-    """One row per class: the mean of its training vectors, summed JVM-side."""
-    train = feats.where(F.col("split") == "train")
+def class_means(train) -> dict[str, list[float]]:
+    """The mean vector of each class of the training rows, summed JVM-side."""
     mean = Summarizer.mean(array_to_vector(vectors.doubles(F.col("embedding"))))
-    return train.groupBy("category").agg(vector_to_array(mean).alias("c"))
+    rows = train.groupBy("category").agg(vector_to_array(mean).alias("c"))
+    return {row["category"]: row["c"] for row in rows.collect()}  # one row per class
 
 
-def multiclass_logits(t):
-    """(rows with logits against each class mean, sorted class names)."""
-    feats = split_features(t)
-    means = {row["category"]: row["c"] for row in class_means(feats).collect()}  # one row per class
-    classes = sorted(means)
+def with_logits(rows, means: dict[str, list[float]]):
+    """Adds ``logits`` (10 times the cosine with each class mean, classes in order of name)."""
 
     def direction(c):
         size = max(1e-10, math.sqrt(sum(x * x for x in means[c])))
         return F.lit([x / size for x in means[c]])
 
     v = vectors.unit(vectors.doubles(F.col("embedding")))
-    z = vectors.let(v, lambda q: F.array(*[F.lit(10.0) * vectors.dot(q, direction(c)) for c in classes]))
-    rows = feats
-    target = F.array_position(F.lit(classes), F.col("category")).cast("int") - 1
-    return rows.select("vec_id", "category", "split", z.alias("logits"), target.alias("target")), classes
+    z = vectors.let(v, lambda q: F.array(*[F.lit(10.0) * vectors.dot(q, direction(c)) for c in sorted(means)]))
+    return rows.withColumn("logits", z)
 
 
-def multi_scored(t):
-    rows, classes = multiclass_logits(t)
+def predictions(rows, classes: list[str], keep=()):
+    """vec_id, actual_class, predicted_class, confidence, actual, predicted, probs from logits."""
     normal = classes.index("normal")
     scores = vectors.let(
         vectors.softmax(F.col("logits")),
@@ -98,9 +93,8 @@ def multi_scored(t):
             vectors.argmax(p).alias("best"), F.array_max(p).alias("top"), p[normal].alias("good"), p.alias("probs")
         ),
     )
-    rows = rows.withColumn("s", scores)
-    return rows.select(
-        "vec_id", "split", F.col("category").alias("actual_class"),
+    return rows.withColumn("s", scores).select(
+        "vec_id", *keep, F.col("category").alias("actual_class"),
         F.element_at(F.lit(classes), F.col("s.best") + 1).alias("predicted_class"),
         F.col("s.top").alias("confidence"),
         (F.col("category") != "normal").cast("int").alias("actual"),
@@ -109,6 +103,20 @@ def multi_scored(t):
     )
 
 
+def multiclass_logits(t):
+    """(rows with logits against each class mean, sorted class names)."""
+    feats = split_features(t)
+    means = class_means(feats.where(F.col("split") == "train"))
+    classes = sorted(means)
+    target = F.array_position(F.lit(classes), F.col("category")).cast("int") - 1
+    return with_logits(feats, means).select("vec_id", "category", "split", "logits", target.alias("target")), classes
+
+
+def multi_scored(t):
+    rows, classes = multiclass_logits(t)
+    return predictions(rows, classes, ["split"])
+
+
 def sql_wilson(count: str, n: str) -> tuple[str, str, str]:
     p = f"({count} / {n}::DOUBLE)"
     centre = f"({p} + {Z} * {Z} / (2.0::DOUBLE * {n}))"
@@ -353,107 +361,6 @@ def selective_metrics(t):
     return evaluation.selective_metrics(scored(t))
 
 
-# ---- conditions ------------------------------------------------------------
-
-# share of verdicts that each robustness condition turns over
-FLIPS = {
-    "baseline": 0.0, "bright_0.6": 0.05, "bright_1.4": 0.06, "contrast_0.6": 0.08, "contrast_1.4": 0.04, "rot_90": 0.2, "rot_180": 0.15,
-    "hflip": 0.02, "blur_1": 0.1, "blur_2": 0.18, "noise_10": 0.12, "noise_25": 0.3,
-}
-CTES["conditioned"] = f"""
-SELECT *, CAST(actual_class = predicted_class AS INTEGER) AS correct FROM (
-  SELECT m.vec_id, c.condition, actual_class, confidence, actual,
-         CASE WHEN {u("m.vec_id || '|' || c.condition")} < c.flip THEN CASE WHEN actual_class = 'normal' THEN 'defective' ELSE 'normal' END
-              ELSE predicted_class END AS predicted_class,
-         CASE WHEN {u("m.vec_id || '|' || c.condition")} < c.flip THEN CAST(actual_class = 'normal' AS INTEGER) ELSE predicted END AS predicted
-  FROM multi m, (VALUES {', '.join(f"('{c}', {x}::DOUBLE)" for c, x in FLIPS.items())}) AS c(condition, flip)
-  WHERE split = 'test')"""
-CFRR, CFAR = sql_wilson("fp", "(tn + fp)"), sql_wilson("fn", "(tp + fn)")
-
-
-def _sql_conditions(source: str) -> str:
-    return f"""
-SELECT e.*, first_value(accuracy) OVER b - accuracy AS drop_accuracy, first_value(f1_macro) OVER b - f1_macro AS drop_f1_macro
-FROM (SELECT g.condition, n, accuracy, f1_macro, tn, fp, fn, tp, {CFRR[0]} AS frr, {CFRR[1]} AS frr_low, {CFRR[2]} AS frr_high,
-             {CFAR[0]} AS far, {CFAR[1]} AS far_low, {CFAR[2]} AS far_high, uncertain_fraction, mean_confidence
-      FROM (SELECT condition, count(*) AS n, avg(correct) AS accuracy,
-                   count(*) FILTER (WHERE actual = 0 AND predicted = 0) AS tn, count(*) FILTER (WHERE actual = 0 AND predicted = 1) AS fp,
-                   count(*) FILTER (WHERE actual = 1 AND predicted = 0) AS fn, count(*) FILTER (WHERE actual = 1 AND predicted = 1) AS tp,
-                   avg(CAST(confidence < 0.15 AS INTEGER)) AS uncertain_fraction, avg(confidence) AS mean_confidence
-            FROM {source} GROUP BY condition) g
-      JOIN (SELECT condition, avg(f1) AS f1_macro FROM (
-              SELECT condition, class, {sql_ratio('2 * sum(hit)', 'sum(called) + sum(support)')} AS f1 FROM (
-                SELECT condition, actual_class AS class, 1 AS support, 0 AS called, correct AS hit FROM {source}
-                UNION ALL SELECT condition, predicted_class, 0, 1, 0 FROM {source}) GROUP BY condition, class) GROUP BY condition) f
-      ON f.condition = g.condition) e
-WINDOW b AS (ORDER BY condition <> 'baseline' ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"""
-
-
-CTES["condition_eval"] = _sql_conditions("conditioned")
-CTES["conditioned_after"] = f"""
-SELECT * REPLACE (CASE WHEN {u("vec_id || '|fix'")} < 0.5 THEN actual_class ELSE predicted_class END AS predicted_class,
-                  CASE WHEN {u("vec_id || '|fix'")} < 0.5 THEN actual ELSE predicted END AS predicted,
-                  CASE WHEN {u("vec_id || '|fix'")} < 0.5 THEN 1 ELSE correct END AS correct) FROM conditioned"""
-CTES["condition_after"] = _sql_conditions("conditioned_after")
-CONDITION_DOUBLES = "accuracy f1_macro " + RATES + " uncertain_fraction mean_confidence drop_accuracy drop_f1_macro"
-
-
-def conditioned(t):
-    """Test predictions under all twelve conditions, each flipping a share of the verdicts."""
-    rows = multi_scored(t).where(F.col("split") == "test").drop("probs", "split")
-    options = F.array(*[F.struct(F.lit(c).alias("condition"), F.lit(f).alias("flip")) for c, f in FLIPS.items()])
-    rows = rows.select("*", F.explode(options).alias("o")).select("*", "o.*").drop("o")
-    flipped = draws.uniform(F.col("vec_id"), F.col("condition")) < F.col("flip")
-    good = F.col("actual_class") == "normal"
-    return rows.withColumns(
-        {
-            "predicted_class": F.when(flipped, F.when(good, "defective").otherwise("normal")).otherwise(F.col("predicted_class")),
-            "predicted": F.when(flipped, good.cast("int")).otherwise(F.col("predicted")),
-        }
-    )
-
-
-def conditions_after(t):
-    fixed = draws.uniform(F.col("vec_id"), "fix") < 0.5
-    return conditioned(t).withColumns(
-        {
-            "predicted_class": F.when(fixed, F.col("actual_class")).otherwise(F.col("predicted_class")),
-            "predicted": F.when(fixed, F.col("actual")).otherwise(F.col("predicted")),
-        }
-    )
-
-
-@query(oracle="SELECT * FROM condition_eval", doubles=CONDITION_DOUBLES)
-def condition_eval(t):
-    return evaluation.evaluate_conditions(conditioned(t), threshold=0.15)
-
-
-@query(
-    oracle="""SELECT condition, drop_accuracy, drop_f1_macro, f1_macro, accuracy FROM condition_eval
-              WHERE condition <> 'baseline' ORDER BY round(drop_f1_macro, 9) DESC, condition LIMIT 1""",
-    doubles="drop_accuracy drop_f1_macro f1_macro accuracy",
-)
-def worst_condition(t):
-    return evaluation.worst_condition(evaluation.evaluate_conditions(conditioned(t), threshold=0.15))
-
-
-_PAIRS = ["accuracy", "f1_macro", "frr", "far", "mean_confidence"]
-
-
-@query(
-    oracle="SELECT b.condition, "
-    + ", ".join(f"b.{c} AS baseline_{c}, a.{c} AS robust_{c}, a.{c} - b.{c} AS delta_{c}" for c in _PAIRS)
-    + """, CASE WHEN round(a.f1_macro - b.f1_macro, 9) > 0.001 OR round(a.accuracy - b.accuracy, 9) > 0.001 THEN 'Improved'
-               WHEN round(a.f1_macro - b.f1_macro, 9) < -0.001 OR round(a.accuracy - b.accuracy, 9) < -0.001 THEN 'Degraded'
-               ELSE 'Unchanged' END AS status
-         FROM condition_eval b JOIN condition_after a ON a.condition = b.condition""",
-    doubles=" ".join(f"{p}_{c}" for c in _PAIRS for p in ("baseline", "robust", "delta")),
-)
-def before_after(t):
-    before = evaluation.evaluate_conditions(conditioned(t), threshold=0.15)
-    return evaluation.before_after(before, evaluation.evaluate_conditions(conditions_after(t), threshold=0.15))
-
-
 @query(
     oracle="""SELECT count(*) AS n, avg(CAST(p <= (SELECT quantile_cont(p, 0.99) FROM scored WHERE split = 'val' AND actual = 0)
                                              AS INTEGER)) AS fraction_below_limit

@@ -20,9 +20,10 @@ CTES["top_family"] = """
 SELECT family, n AS family_count, n / (SELECT sum(n) FROM family_counts)::DOUBLE AS family_share
 FROM family_counts ORDER BY n DESC, family LIMIT 1"""
 CTES["top_factor"] = """
-SELECT * FROM factor_stats ORDER BY round(0.7 * abs(rho) + 0.3 * least(1.0, 3.0 * abs(delta)), 9) DESC, parameter LIMIT 1"""
+SELECT *, CASE WHEN is_significant THEN raw_label ELSE 'not significant' END AS evidence
+FROM factor_labels ORDER BY round(effect_score, 9) DESC, parameter LIMIT 1"""
 CTES["facts"] = """
-SELECT f.*, t.parameter, t.rho, t.n AS n_batches_used, (SELECT count(*) FROM batch_table) AS n_batches, t.high_mean, t.low_mean,
+SELECT f.*, t.parameter, t.rho, t.p AS p_value, t.evidence, t.n AS n_batches_used, (SELECT count(*) FROM batch_table) AS n_batches, t.high_mean, t.low_mean,
        l.bottleneck_station AS station, l.utilization, l.wip, l.rework_rate, l.throughput_lost_due_to_rework AS lost_uph,
        p.line_throughput, p.cost_of_poor_quality AS copq, p.scrap_cost, p.rework_cost, p.downtime_cost, p.margin, p.revenue,
        p.cost, p.profit, (tp + tn) / (tn + fp + fn + tp)::DOUBLE AS accuracy, fp / (tn + fp)::DOUBLE AS frr,
@@ -85,40 +86,97 @@ NUMBERS = {
 }
 
 
-@query(
-    oracle="\nUNION ALL ".join(
-        f"SELECT '{c}' AS category, '{n}' AS name, {e} AS value FROM facts" for c, cols in NUMBERS.items() for n, e in cols.items()
+def text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def money(expr: str, digits: int) -> str:
+    return f"format('{{:,.{digits}f}}', {expr})"
+
+
+LOSS = "copq / revenue * 100.0"
+STATEMENTS = {
+    "flow": (f"printf({text(fv.FLOW_FINDING)}, station, utilization * 100.0, wip, rework_rate * 100.0, lost_uph)", "'High'"),
+    "factor": (
+        f"printf({text(fv.FACTOR_FINDING)}, parameter, rho, p_value, n_batches, parameter, high_mean * 100.0, low_mean * 100.0)", "evidence"
     ),
-    doubles="value",
-)
+    "cost": (
+        f"printf({text(fv.COST_FINDING)}, {money('copq', 2)}, {money('scrap_cost', 2)}, {money('rework_cost', 2)}, {money('downtime_cost', 2)}, {LOSS})",
+        "'High'",
+    ),
+    "quality": (
+        f"printf({text(fv.QUALITY_FINDING)}, accuracy * 100.0, frr * 100.0, far * 100.0, uncertain_count, uncertain_fraction * 100.0)", "'High'"
+    ),
+}
+NUMBERS["Root-Cause Attribution"]["p_value"] = r("p_value", 4)
+
+
+def _findings() -> str:
+    rows = []
+    for kind, (statement, confidence) in STATEMENTS.items():
+        category, of = fv.FINDING_CATEGORIES[kind]
+        shown = f"printf({text(of)}, evidence)" if "%s" in of else text(of)
+        rows += [
+            f"SELECT {text(category)} AS category, {statement} AS statement, {confidence} AS confidence, {shown} AS evidence_type, '{n}' AS name, {e} AS value FROM facts"
+            for n, e in NUMBERS[category].items()
+        ]
+    return "\nUNION ALL ".join(rows)
+
+
+@query(oracle=_findings(), doubles="value")
 def computed_insights(t):
+    """Every finding with its text and each of its named numbers."""
     rows = report(t).insights()
-    numbers = rows.select("category", F.explode("evidence").alias("name", "value"))
-    return numbers.where(F.col("name") != "p_value")  # the tail probability has no SQL twin
+    return rows.select("category", "statement", "confidence", "evidence_type", F.explode("evidence").alias("name", "value"))
+
+
+# name, metric and detail of the six stages
+SHOWN = [
+    ("family", "printf('%.1f%% of defects', family_share * 100)", "printf('%d units flagged', family_count)"),
+    ("parameter", "printf('Spearman rho = %+.2f', rho)",
+     "printf('p=%.4f (%s evidence, +%.1f%% pts in high batches)', p_value, evidence, (high_mean - low_mean) * 100.0)"),
+    ("station", "printf('%.1f%% Utilization', utilization * 100)", "printf('WIP: %d | Rework adds +%.1f%% load', wip, rework_rate * 100.0)"),
+    ("printf('%.1f UPH Lost', lost_uph)", "printf('-%.1f UPH', lost_uph)", "'Lost due to rework looping back into bottleneck'"),
+    (f"'$' || {money('copq', 2)}", f"'$' || {money('copq', 0)} || ' COPQ'",
+     f"printf('$%s scrap, $%s rework, $%s dt', {money('scrap_cost', 0)}, {money('rework_cost', 0)}, {money('downtime_cost', 0)})"),
+    ("printf('%.1f%% Margin', margin * 100)", "printf('%.1f%% Operating Margin', margin * 100)", f"printf('-%.1f%% pts lost to poor quality', {LOSS})"),
+]
 
 
 @query(
-    oracle=r"""SELECT 1 AS stage, 'Top Defect Family' AS title, family AS name, printf('%.1f%% of defects', family_share * 100) AS metric, true AS is_available FROM facts
-               UNION ALL SELECT 2, 'Likely Contributing Factor', parameter, printf('Spearman rho = %+.2f', rho), true FROM facts
-               UNION ALL SELECT 3, 'Primary Line Bottleneck', station, printf('%.1f%% Utilization', utilization * 100), true FROM facts
-               UNION ALL SELECT 4, 'Throughput Lost', printf('%.1f UPH Lost', lost_uph), printf('-%.1f UPH', lost_uph), true FROM facts
-               UNION ALL SELECT 5, 'Cost of Poor Quality', '$' || format('{:,.2f}', copq), '$' || format('{:,.0f}', copq) || ' COPQ', true FROM facts
-               UNION ALL SELECT 6, 'Gross Margin Impact', printf('%.1f%% Margin', margin * 100), printf('%.1f%% Operating Margin', margin * 100), true FROM facts"""
+    oracle="\nUNION ALL ".join(
+        f"SELECT {i + 1} AS stage, {text(title)} AS title, {name} AS name, {metric} AS metric, {detail} AS detail, true AS is_available FROM facts"
+        for i, (title, (name, metric, detail)) in enumerate(zip(fv.STAGES, SHOWN))
+    )
 )
 def impact_chain(t):
-    return report(t).impact_chain().drop("detail")
+    return report(t).impact_chain()
+
+
+GAIN, POINTS = f"copq * {fv.COPQ_RECOVERY}::DOUBLE", f"copq * {fv.COPQ_RECOVERY}::DOUBLE / revenue * 100.0"
+ADVICE = [  # title, evidence, action, impact, gain, points
+    ("parameter", f"printf('Likely contributing factor: %s (%s, %s)', parameter, {SHOWN[1][1]}, {SHOWN[1][2]})",
+     f"printf({text(fv.ADVICE_ACTIONS[0])}, parameter, parameter, family, {SHOWN[1][2]})",
+     f"printf({text(fv.ADVICE_IMPACTS[0])}, parameter, family, lost_uph)", "CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)"),
+    ("station", f"printf('Bottleneck station: %s (%s, %s)', station, {SHOWN[2][1]}, {SHOWN[2][2]})",
+     f"printf({text(fv.ADVICE_ACTIONS[1])}, station, {SHOWN[2][2]})", f"printf({text(fv.ADVICE_IMPACTS[1])}, station, {SHOWN[3][0]})",
+     "CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)"),
+    (SHOWN[4][0], f"printf('Total Cost of Poor Quality: %s (%s, %s)', {SHOWN[4][0]}, {SHOWN[4][2]}, {SHOWN[5][2]})",
+     text(fv.ADVICE_ACTIONS[2]), f"printf({text(fv.ADVICE_IMPACTS[2])}, {money(GAIN, 0)}, {POINTS})", GAIN, POINTS),
+]
 
 
 @query(
-    oracle="""SELECT 'Process Telemetry & Quality Control' AS category, 'Process Intervention: Restabilize ' || parameter AS title,
-                     CAST(NULL AS DOUBLE) AS projected_profit_gain, CAST(NULL AS DOUBLE) AS projected_margin_points FROM facts
-              UNION ALL SELECT 'Production Flow & Bottlenecks', 'Bottleneck Relief: Pre-Screen at ' || station, NULL, NULL FROM facts
-              UNION ALL SELECT 'Plant Financials & COPQ', 'Cost Recovery: Mitigate $' || format('{:,.2f}', copq) || ' COPQ',
-                               copq * 0.30::DOUBLE, copq * 0.30::DOUBLE / revenue * 100.0 FROM facts""",
+    oracle="\nUNION ALL ".join(
+        f"""SELECT {text(fv.ADVICE_CATEGORIES[i])} AS category, printf({text(fv.ADVICE_TITLES[i])}, {subject}) AS title, {evidence} AS evidence,
+                   {action} AS recommended_action, {impact} AS projected_impact, {gain} AS projected_profit_gain, {points} AS projected_margin_points,
+                   {text(fv.ADVICE_CONFIDENCE[i])} AS confidence_level, {text(fv.ADVISORY_STATUS)} AS status FROM facts"""
+        for i, (subject, evidence, action, impact, gain, points) in enumerate(ADVICE)
+    ),
     doubles="projected_profit_gain projected_margin_points",
 )
 def advisories(t):
-    return report(t).advisories().select("category", "title", "projected_profit_gain", "projected_margin_points")
+    return report(t).advisories()
 
 
 @query(
@@ -131,6 +189,10 @@ def kpi_row(t):
     return report(t).kpis()
 
 
-@query()
+@query(
+    oracle=f"""SELECT printf('Top defect family is <b>%s</b> (%.1f%% of defects). statistically associated with process parameter <b>%s</b> (rho=%+.2f, p=%.4f). cycling rework into primary bottleneck <b>%s</b> (%.1f%% utilization). causing an avoidable throughput loss of <b>%.1f UPH</b>. and driving <b>$%s</b> in Cost of Poor Quality (COPQ). depressing plant operating margin by <b>%.1f%% points</b> to <b>%.1f%%</b>.',
+                             family, family_share * 100.0, parameter, rho, p_value, station, utilization * 100.0, lost_uph, {money('copq', 2)}, {LOSS}, margin * 100.0) AS narrative,
+                      true AS all_available FROM facts"""
+)
 def impact_narrative(t):
     return report(t).narrative()

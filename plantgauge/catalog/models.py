@@ -63,7 +63,7 @@ def logreg_calibration(t):
 
 @query()
 def heldout_class(t):
-    return models.held_out_class(cut_lineage(split_features(t)), "defect_9")
+    return models.held_out_classes(cut_lineage(split_features(t)))
 
 
 @query()

@@ -10,6 +10,8 @@ from plantgauge.catalog.evaluation import sql_wilson
 from plantgauge.catalog.splits import split_features
 from plantgauge.functions.columns import wilson
 from plantgauge.operators import features, neighbors
+from plantgauge.operators.bounds import column_values
+from plantgauge.operators.prefix import percentiles
 
 BANK = fv.BANK_ROWS  # the operator's own bank size
 
@@ -28,11 +30,14 @@ CTES["novelty_limit"] = """
 SELECT quantile_cont(novelty_score, 0.95) AS threshold, count(*) AS n, avg(novelty_score) AS mean, max(novelty_score) AS max
 FROM novelty WHERE split = 'val'"""
 CTES["held_novelty"] = """
-SELECT id, split, category, min(distance) AS novelty_score FROM class_distances WHERE class <> 'defect_9' GROUP BY ALL"""
+SELECT h.held_out_class, id, split, category, min(distance) AS novelty_score
+FROM class_distances d JOIN (SELECT DISTINCT category AS held_out_class FROM split_features WHERE category <> 'normal') h
+  ON d.class <> h.held_out_class GROUP BY ALL"""
 CTES["held_flags"] = """
-SELECT category, CAST(novelty_score > (SELECT quantile_cont(novelty_score, 0.95) FROM held_novelty
-                                       WHERE split = 'val' AND category <> 'defect_9') AS INTEGER) AS flag
-FROM held_novelty WHERE split = 'test'"""
+SELECT h.held_out_class, category, CAST(novelty_score > threshold AS INTEGER) AS flag
+FROM held_novelty h JOIN (SELECT held_out_class, quantile_cont(novelty_score, 0.95) AS threshold FROM held_novelty
+                          WHERE split = 'val' AND category <> held_out_class GROUP BY held_out_class) l
+  ON l.held_out_class = h.held_out_class WHERE split = 'test'"""
 CTES["bank"] = f"""
 SELECT vec_id, embedding FROM split_features WHERE split = 'train' AND category = 'normal'
 ORDER BY md5(vec_id || '|42'), vec_id LIMIT {BANK}"""
@@ -42,11 +47,9 @@ def labelled(t):
     return split_features(t).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), F.col("category").alias("class"), "split")
 
 
-def novelty(t, held_out=None):
+def novelty(t):
     rows = labelled(t)
     bank = rows.where(F.col("split") == "train")
-    if held_out:
-        bank = bank.where(F.col("class") != held_out)
     asked = rows.where(F.col("split") != "train")
     scores = neighbors.novelty_scores(asked.select("id", "vec"), bank.select("id", "class", "vec"))
     return scores.join(asked.select("id", "split", F.col("class").alias("category")), "id")
@@ -111,22 +114,25 @@ W = sql_wilson("flagged", "n")
 
 
 @query(
-    oracle=f"""SELECT category, n, flagged, {W[0]} AS rate, {W[1]} AS low, {W[2]} AS high
-               FROM (SELECT category, count(*) AS n, CAST(sum(flag) AS BIGINT) AS flagged FROM held_flags GROUP BY category)""",
+    oracle=f"""SELECT held_out_class, category, n, flagged, {W[0]} AS rate, {W[1]} AS low, {W[2]} AS high
+               FROM (SELECT held_out_class, category, count(*) AS n, CAST(sum(flag) AS BIGINT) AS flagged FROM held_flags GROUP BY ALL)""",
     doubles="rate low high",
 )
 def false_novel_by_class(t):
-    """One class held out: how often it is flagged, and the false flags of the others."""
-    held = "defect_9"
-    scores = novelty(t, held)
-    known_val = scores.where((F.col("split") == "val") & (F.col("category") != held))
-    limit = neighbors.score_threshold(known_val, "novelty_score", fv.NOVELTY_PERCENTILE, fv.EMPTY_NOVELTY_THRESHOLD)
-    flagged = neighbors.above_threshold(scores.where(F.col("split") == "test"), "novelty_score", limit, "is_novel")
-    g = flagged.groupBy("category").agg(
-        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("is_novel"), 1)).alias("flagged")
-    )
+    """Every defect class held out in turn: how often it is flagged, and the false flags of the others."""
+    rows = labelled(t)
+    asked = rows.where(F.col("split") != "train")
+    bank = rows.where(F.col("split") == "train").select("id", "class", "vec")
+    held = [c for c in column_values(rows, "class") if c != fv.NORMAL_CLASS]
+    distances = neighbors.class_distances(asked.select("id", "vec"), bank)
+    scores = neighbors.held_out_scores(distances, held).join(asked.select("id", "split", F.col("class").alias("category")), "id")
+    known = scores.where((F.col("split") == "val") & (F.col("category") != F.col("held_out_class")))
+    limits = percentiles(known, ["held_out_class"], "novelty_score", {"threshold": fv.NOVELTY_PERCENTILE})
+    flagged = scores.where(F.col("split") == "test").join(F.broadcast(limits.drop("n")), "held_out_class")  # one row per class
+    novel = F.col("novelty_score") > F.col("threshold")
+    g = flagged.groupBy("held_out_class", "category").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(novel, 1)).alias("flagged"))
     w = wilson(F.col("flagged"), F.col("n"))
-    return g.select("category", "n", "flagged", *[w[k].alias(k) for k in ("rate", "low", "high")])
+    return g.select("held_out_class", "category", "n", "flagged", *[w[k].alias(k) for k in ("rate", "low", "high")])
 
 
 OUT = 16

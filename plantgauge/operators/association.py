@@ -50,13 +50,28 @@ def overall_pairs(table: DataFrame, parameters: Sequence[str] | None = None) ->
     return _settle(batch.unpivoted(narrow, ["batch_id", "y"], params), ["parameter"], row_count(narrow))
 
 
-def family_pairs(table: DataFrame, parameters: Sequence[str] | None = None) -> Pairs:
-    """Each parameter against the rate of each defect category (the rate_ columns)."""
+def family_pairs(
+    table: DataFrame, parameters: Sequence[str] | None = None, rates: DataFrame | None = None
+) -> Pairs:
+    """Each parameter against the rate of each defect category.
+
+    ``rates`` is the long table batch_id, category, rate of the pairs that occur; batches where a
+    category does not occur have rate 0. So there is no column per category and no limit to
+    their number. Without it the rate_ columns of ``table`` are taken.
+    """
     params = list(parameters or batch.parameter_columns(table))
-    rates = [c for c in table.columns if c.startswith("rate_")]
-    names = {c: c.removeprefix("rate_") for c in rates}
-    narrow = cut_lineage(table.select("batch_id", *params, *[F.col(f"`{c}`").alias(names[c]) for c in rates]))
-    by_family = narrow.unpivot(["batch_id", *params], list(names.values()), "family", "y")
+    if rates is None:
+        columns = [c for c in table.columns if c.startswith("rate_")]
+        names = {c: c.removeprefix("rate_") for c in columns}
+        narrow = cut_lineage(table.select("batch_id", *params, *[F.col(f"`{c}`").alias(names[c]) for c in columns]))
+        by_family = narrow.unpivot(["batch_id", *params], list(names.values()), "family", "y")
+    else:
+        narrow = cut_lineage(table.select("batch_id", *params))
+        known = cut_lineage(rates.select(F.col("batch_id").cast("string").alias("batch_id"), F.col("category").alias("family"), F.col("rate").alias("y")))
+        # every batch has a rate of every family, so the result is this grid
+        grid = narrow.crossJoin(small_side(known.select("family").distinct()))
+        by_family = grid.join(known, ["batch_id", "family"], "left").withColumn("y", F.coalesce("y", F.lit(0.0)))
+        by_family = by_family.select("batch_id", *params, "family", "y")
     long = batch.unpivoted(by_family, ["batch_id", "family", "y"], params)
     return _settle(long, ["family", "parameter"], row_count(narrow))
 
@@ -151,6 +166,25 @@ def factor_statistics(p: Pairs) -> DataFrame:
     )
 
 
+def affected_batches(p: Pairs) -> DataFrame:
+    """keys, batch_id, x, y, limits of every batch outside the 2-sigma limits of a parameter.
+
+    Rows instead of a list per parameter: their number grows with the batches.
+    """
+    limits = factor_statistics(p).select(*p.keys, "lower", "upper")  # one row per key
+    out = p.df.join(small_side(limits), p.keys)
+    return out.where((F.col("x") > F.col("upper")) | (F.col("x") < F.col("lower"))).select(
+        *p.keys, "batch_id", "x", "y", "lower", "upper"
+    )
+
+
+def category_correlations(p: Pairs) -> DataFrame:
+    """parameter, family, rho (3 digits) for the families whose rate varies; pairs by family."""
+    varying = p.df.groupBy("family").agg((F.stddev_pop("y") > 0).alias("_v")).where("_v").drop("_v")
+    stats = factor_statistics(p).join(varying, "family", "left_semi")
+    return stats.select("parameter", "family", rounded(F.col("rho"), 3).alias("rho"))
+
+
 def effect_score(rho: Column, delta: Column) -> Column:
     return F.lit(0.7) * F.abs(rho) + F.lit(0.3) * F.least(F.lit(1.0), F.abs(delta) * 3.0)
 
@@ -316,9 +350,11 @@ def family_label(rho: Column, p: Column, significant: Column) -> Column:
     )
 
 
-def analyze_families(table: DataFrame, parameters: Sequence[str] | None = None, n_boot: int = 1000) -> DataFrame:
+def analyze_families(
+    table: DataFrame, parameters: Sequence[str] | None = None, n_boot: int = 1000, rates: DataFrame | None = None
+) -> DataFrame:
     """Every family against every parameter; ``position`` 1 is the family's top factor."""
-    p = family_pairs(table, parameters)
+    p = family_pairs(table, parameters, rates)
     varying = Window.partitionBy("family")
     stats = factor_statistics(p).withColumn("p_spearman", t_two_sided(F.col("t"), F.col("n") - 2))
     adjusted = benjamini_hochberg(cut_lineage(stats), "p_spearman", ["family"], ["parameter"])

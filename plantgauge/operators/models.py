@@ -17,6 +17,7 @@ from plantgauge.functions import vectors
 from plantgauge.functions.columns import has_category, is_defective, wilson
 from plantgauge.operators import evaluation, features, neighbors
 from plantgauge.operators.batch import category_column
+from plantgauge.operators.bounds import column_values
 from plantgauge.session import cut_lineage
 
 SEED = 42
@@ -233,6 +234,22 @@ def held_out_class(
     )
 
 
+def held_out_classes(split_rows: DataFrame, classes: Sequence[str] | None = None, label: str = "category", **options) -> DataFrame:
+    """:func:`held_out_class` for every class but the normal one, keyed by ``held_out_class``.
+
+    Classes are few by the check of ``column_values``; each is one training run, whose figures are
+    settled before the next one starts.
+    """
+    held = list(classes) if classes is not None else [c for c in column_values(split_rows, label) if c != fv.NORMAL_CLASS]
+    if not held:
+        raise ValueError("no class to hold out")
+    out = None
+    for c in held:
+        rows = cut_lineage(held_out_class(split_rows, c, label=label, **options))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def robust_retrain(
     split_rows: DataFrame, id_col: str = "vec_id", vec: str = "embedding", label: str = "category",
     threshold: float = fv.UNCERTAIN_BELOW,

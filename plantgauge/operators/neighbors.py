@@ -11,6 +11,7 @@ are exact.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -260,6 +261,18 @@ def unit_scores(scores: DataFrame, unit: str) -> DataFrame:
     return scores.groupBy(unit).agg(F.max("anomaly_score").alias("anomaly_score"))
 
 
+def held_out_scores(distances: DataFrame, held: Sequence[str], class_col: str = "class") -> DataFrame:
+    """held_out_class, id, novelty_score: the least distance to any class but the one held out.
+
+    One row per id and class of ``distances`` is all it takes: the bank is searched once,
+    however many classes are held out. An id whose only class is held out has no score.
+    """
+    near = distances.groupBy("id").agg(F.collect_list(F.struct("distance", class_col)).alias("near"))  # one entry per class
+    rows = near.select("id", "near", F.explode(F.array(*[F.lit(h) for h in held])).alias("held_out_class"))
+    rest = F.filter("near", lambda e: e[class_col] != F.col("held_out_class"))
+    return rows.select("held_out_class", "id", F.array_min(F.transform(rest, lambda e: e["distance"])).alias("novelty_score"))
+
+
 def score_threshold(scores: DataFrame, column: str, level: float, when_empty: float) -> DataFrame:
     """One row: threshold (exact percentile), mean and max of the scores."""
     found = percentiles(scores, [], column, {"threshold": level})

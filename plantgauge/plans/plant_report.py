@@ -63,7 +63,15 @@ class PlantReport:
         return association.analyze_factors(self.batches, self.parameters, n_boot)
 
     def families(self, n_boot: int = 1000) -> DataFrame:
-        return association.analyze_families(self.batches, self.parameters, n_boot)
+        rates = batch.category_counts_by_batch(self.inspection) if batch.category_column(self.inspection) else None
+        return association.analyze_families(self.batches, self.parameters, n_boot, rates)
+
+    def affected_batches(self) -> DataFrame:
+        return association.affected_batches(association.overall_pairs(self.batches, self.parameters))
+
+    def category_correlations(self) -> DataFrame:
+        rates = batch.category_counts_by_batch(self.inspection)
+        return association.category_correlations(association.family_pairs(self.batches, self.parameters, rates))
 
     def what_if(self, scenarios: Sequence[tuple[float, float, float]]) -> DataFrame:
         return economics.what_if(self.pnl, scenarios)

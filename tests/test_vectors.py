@@ -166,3 +166,11 @@ def test_bank_is_the_smallest_hashes(spark):
     every = df.orderBy(F.md5(F.concat_ws("|", F.col("id").cast("string"), F.lit("42"))), "id").limit(60)
     assert bank == sorted(r["id"] for r in every.collect())
     assert neighbors.reference_bank(df, 1000).count() == 500
+
+
+def test_held_out_scores(spark):
+    rows = [("a", "p", 0.3), ("a", "q", 0.1), ("a", "normal", 0.2), ("b", "p", 0.5)]
+    out = neighbors.held_out_scores(spark.createDataFrame(rows, "id string, class string, distance double"), ["p", "q"]).collect()
+    assert {(r["held_out_class"], r["id"]): r["novelty_score"] for r in out} == {
+        ("p", "a"): 0.1, ("q", "a"): 0.2, ("p", "b"): None, ("q", "b"): 0.5,
+    }
