@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from plantgauge.llm.common import ship_package, stored, whole_text
+from plantgauge.llm.common import chunks, ship_package, stored, whole_text
 from plantgauge.operators.bounds import row_count, small_side
 from plantgauge.operators.prefix import numbered
 
@@ -37,7 +37,7 @@ WORD_ROWS = 200_000
 GROUP_ROWS = 2_000_000
 # distinct words or pairs that one task adds up before it passes them on
 COUNTED = 300_000
-PAIRS = 2_000_000
+PAIRS = 700_000
 # bytes of a block of a text, and positions of one batch of a relation
 BLOCK_BYTES = 1 << 20
 BATCH = 1 << 19
@@ -188,6 +188,13 @@ def first_relation(docs: DataFrame, words: DataFrame, n_words: int, ahead: int)
     return gathered(flat.join(words.select("gid", "lang", "word"), ["lang", "word"]).select("block", "own", "at", "gid"))
 
 
+def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a relation in parts of about ``BATCH`` occurrences."""
+    for batch in batches:
+        for a, b in chunks(np.diff(batch.column("at").offsets.to_numpy()), BATCH):
+            yield batch.slice(a, b - a)
+
+
 def adjacent(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The merge join of a batch of the relation with itself one position on: row, position,
     group there and group at the next position of the same piece."""
@@ -235,7 +242,7 @@ def pair_counts(relation: DataFrame, least: int) -> DataFrame:
             for i in range(0, len(columns[0]), BATCH):
                 yield pa.RecordBatch.from_arrays([pa.array(c[i : i + BATCH], pa.int64()) for c in columns], schema=schema)
 
-        for batch in batches:
+        for batch in cut(batches):
             row, at, left, right = adjacent(batch)
             own = batch.column("own").to_numpy()[row]
             left, right = left[at < own], right[at < own]
@@ -265,7 +272,7 @@ def next_relation(relation: DataFrame, groups: DataFrame, n_groups: int) -> Data
 
         def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             firsts, keys, top = table.value
-            for batch in batches:
+            for batch in cut(batches):
                 row, at, left, right = adjacent(batch)
                 if len(keys) and len(left):
                     place = np.minimum(np.searchsorted(firsts, left), len(firsts) - 1)
@@ -282,7 +289,7 @@ def next_relation(relation: DataFrame, groups: DataFrame, n_groups: int) -> Data
         return relation.mapInArrow(looked_up, RELATION)
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in cut(batches):
             row, at, left, right = adjacent(batch)
             block, own = (batch.column(c).to_numpy()[row] for c in ("block", "own"))
             columns = [pa.array(block, pa.int64()), pa.array(own, pa.int32()), pa.array(at, pa.int32())]
