@@ -11,6 +11,7 @@ from plantgauge.catalog import (  # noqa: F401  (importing registers)
     hypothesis,
     insights,
     margins,
+    messy,
     models,
     routing,
     splits,

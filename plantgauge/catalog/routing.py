@@ -140,14 +140,14 @@ NOTE_BAD = f"CASE WHEN an > al THEN printf('{fv.ANOMALY_OVER}', an, al) ELSE pri
 NOTE_GOOD = f"CASE WHEN an > al THEN printf('{fv.ANOMALY_MINOR}', an, al) ELSE printf('{fv.ANOMALY_GOOD}', an, al) END"
 
 
-@query(
-    oracle=f"""SELECT vec_id, CASE status
-                 WHEN 'NOVEL' THEN printf('{NOVEL}', ns, nt)
+WHY = f"""CASE status
+                 WHEN 'NOVEL' THEN printf('{NOVEL}', ns, nt, {fv.NEIGHBOURS}, (SELECT count(DISTINCT class) FROM class_probs))
                  WHEN 'UNCERTAIN' THEN printf('{fv.WHY_UNCERTAIN}', p1, top1, {SURE}::DOUBLE, top1, p1 * 100, top2, p2 * 100)
                  WHEN 'DEFECTIVE' THEN printf('{fv.WHY_DEFECTIVE}', upper(top1), p1, {SURE}::DOUBLE, top1, p1 * 100, top2, p2 * 100, {NOTE_BAD})
-                 ELSE printf('{fv.WHY_GOOD}', p1, {SURE}::DOUBLE, p1 * 100, top2, p2 * 100, {NOTE_GOOD}) END AS why
-               FROM verdicts"""
-)
+                 ELSE printf('{fv.WHY_GOOD}', p1, {SURE}::DOUBLE, p1 * 100, top2, p2 * 100, {NOTE_GOOD}) END"""
+
+
+@query(oracle=f"SELECT vec_id, {WHY} AS why FROM verdicts")
 def rationale(t):
     return verdict_rows(t).select("vec_id", F.col("evidence.why").alias("why"))
 
@@ -174,6 +174,12 @@ def verdict_audit(t):
     return routing.audit(rows).groupBy("predicted_status", "audit").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(
+    oracle=f"""SELECT vec_id, category AS actual_class, ns > nt AS is_novel, p1 < {SURE} AS is_uncertain, status, {r('p1 * 100.0', 1)} AS confidence_pct,
+                      {SURE}::DOUBLE AS threshold, top1 AS top1_class, {r('p1', 4)} AS top1_prob, top2 AS top2_class, {r('p2', 4)} AS top2_prob,
+                      {r('ns', 4)} AS novelty_score, {r('nt', 4)} AS novelty_threshold, {r('an', 3)} AS anomaly_score,
+                      {r('al', 3)} AS anomaly_threshold, {WHY} AS why FROM verdicts""",
+    doubles="confidence_pct threshold top1_prob top2_prob novelty_score novelty_threshold anomaly_score anomaly_threshold",
+)
 def evidence_records(t):
     return verdict_rows(t).select("vec_id", "actual_class", "is_novel", "is_uncertain", "evidence.*")

@@ -42,6 +42,17 @@ def group_split(t):
     return batches_split(t).groupBy("batch_id", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    oracle="""SELECT row_number() OVER (ORDER BY category, path) - 1 AS position, path, label, category, split
+              FROM (SELECT category || '/' || vec_id || '.png' AS path, CASE WHEN category = 'normal' THEN 'good' ELSE 'defective' END AS label,
+                           category, split FROM split_features)"""
+)
+def split_table(t):
+    """The split file: every part by category and path."""
+    rows = split_features(t).withColumn("path", F.concat("category", F.lit("/"), F.col("vec_id").cast("string"), F.lit(".png")))
+    return splits.split_table(rows, "path")
+
+
 @query(
     oracle="""SELECT 'vectors' AS kind, count(*) AS shared FROM (
                 SELECT vec_id FROM split_features WHERE split = 'train' INTERSECT

@@ -103,8 +103,6 @@ ALERT_RATIO = 1.2
 SMALL_SAMPLE = 25
 SIGNIFICANCE = 0.05
 
-# ---- robustness conditions ----------------------------------------------
-
 # ---- texts ---------------------------------------------------------------
 BBOX_PRESENT = "Verified Spatial Annotation (Ground Truth Bounding Box)"
 BBOX_HEATMAP = "Approximate Synthetic Feature Attribution Heatmap"
@@ -125,8 +123,8 @@ SPLIT_TRIAGE_TEXT = {
     "ACCEPT": "Direct Shipment (Conforming)",
 }
 WHY_NOVEL = (
-    "NOVEL / UNKNOWN: Novelty score %.3f exceeds threshold %.3f (k=5 nearest-neighbor train distance). "
-    "Feature embedding is out-of-distribution across all 5 known classes. "
+    "NOVEL / UNKNOWN: Novelty score %.3f exceeds threshold %.3f (k=%d nearest-neighbor train distance). "
+    "Feature embedding is out-of-distribution across all %d known classes. "
     "Triage recommended for unseen defect characterization."
 )
 WHY_UNCERTAIN = (

@@ -171,17 +171,20 @@ def _u_tail():
         import numpy as np
 
         def exact(u, n1, n2):
-            # number of ways to reach each U: a product of (1-q^(n2+i))/(1-q^i)
-            ways = np.zeros(n1 * n2 + 1)
-            ways[0] = 1.0
-            for i in range(1, n1 + 1):
-                step = n2 + i
-                if step <= n1 * n2:
-                    ways[step:] = ways[step:] - ways[:-step].copy()
-                for k in range(i, n1 * n2 + 1):
-                    ways[k] += ways[k - i]
-            upper = ways[int(math.ceil(u)):].sum() / ways.sum()
-            return min(1.0, 2.0 * upper)
+            # the chance of each U: a product of (1-q^(n+i))/(1-q^i) over the smaller side,
+            # each step scaled by the number of its cases, so that sums stay near one
+            m, n = min(n1, n2), max(n1, n2)
+            share = np.zeros(m * n + 1)
+            share[0] = 1.0
+            for i in range(1, m + 1):
+                step = n + i
+                if step <= m * n:
+                    share[step:] = share[step:] - share[:-step].copy()
+                for r in range(i):
+                    share[r::i] = np.cumsum(share[r::i])
+                share *= i / (n + i)
+            upper = share[int(math.ceil(u)):].sum()
+            return min(1.0, max(0.0, 2.0 * upper))
 
         def two_sided(u, n1, n2, ties):
             if u != u or n1 < 2 or n2 < 2:

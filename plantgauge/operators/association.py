@@ -17,7 +17,7 @@ from plantgauge.functions import draws
 from plantgauge.functions.columns import clamp, rounded
 from plantgauge.functions.tails import t_two_sided, u_two_sided
 from plantgauge.operators import batch
-from plantgauge.operators.bounds import WINDOW_ROWS, row_count, small_side
+from plantgauge.operators.bounds import BROADCAST_ROWS, WINDOW_ROWS, row_count, small_side
 from plantgauge.operators.prefix import mid_ranks, numbered, percentiles
 from plantgauge.session import cut_lineage
 
@@ -199,13 +199,14 @@ def benjamini_hochberg(df: DataFrame, p: str, family: Sequence[str], tie: Sequen
     return stepped.withColumn("_raw", raw).withColumn(q, F.min("_raw").over(down)).drop("_rank", "_m", "_raw")
 
 
-def bootstrap_rho(p: Pairs, n_boot: int = 1000, ci: float = 0.95, seed: int = 42) -> DataFrame:
+def bootstrap_rho(p: Pairs, n_boot: int = 1000, ci: float = 0.95, seed: int = 42, rho: DataFrame | None = None) -> DataFrame:
     """keys, ci_low, ci_high of Spearman's rho over resampled batches.
 
     The pairs of a key are numbered by batch id; draw j of repetition b takes
     pair md5(seed|b|j) mod n. Draws of the same pair become a weight, and ranks
     are taken again in every repetition with those weights. Fewer than three
-    pairs give (-1, 1); if every repetition is constant, rho itself.
+    pairs give (-1, 1); if every repetition is constant, rho itself (from ``rho``, if
+    the caller has it).
     """
     if p.bounded:
         own = Window.partitionBy(*p.keys)
@@ -218,6 +219,83 @@ def bootstrap_rho(p: Pairs, n_boot: int = 1000, ci: float = 0.95, seed: int = 42
     else:
         base = numbered(p.df, p.keys, ["batch_id"])
     base = cut_lineage(base)
+    size = row_count(base)
+    if size <= BROADCAST_ROWS:
+        found = _resampled(base, p.keys, n_boot, ci, seed)
+    else:
+        found = _resampled_by_joins(p, base, n_boot, ci, seed)
+    counts = base.groupBy(*p.keys).agg(F.count(F.lit(1)).alias("n"))
+    points = factor_statistics(p).select(*p.keys, "rho") if rho is None else rho
+    out = counts.join(found, p.keys, "left").join(points, p.keys, "left")
+    few = F.col("n") < 3
+    return out.select(
+        *p.keys,
+        "n",
+        F.when(few, -1.0).otherwise(rounded(clamp(F.coalesce("lo", "rho"), -1.0, 1.0), 3)).alias("ci_low"),
+        F.when(few, 1.0).otherwise(rounded(clamp(F.coalesce("hi", "rho"), -1.0, 1.0), 3)).alias("ci_high"),
+    )
+
+
+def _resampled(base: DataFrame, keys: Sequence[str], n_boot: int, ci: float, seed: int) -> DataFrame:
+    """keys, lo, hi from pairs few enough to send to every task (their number is checked).
+
+    Tasks share the repetitions. Values are numbered once per key; in a repetition the draws of a
+    pair are its weight, and a running sum of weights over the value numbers gives the ranks. The
+    draws do not depend on the key, so each is hashed once.
+    """
+    import numpy as np
+
+    pairs = base.where(F.col("total_rows") >= 3).select(*keys, "row_index", "x", "y").toPandas()
+    held = []
+    for key, part in pairs.groupby(list(keys)):
+        part = part.sort_values("row_index")
+        codes = [np.unique(part[c].to_numpy(), return_inverse=True)[1] for c in ("x", "y")]
+        held.append((*key, codes[0], codes[1]))
+    longest = max((len(h[-1]) for h in held), default=0)
+    width = len(keys)
+
+    def repeat(batches):
+        import hashlib
+
+        import numpy as np
+        import pandas as pd
+
+        def ranks(codes, w):
+            mass = np.bincount(codes, weights=w)
+            return (np.cumsum(mass) - (mass - 1.0) / 2.0)[codes]
+
+        for batch in batches:
+            out = []
+            for rep in batch["id"]:
+                texts = (f"{seed}|{rep}|{i}".encode() for i in range(longest))
+                drawn = np.array([int(hashlib.md5(t).hexdigest()[:8], 16) for t in texts], dtype=np.int64)
+                for *key, cx, cy in held:
+                    n = len(cx)
+                    w = np.bincount(drawn[:n] % n, minlength=n).astype(float)
+                    rx, ry = ranks(cx, w), ranks(cy, w)
+                    middle = (n + 1) / 2.0
+                    dx, dy = rx - middle, ry - middle
+                    vx, vy = (w * dx * dx).sum(), (w * dy * dy).sum()
+                    if vx > 0 and vy > 0:
+                        out.append((*key, float((w * dx * dy).sum() / np.sqrt(vx) / np.sqrt(vy))))
+            yield pd.DataFrame(out, columns=[f"k{i}" for i in range(width)] + ["r"])
+
+    schema = ", ".join(f"k{i} {base.schema[k].dataType.simpleString()}" for i, k in enumerate(keys)) + ", r double"
+    spark = base.sparkSession
+    tasks = max(1, min(n_boot, 4 * spark.sparkContext.defaultParallelism))
+    rhos = spark.range(0, n_boot, 1, tasks).mapInPandas(repeat, schema)
+    return _range_of(rhos.withColumnsRenamed({f"k{i}": k for i, k in enumerate(keys)}), keys, ci)
+
+
+def _range_of(rhos: DataFrame, keys: Sequence[str], ci: float) -> DataFrame:
+    tail = (1.0 - ci) / 2.0
+    # one value per repetition, so the exact aggregate holds n_boot values at most
+    return rhos.groupBy(*keys).agg(F.percentile("r", tail).alias("lo"), F.percentile("r", 1.0 - tail).alias("hi"))
+
+
+def _resampled_by_joins(p: Pairs, base: DataFrame, n_boot: int, ci: float, seed: int) -> DataFrame:
+    """The same for any number of pairs: draws are counted per pair and looked up by a join,
+    ranks are taken again in every repetition."""
     picks = (
         base.where(F.col("total_rows") >= 3)
         .select(*p.keys, "total_rows", "row_index", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"))
@@ -243,19 +321,7 @@ def bootstrap_rho(p: Pairs, n_boot: int = 1000, ci: float = 0.95, seed: int = 42
     rhos = sums.where((vx > 0) & (vy > 0)).select(
         *p.keys, ((n * F.col("ab") - F.col("a") * F.col("b")) / F.sqrt(vx) / F.sqrt(vy)).alias("r")
     )
-    tail = (1.0 - ci) / 2.0
-    # one value per repetition, so the exact aggregate holds n_boot values at most
-    found = rhos.groupBy(*p.keys).agg(F.percentile("r", tail).alias("lo"), F.percentile("r", 1.0 - tail).alias("hi"))
-    counts = base.groupBy(*p.keys).agg(F.count(F.lit(1)).alias("n"))
-    points = factor_statistics(p).select(*p.keys, "rho")
-    out = counts.join(found, p.keys, "left").join(points, p.keys, "left")
-    few = F.col("n") < 3
-    return out.select(
-        *p.keys,
-        "n",
-        F.when(few, -1.0).otherwise(rounded(clamp(F.coalesce("lo", "rho"), -1.0, 1.0), 3)).alias("ci_low"),
-        F.when(few, 1.0).otherwise(rounded(clamp(F.coalesce("hi", "rho"), -1.0, 1.0), 3)).alias("ci_high"),
-    )
+    return _range_of(rhos, p.keys, ci)
 
 
 def with_p_values(stats: DataFrame) -> DataFrame:

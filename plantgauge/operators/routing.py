@@ -109,7 +109,7 @@ def top_two(probs: Column, classes: Sequence[str]) -> Column:
 
 def rationale(
     status: Column, confidence: Column, threshold: Column, top1: Column, p1: Column, top2: Column, p2: Column,
-    anomaly: Column, anomaly_limit: Column, novelty: Column, novelty_limit: Column,
+    anomaly: Column, anomaly_limit: Column, novelty: Column, novelty_limit: Column, n_classes: int, k: int = fv.NEIGHBOURS,
 ) -> Column:
     """The sentence that explains a verdict, from its numbers only."""
     novel = (status == "NOVEL") | ((novelty_limit > 0) & (novelty > novelty_limit))
@@ -122,7 +122,7 @@ def rationale(
         F.format_string(fv.ANOMALY_GOOD, anomaly, anomaly_limit)
     )
     return (
-        F.when(novel, F.format_string(fv.WHY_NOVEL, novelty, novelty_limit))
+        F.when(novel, F.format_string(fv.WHY_NOVEL, novelty, novelty_limit, F.lit(k), F.lit(n_classes)))
         .when(
             (status == "UNCERTAIN") | (confidence < threshold),
             F.format_string(fv.WHY_UNCERTAIN, confidence, top1, threshold, top1, first, top2, second),
@@ -151,7 +151,7 @@ def evidence_records(scored: DataFrame, classes: Sequence[str], threshold: float
     second, p2 = F.coalesce(two["class"], F.lit("none")), F.coalesce(two["prob"], F.lit(0.0))
     why = rationale(
         F.col("status"), F.col("confidence"), F.lit(float(threshold)), one["class"], one["prob"], second, p2,
-        F.col("anomaly_score"), F.col("anomaly_threshold"), F.col("novelty_score"), F.col("novelty_threshold"),
+        F.col("anomaly_score"), F.col("anomaly_threshold"), F.col("novelty_score"), F.col("novelty_threshold"), len(classes),
     )
     record = F.struct(
         "status", rounded(F.col("confidence") * 100.0, 1).alias("confidence_pct"), F.lit(float(threshold)).alias("threshold"),

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from plantgauge import fixed_values as fv
 from plantgauge.functions import draws
 from plantgauge.operators.prefix import numbered, running
 
@@ -74,6 +75,20 @@ def first_n(df: DataFrame, keys: Sequence[str], order: Sequence, n: int | Column
     return ranked.where(F.col("_n") <= n).drop("_n")
 
 
+def split_table(df: DataFrame, path: str, category: str = "category", normal: str = fv.NORMAL_CLASS) -> DataFrame:
+    """position, path, label, category, split: the split table in the order of (category, path).
+
+    ``position`` counts from 0 over the whole order, which is taken slice by slice; rows come
+    sorted within their slices. Rows that repeat a path are told apart by their split.
+    """
+    rows = df.select(
+        F.col(path).alias("path"), F.when(F.col(category) == normal, "good").otherwise("defective").alias("label"),
+        F.col(category).alias("category"), "split",
+    )
+    placed = numbered(rows, [], ["category", "path", "split"], "position").drop("total_rows")
+    return placed.select("position", "path", "label", "category", "split").sortWithinPartitions("position")
+
+
 DEV_ROWS = {"train": 240, "val": 80, "test": 80}
 
 

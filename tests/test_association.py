@@ -123,3 +123,16 @@ def test_batch_table_and_outliers(spark):
     table = spark.createDataFrame([(f"B{i}", 0.1, 100.0 if i == 9 else 1.0) for i in range(10)], "batch_id string, defect_rate double, heat double")
     assert [r["batch_id"] for r in batch.outlier_batches(table).collect()] == ["B9"]
     assert batch.parameter_columns(table) == ["heat"]
+
+
+def test_bootstrap_ways_agree(spark, monkeypatch):
+    """Sent pairs and joined draws give the same ranges, with ties, gaps and constant keys."""
+    rng = np.random.default_rng(3)
+    rows = [(f"B{i:03d}", k, float(rng.integers(0, 9)), float(rng.integers(0, 4)) if k != "flat" else 1.0) for i in range(40) for k in ("a", "b", "flat")]
+    rows = [r for i, r in enumerate(rows) if i % 7] + [("B1", "few", 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "batch_id string, parameter string, x double, y double")
+    p = association.Pairs(df, ["parameter"], 40, True)
+    one = {r["parameter"]: (r["n"], r["ci_low"], r["ci_high"]) for r in association.bootstrap_rho(p, 60).collect()}
+    monkeypatch.setattr(association, "BROADCAST_ROWS", 0)
+    two = {r["parameter"]: (r["n"], r["ci_low"], r["ci_high"]) for r in association.bootstrap_rho(p, 60).collect()}
+    assert one == two and one["few"] == (1, -1.0, 1.0) and one["a"][1] < one["a"][2]

@@ -240,3 +240,32 @@ def test_groups_degenerate(spark):
     k, a = run([("p", 3.0)])
     assert k[0]["h"] == 0.0 and a[0]["f"] is None
     assert run([]) == ([], [])
+
+
+def brute_u_tail(u, n1, n2):
+    """Twice the share of arrangements with U of at least u."""
+    ways = {(0, j): {0: 1} for j in range(n2 + 1)} | {(i, 0): {0: 1} for i in range(n1 + 1)}
+    for i in range(1, n1 + 1):
+        for j in range(1, n2 + 1):
+            out = collections.Counter()
+            for k, w in ways[i - 1, j].items():
+                out[k + j] += w
+            for k, w in ways[i, j - 1].items():
+                out[k] += w
+            ways[i, j] = out
+    return min(1.0, 2 * sum(w for k, w in ways[n1, n2].items() if k >= u) / math.comb(n1 + n2, n1))
+
+
+@pytest.mark.parametrize("u,n1,n2", [(12, 3, 5), (20, 5, 4), (40, 8, 8), (150, 8, 25), (150, 25, 8), (9, 2, 7)])
+def test_exact_mann_whitney(spark, u, n1, n2):
+    high = max(u, n1 * n2 - u)
+    got = value(spark, tails.u_two_sided(F.lit(u), F.lit(n1), F.lit(n2), F.lit(0)))
+    assert got == pytest.approx(brute_u_tail(high, n1, n2), rel=1e-9)
+
+
+def test_exact_mann_whitney_of_a_long_side(spark):
+    n1, n2 = 8, 10_000
+    for z in (0.5, 1.5, 2.5):
+        u = n1 * n2 / 2 + z * math.sqrt(n1 * n2 * (n1 + n2 + 1) / 12)
+        got = value(spark, tails.u_two_sided(F.lit(math.floor(u)), F.lit(n1), F.lit(n2), F.lit(0)))
+        assert got == pytest.approx(math.erfc(z / math.sqrt(2)), abs=0.02)
