@@ -10,17 +10,20 @@ estimates the plain Jaccard similarity of two documents.
 Bands of registers put documents into buckets. Equal texts are one node. In each
 bucket the smallest, the largest and then the most typical node (fewest shingles of
 its own) are compared with all others and components are formed. Documents with too
-many shingles of their own to have a partner are put aside, and only what a bucket
-then still holds apart is compared pair by pair, so a link between different texts
-is lost only with their bands and a group of n similar texts costs about 3n comparisons a band. A comparison is first made on signatures
-and then exactly, on the shingle sets.
+many shingles of their own to have a partner are put aside. What buckets then still
+hold apart meets by an exact prefix join: of two sets with Jaccard similarity 0.8, the
+globally rarest shingles of each, as many as may lie outside the other, must meet. So documents
+that only share a common passage never meet, a link between different texts is lost only
+with their bands, and a group of n similar texts costs about 3n comparisons a band. A
+comparison is first made on signatures and then exactly, on the shingle sets.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from plantgauge.llm.common import chunks, stored, whole_text
 from plantgauge.llm.components import components
@@ -35,6 +38,10 @@ REGISTERS = BANDS * BAND_ROWS
 LEAST_AGREE = int(REGISTERS * (SIMILARITY - 6 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5))
 
 
+def byte_lengths(texts: pa.Array) -> np.ndarray:
+    return pc.binary_length(texts).to_numpy(zero_copy_only=False)
+
+
 def distinct_elements(shingles: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (shingle, text), in order of the texts."""
     order = np.lexsort((shingles, text))
@@ -72,7 +79,7 @@ def signatures(df: DataFrame) -> DataFrame:
     def sign(batches):
         for batch in batches:
             nodes, texts = batch.column(0), batch.column(1)
-            for a, b in chunks(np.diff(np.asarray(texts.offsets)) if hasattr(texts, "offsets") else [len(t.as_py()) for t in texts], 1_500_000):
+            for a, b in chunks(byte_lengths(texts), 1_500_000):
                 block = [t.lower() for t in texts.slice(a, b - a).to_pylist()]
                 words, bounds = word_hashes(block)
                 s, t, _ = shingle_hashes(words, bounds, SHINGLE_WORDS)
@@ -105,8 +112,8 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def exact(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                batch = whole.slice(at, 200)
+            for at, end in chunks(byte_lengths(whole.column(2)) + byte_lengths(whole.column(3)), 1_500_000):
+                batch = whole.slice(at, end - at)
                 block = [t.lower() for i in (2, 3) for t in batch.column(i).to_pylist()]
                 words, bounds = word_hashes(block)
                 s, t, _ = shingle_hashes(words, bounds, SHINGLE_WORDS)
@@ -153,19 +160,16 @@ def near_groups(df: DataFrame, text: str = "text") -> DataFrame:
     # what a bucket still holds apart, without documents that cannot have a partner
     labels = components(links)
     apart = still_apart(buckets.select("band", "node"), labels)
-    apart = stored(apart.join(own_shares(texts.join(apart.select("node").distinct(), "node", "left_semi")), "node"), "apart")
+    shingles = stored(shingle_rows(texts.join(apart.select("node").distinct(), "node", "left_semi")), "shingles")
+    apart = stored(apart.join(own_shares(shingles), "node"), "apart")
     typical = apart.groupBy("band").agg(F.min(F.struct((F.col("alone") / F.col("size")).alias("own"), "node")).alias("c")).select("band", F.col("c.node").alias("c"))
     again = apart.join(typical, "band").where("node <> c").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
     again = stored(again.join(stars, ["a", "b"], "left_anti"), "pairs")
     links = stored(links.unionByName(similar(stored(agreeing(again, sigs), "pairs"), texts)), "links")
 
     labels = components(links, start=labels)
-    rest = stored(still_apart(apart.drop("label"), labels), "apart")
-    one, two = (rest.select("band", F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("label", "alone", "size")]) for x in ("a", "b"))
-    # shingles of its own stay outside what two documents share, and inside their union
-    can = [(F.col(f"size_{x}") - F.col(f"alone_{x}")) >= SIMILARITY * (F.col(f"size_{x}") + F.col(f"alone_{y}")) - 1e-9 for x, y in ("ab", "ba")]
-    pairs = one.join(two, "band").where((F.col("label_a") < F.col("label_b")) & can[0] & can[1]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = pairs.join(stars.unionByName(again), ["a", "b"], "left_anti")
+    rest = stored(still_apart(apart.drop("label"), labels).select("node", "label", "alone", "size").distinct(), "apart")
+    pairs = stored(prefix_pairs(shingles, rest).join(stars.unionByName(again), ["a", "b"], "left_anti"), "pairs")
     more = stored(similar(stored(agreeing(pairs, sigs), "pairs"), texts), "links")
     return components(links.unionByName(more), start=labels) if more.limit(1).count() else labels
 
@@ -177,16 +181,13 @@ def still_apart(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return apart.join(mixed, "band", "left_semi")
 
 
-def own_shares(texts: DataFrame) -> DataFrame:
-    """(node, size, alone): a document's shingles, and those that no other of these
-    documents has, where they do not rule out a partner: a document similar to
-    another by 0.8 shares at least 0.8 of its own shingles."""
+def shingle_rows(texts: DataFrame) -> DataFrame:
+    """(node, shingle, size) of the distinct shingles of each text; ``size`` is their number."""
 
     def explode(batches):
         for batch in batches:
-            column = batch.column(1).to_pylist()
-            for a, b in chunks([len(t) for t in column], 1_500_000):
-                words, bounds = word_hashes([t.lower() for t in column[a:b]])
+            for a, b in chunks(byte_lengths(batch.column(1)), 1_500_000):
+                words, bounds = word_hashes([t.lower() for t in batch.column(1).slice(a, b - a).to_pylist()])
                 s, t, _ = shingle_hashes(words, bounds, SHINGLE_WORDS)
                 s, t = distinct_elements(s, t)
                 sizes = np.bincount(t, minlength=b - a)
@@ -194,13 +195,46 @@ def own_shares(texts: DataFrame) -> DataFrame:
                     [batch.column(0).take(pa.array(a + t)), pa.array(s.view(np.int64)), pa.array(sizes[t].astype(np.int32))], names=["node", "shingle", "size"]
                 )
 
-    rows = stored(texts.select("node", "text").mapInArrow(explode, "node binary, shingle long, size int"), "shingles")
-    alone = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
-    sizes = rows.groupBy("node").agg(F.first("size").alias("size"))
+    return texts.select("node", "text").mapInArrow(explode, "node binary, shingle long, size int")
+
+
+def own_shares(shingles: DataFrame) -> DataFrame:
+    """(node, size, alone): a document's shingles, and those that no other of these
+    documents has, where they do not rule out a partner: a document similar to
+    another by 0.8 shares at least 0.8 of its own shingles."""
+    alone = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    sizes = shingles.groupBy("node").agg(F.first("size").alias("size"))
     shares = sizes.join(alone, "node", "left").select("node", "size", F.coalesce("alone", F.lit(0)).alias("alone"))
     return shares.where(F.col("alone") <= (1 - SIMILARITY) * F.col("size") + 1e-9)
 
 
+def prefix_pairs(shingles: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b), a < b, of the ``nodes`` (node, label, alone, size) with different labels that can
+    have the wanted similarity.
+
+    All shingles are ordered by how many nodes have them. A set of n shares at least 0.8 n
+    with a similar one, so one of its first n - ceil(0.8 n) + 1 shingles is shared, and at the first
+    shared one the rest of both sets must still hold what is needed. Shingles that only one
+    component has make no pair, and those that stand once only take their places.
+    """
+    rows = shingles.join(nodes, ["node", "size"])
+    counts = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    rows = rows.join(counts.where("n > 1"), "shingle")
+    # places by the order (n, shingle) within a set; those that stand once come first
+    single = F.col("size") - F.count(F.lit(1)).over(W.partitionBy("node"))
+    place = single + F.row_number().over(W.partitionBy("node").orderBy("n", "shingle")) - 1
+    prefix = F.col("size") - F.ceil(F.col("size") * SIMILARITY - 1e-9) + 1
+    heads = rows.withColumn("place", place).where((F.col("place") < prefix) & (F.col("low") < F.col("high")))
+    heads = stored(heads.select("shingle", "node", "label", "size", "alone", "place"), "prefixes")
+    one, two = (heads.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "size", "alone", "place")]) for x in ("a", "b"))
+    needed = (F.col("size_a") + F.col("size_b")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6
+    left = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+    # shingles of its own stay outside what two documents share, and inside their union
+    can = [(F.col(f"size_{x}") - F.col(f"alone_{x}")) >= SIMILARITY * (F.col(f"size_{x}") + F.col(f"alone_{y}")) - 1e-9 for x, y in ("ab", "ba")]
+    met = one.join(two, "shingle").where((F.col("label_a") < F.col("label_b")) & can[0] & can[1] & (left >= needed))
+    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, class_id, class_size, kept): the smallest key of each row's class, the
     rows of the class, and whether the row has that key.
