@@ -23,14 +23,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from plantgauge.llm.common import stored, whole_text
+from plantgauge.llm.common import keeps_names, stored, whole_text
 
 TRAIN_PAGES = 2_000
 TREES, DEPTH = 20, 4
 
+# what a tag holds: a quote opens a value only after an equals sign, and one that is never
+# closed ends with the page, as does a tag; nothing is ever tried twice
+INSIDE = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+)*+"
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)\b{INSIDE}(?:>|\Z).*?(?:</\1\s*>|\Z)"
+    rf"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({INSIDE})(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -324,10 +327,15 @@ def training_nodes(pages: DataFrame, html: str) -> DataFrame:
 
     def named(batches):
         for batch in batches:
-            yield batch.filter(pa.array([Page(source).labels() is not None for source in batch.column(0).to_pylist()], pa.bool_()))
+            known = pa.array([Page(source).labels() is not None for source in batch.column(0).to_pylist()], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(1).filter(known)], names=["h"])
 
-    held = pages.select(whole_text(html).alias("html")).where("html <> ''").mapInArrow(named, "html string").withColumn("h", F.xxhash64("html"))
-    return held.orderBy("h").limit(TRAIN_PAGES).select("html").mapInArrow(nodes, "label double, features array<double>")
+    # only hashes are ordered; the pages below the last of them stay where they are
+    rows = pages.select(whole_text(html).alias("html")).where("html <> ''").withColumn("h", F.xxhash64("html"))
+    first = rows.mapInArrow(named, "h long").distinct().orderBy("h").limit(TRAIN_PAGES)
+    last = first.agg(F.max("h")).first()[0]
+    held = rows.where(F.col("h") <= last) if last is not None else rows.where("false")
+    return held.dropDuplicates(["h"]).select("html").mapInArrow(nodes, "label double, features array<double>")
 
 
 def fit_trees(pages: DataFrame, html: str = "html") -> Trees | None:
@@ -348,6 +356,7 @@ def prior(x: np.ndarray) -> np.ndarray:
     return np.where(bad > 0, 0.05, np.where(good > 0, 0.95, np.where(x[:, FEATURES.index("link_share")] > 0.5, 0.2, 0.7)))
 
 
+@keeps_names("_h_")
 def extract_articles(pages: DataFrame, html: str = "html", trees: Trees | None = None) -> DataFrame:
     """``pages`` with ``text``, the article of each whole page: blocks joined by two
     line feeds, white space in a block as one space, character references decoded.
