@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from plantgauge.llm.common import chunks, whole_text
+from plantgauge.llm.common import chunks, keeps_names, stored, whole_text
 from plantgauge.llm.wordhash import word_hashes
 
 BLOCK_ITEMS = 2_000
@@ -255,7 +255,9 @@ def search(words: np.ndarray, bounds: np.ndarray, items: Items, latent: Latent)
     _, _, step, held = gathered(index_in(latent.vocabulary, words), starts, latent.project)
     sums = np.zeros((len(starts) + 1, vectors.shape[1]))
     sums[step + 1] = held
-    sums = np.cumsum(sums, axis=0)
+    reach = np.zeros(len(starts) + 1)
+    reach[step + 1] = np.sqrt((held * held).sum(axis=1))
+    sums, reach = np.cumsum(sums, axis=0), np.cumsum(reach)
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     last_step, last_word = first[1:][text], bounds[1:][text]
     best: dict = {}
@@ -269,7 +271,9 @@ def search(words: np.ndarray, bounds: np.ndarray, items: Items, latent: Latent)
         full = (low + length <= last_step) | (low == first[:-1][text])
         low = low[full]
         high = np.minimum(low + length, last_step[low])
-        window = (sums[high] - sums[low]).astype(np.float32)
+        # a window is no longer than its steps put end to end: most are too short for any item
+        strong = np.flatnonzero(reach[high] - reach[low] >= PROJECTION * norms[mine].min() - 1e-4)
+        window = (sums[high[strong]] - sums[low[strong]]).astype(np.float32)
         # item vectors are scaled so that an item's own projection is 1
         share_of = window @ (vectors[mine] / np.maximum(norms[mine], 1e-6)[:, None] ** 2).T
         near = np.nonzero(share_of >= PROJECTION)
@@ -285,9 +289,11 @@ def search(words: np.ndarray, bounds: np.ndarray, items: Items, latent: Latent)
         n = highest - lowest + 1
         which = np.repeat(np.arange(len(n)), n)
         held = np.searchsorted(low, lowest[which] + np.arange(len(which)) - (np.cumsum(n) - n)[which])
-        pairs = np.unique(np.concatenate([near[0][hit] * len(mine) + near[1][hit], held * len(mine) + np.searchsorted(mine, item[which])]))
+        pairs = np.unique(np.concatenate([strong[near[0][hit]] * len(mine) + near[1][hit], held * len(mine) + np.searchsorted(mine, item[which])]))
         at, of = pairs // max(len(mine), 1), pairs % max(len(mine), 1)
-        angles = share_of[at, of] * norms[mine][of] / np.maximum(np.sqrt((window[at] ** 2).sum(axis=1)), 1e-6)
+        window = (sums[high[at]] - sums[low[at]]).astype(np.float32)
+        size = np.maximum(np.sqrt((window**2).sum(axis=1)), 1e-6)
+        angles = (window * vectors[mine][of]).sum(axis=1) / np.maximum(norms[mine][of], 1e-6) / size
         for w, i, angle in zip(at, of, angles):
             item = int(mine[i])
             a, b = starts[low[w]], min(starts[low[w]] + length * STEP, last_word[low[w]])
@@ -311,6 +317,7 @@ def search(words: np.ndarray, bounds: np.ndarray, items: Items, latent: Latent)
 LEAKS = "array<struct<item:long,lcs_share:double,answer_share:double,cosine:double>>"
 
 
+@keeps_names("_d_")
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` with ``leaks``: the benchmark items found in each whole text, each
     with the share of its words in common order, of its answer words, and the
@@ -324,12 +331,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
     n = listed.count()
     blocks = max(1, -(-n // BLOCK_ITEMS))
     rows = docs.drop("leaks").withColumn("_d_text", whole_text(text)).withColumn("leaks", F.array().cast(LEAKS))
+    plain = docs.select(whole_text(text).alias("_d_text"))
     for block in range(blocks):
         # blocks by hash hold BLOCK_ITEMS items on average
         held = sorted(listed.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect())
         items = Items([r["item"] for r in held], [r["text"] for r in held])
         if items.ids:
-            rows = _with_leaks(rows, items, Latent(rows, items))
+            # every block reads the plain documents; what earlier blocks found is written between
+            rows = _with_leaks(rows, items, Latent(plain, items))
+            rows = stored(rows, "leaks") if block + 1 < blocks else rows
     return rows.drop("_d_text")
 
 
