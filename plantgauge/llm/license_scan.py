@@ -119,7 +119,7 @@ def license_scan(df: DataFrame, text: str = "text", key: str = "doc_id", templat
     size = F.size("_l_b")
     pairs = (
         blocks.select("*", F.posexplode("_l_b").alias("_l_at", "rank"))
-        .join(prefixes, "rank")
+        .join(F.broadcast(prefixes), "rank")  # some rows per template, a parameter
         .where((size >= F.col("least")) & (1 + F.least(F.size("whole") - F.col("at") - 1, size - F.col("_l_at") - 1) >= F.col("least")))
         .withColumn("_l_both", F.size(F.array_intersect("_l_b", "whole")))
         .where(F.col("_l_both") >= F.col("least"))
@@ -129,7 +129,7 @@ def license_scan(df: DataFrame, text: str = "text", key: str = "doc_id", templat
     pairs = stored(pairs, "licenses")
 
     found = docs.select(*kept, "_l_text", F.regexp_count("_l_text", F.lit(ANY_CASE_WORD)).cast("long").alias("n_words"))
-    found = found.withColumn("_l_w", F.when(F.col("_l_text").rlike("(?i)license"), tokens(F.col("_l_text")))).drop("_l_text")
+    found = found.withColumn("_l_w", F.when(F.col("_l_text").rlike(f"(?i){'|'.join(sorted({p.split()[-1] for p in PHRASES}))}"), tokens(F.col("_l_text")))).drop("_l_text")
     names = sorted(PHRASES)
     found = found.select("*", *[phrase_places(F.col("_l_w"), p).alias(f"_l_p{i}") for i, p in enumerate(names)]).drop("_l_w")
     every = [F.coalesce(F.col(f"_l_p{i}"), F.array().cast("array<int>")) for i in range(len(names))]

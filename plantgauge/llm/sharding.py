@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from plantgauge.llm.common import stored
+from plantgauge.llm.common import keeps_names, stored
 
 # rows of one block of a shard, permuted in one task
 BLOCK_ROWS = 200_000
@@ -39,6 +39,7 @@ def communication_matrix(parts: list[int], shards: int, seed: int) -> tuple[np.n
     return matrix, sizes
 
 
+@keeps_names("_hg_")
 def hypergeometric_shards(df: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     """``df`` with ``shard`` (int, from 0) and ``slot`` (long, gapless from 0 in
     each shard), uniform over all assignments with exact shard sizes.
@@ -66,7 +67,7 @@ def hypergeometric_shards(df: DataFrame, shards: int, seed: int = 0) -> DataFram
     )
     blocks = max(1, -(-int(sizes.max(initial=0)) // BLOCK_ROWS))
     dealt = (
-        local.join(bounds, OWN[0])
+        local.join(F.broadcast(bounds), OWN[0])  # one row per source partition
         .withColumn("shard", F.size(F.filter("_hg_bounds", lambda b: b <= F.col(OWN[1]))))
         .withColumn(OWN[3], F.floor(F.col(OWN[2]) * blocks).cast("int"))
         .drop("_hg_bounds")
