@@ -9,6 +9,7 @@ spans. The four base kinds are kept whatever it says.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 
@@ -16,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from plantgauge.llm.common import whole_text
+from plantgauge.llm.common import keeps_names, whole_text
 
 BASE = ["email", "ip", "card", "phone"]
 ADDED = ["secret", "iban", "ssn", "local_phone", "person"]
@@ -24,7 +25,6 @@ KINDS = BASE + ADDED
 
 # The patterns of the kinds.
 LOCAL = "A-Za-z0-9._%+-"
-LOCAL_END = re.compile(f"[{LOCAL}]+$")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
@@ -107,14 +107,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def added_candidates(text: str, base) -> list[tuple[int, int, int]]:
     """Spans the method may add; none touches a base span or an earlier candidate."""
-    taken = sorted((s, e) for _, s, e in base)
+    starts, ends = [], []  # of the places taken, disjoint and in order
+    for _, s, e in sorted(base, key=lambda x: x[1]):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
     found = []
     for k, pattern in zip(range(len(BASE), len(KINDS)), (SECRET, IBAN, SSN, LOCAL_PHONE, PERSON)):
         for m in pattern.finditer(text):
             s, e = m.span()
-            if not any(a < e and s < b for a, b in taken):
+            at = bisect.bisect_right(ends, s)  # the first place that ends behind s
+            if at == len(ends) or starts[at] >= e:
                 found.append((k, s, e))
-                taken.append((s, e))
+                starts.insert(at, s)
+                ends.insert(at, e)
     return found
 
 
@@ -247,6 +255,7 @@ def train(df: DataFrame, text: str = "text") -> np.ndarray:
     return fit_span_classifier(x, p, n)
 
 
+@keeps_names("_p_")
 def find_personal_data(df: DataFrame, text: str = "text", weights: np.ndarray | None = None, threshold: float = 0.5) -> DataFrame:
     """``df`` with ``pii``: array of (kind, start, end, base), code points, end
     exclusive, ordered by kind as in ``KINDS`` and then start.
@@ -279,9 +288,11 @@ def find_personal_data(df: DataFrame, text: str = "text", weights: np.ndarray |
     return rows.mapInArrow(find, schema)
 
 
+@keeps_names("_p_", "pii")
 def redact(df: DataFrame, text: str = "text", weights: np.ndarray | None = None) -> DataFrame:
     """``df`` with every span of its text replaced by its kind in angle brackets;
-    overlapping spans are replaced by the first. A null text stays null."""
+    overlapping spans are replaced by the first. Null and empty texts stay as they are,
+    repeated rows get equal texts, an empty table stays empty, other columns are kept."""
     rows = find_personal_data(df, text, weights)
     schema = T.StructType([f for f in rows.schema.fields if f.name != "pii"])
 
