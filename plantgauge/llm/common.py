@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import zipfile
@@ -38,6 +39,26 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def keeps_names(*own: str):
+    """For operators that add columns beginning with ``own`` while they work: columns of the
+    caller whose names begin so are renamed before and named back after it."""
+
+    def wrap(operator):
+        @functools.wraps(operator)
+        def run(df, *args, **options):
+            clash = [c for c in df.columns if c.lower().startswith(own)]
+            aside = {c: f"kept{i}_{c}" for i, c in enumerate(clash)}
+            if not aside:
+                return operator(df, *args, **options)
+            moved = lambda v: aside.get(v, v) if isinstance(v, str) else v
+            out = operator(df.withColumnsRenamed(aside), *map(moved, args), **{k: moved(v) for k, v in options.items()})
+            return out.withColumnsRenamed({b: a for a, b in aside.items()})
+
+        return run
+
+    return wrap
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: its rows are settled
     and a lost executor costs no recomputation of what came before."""

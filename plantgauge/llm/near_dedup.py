@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from plantgauge.llm.common import chunks, stored, whole_text
+from plantgauge.llm.common import chunks, keeps_names, stored, whole_text
 from plantgauge.llm.components import components
 from plantgauge.llm.wordhash import mix, shingle_hashes, word_hashes
 
@@ -255,9 +255,11 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
     )
 
 
+@keeps_names("_n_")
 def drop_near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``df`` with one row of each class: the smallest key (null last), and of
-    repeated rows one. Columns stay as they are."""
+    repeated rows one. A null text is the empty text, and all empty texts are one class;
+    an empty table stays empty. Columns stay as they are."""
     nodes = df.withColumn("_n_node", F.unhex(F.md5(whole_text(text))))
     labels = near_groups(df, text)
     labelled = nodes.select(F.col("_n_node").alias("node"), F.col(key).alias("k")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

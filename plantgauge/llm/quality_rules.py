@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plantgauge.llm.common import whole_text
+from plantgauge.llm.common import keeps_names, whole_text
 
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOL = r"[#*$%&|<>]"
@@ -66,6 +66,7 @@ def repeated_words(grams: Column, n_grams: Column) -> Column:
     return F.when(F.size(F.array_distinct(grams)) < n_grams, placed)
 
 
+@keeps_names("_q_")
 def quality_rules(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with the figures of each whole text, the cleaned text and the verdict.
 

@@ -666,3 +666,91 @@ def test_passages_of_a_group_without_its_ends(spark):
     met = sum(bool(classes[a] & classes[b]) for a, b in families)
     assert met >= 0.96 * len(families), met
     assert set(classes) <= {i for f in families for i in f}
+
+
+def test_prefix_pairs_equal_brute_force(spark):
+    """Every pair of sets with the wanted similarity and different labels meets; pairs that only
+    share what all sets have do not."""
+    from plantgauge.llm.near_dedup import SIMILARITY, own_shares, prefix_pairs
+
+    rng = random.Random(40)
+    sets = []
+    for _ in range(12):
+        base = rng.sample(range(1000), rng.randint(1, 60))
+        sets += [set(base)] + [set(base) - set(rng.sample(base, rng.randint(0, len(base) // 5))) | set(rng.sample(range(1000), rng.randint(0, len(base) // 6))) for _ in range(4)]
+    common = set(range(2000, 2040))
+    sets += [common | set(rng.sample(range(3000, 900_000), 18)) for _ in range(15)]
+    label = lambda i: bytes([i % 7])
+    rows = [(bytes([i]), s, len(x)) for i, x in enumerate(sets) for s in x]
+    shingles = spark.createDataFrame(rows, "node binary, shingle long, size int")
+    nodes = own_shares(shingles).join(spark.createDataFrame([(bytes([i]), label(i)) for i in range(len(sets))], "node binary, label binary"), "node")
+    got = {(r["a"][0], r["b"][0]) for r in prefix_pairs(shingles, nodes).collect()}
+    near = lambda x, y: len(x & y) >= SIMILARITY * len(x | y) - 1e-9
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if label(i) != label(j) and near(sets[i], sets[j])}
+    assert want and want <= got
+    assert not any(i >= 60 and j >= 60 for i, j in got - want)
+
+
+def test_columns_of_the_caller_are_kept(spark):
+    """Names that operators use inside stay the caller's, wherever they stand."""
+    from plantgauge.llm.decontaminate import find_leaks
+    from plantgauge.llm.html_extract import extract_articles
+    from plantgauge.llm.near_dedup import drop_near_duplicates
+    from plantgauge.llm.pii import find_personal_data, redact
+    from plantgauge.llm.quality_rules import quality_rules
+    from plantgauge.llm.sentencepieces import encode_documents
+    from plantgauge.llm.sharding import hypergeometric_shards
+
+    names = ["_d_text", "_h_html", "_p_text", "_q_text", "_Q_w", "_s_text", "_hg_part", "_hg_bounds", "_n_node", "pii"]
+    texts = [prose(40, 50), "mail me at a.b@c.org", None, ""]
+    df = spark.createDataFrame(
+        [(*names[:5], i, t, *names[5:]) for i, t in enumerate(texts)],
+        ", ".join([*(f"{n} string" for n in names[:5]), "doc_id long", "text string", *(f"{n} string" for n in names[5:])]),
+    )
+    bench = spark.createDataFrame([(1, prose(40, 50))], "item_id long, text string")
+    made = [
+        find_leaks(df, bench), quality_rules(df), encode_documents(df), hypergeometric_shards(df, 3), drop_near_duplicates(df), redact(df),
+        find_personal_data(df.drop("pii")), extract_articles(df.withColumnRenamed("text", "html")),
+    ]
+    for out in made:
+        kept = [n for n in names if n in out.columns or n != "pii"]
+        for r in out.collect():
+            assert all(r[n] == n for n in kept if n != "pii" or isinstance(r[n], str)), out.columns
+    assert {r["doc_id"]: r["text"] for r in redact(df).collect()} == {0: texts[0], 1: "mail me at <email>", 2: None, 3: ""}
+    assert redact(df).first()["pii"] == "pii"
+
+
+def test_broken_tags_end_with_the_page():
+    """An unclosed quote or tag takes the rest of the page with it, in linear time."""
+    import time
+
+    from plantgauge.llm.html_extract import Page, prior
+
+    def article(source):
+        page = Page(source)
+        return page.article(prior(page.features()))
+
+    assert article('<body><article><p>Before it.</p><p class="x>Hello world.</p></article>') == "Before it."
+    assert article("<article><p title=it's>It's here.</p><p a='x>y' b=\"c>d\">Next, it's fine.</p></article>") == "It's here.\n\nNext, it's fine."
+    assert article("<article><p>One.</p><p>Two <b") == "One.\n\nTwo"
+    assert article("<article><p>a < b and 3 <4.</p></article>") == "a < b and 3 <4."
+    for part in ('<p a="', "<!", "<a b=c", "<script '", "<p x='\"", "<!--"):
+        begin = time.perf_counter()
+        Page(part * 100_000)
+        assert time.perf_counter() - begin < 5
+
+
+def test_added_candidates_touch_nothing_taken():
+    from plantgauge.llm.pii import BASE, added_candidates, base_spans
+
+    rng = random.Random(60)
+    bits = ["Mr. John Smith", "123-45-6789", "a@b.co", "+1 555 123 4567", "4111 1111 1111 1111", "10.0.0.1", "word", "DE89370400440532013000", "(555) 123-4567"]
+    for _ in range(20):
+        text = " ".join(rng.choice(bits) for _ in range(60))
+        base = base_spans(text)
+        more = added_candidates(text, base)
+        assert all(k >= len(BASE) for k, _, _ in more)
+        taken = [(s, e) for _, s, e in base] + [(s, e) for _, s, e in more]
+        for i, (s, e) in enumerate(taken[len(base) :]):
+            others = taken[: len(base)] + taken[len(base) : len(base) + i]
+            assert not any(a < e and s < b for a, b in others)
