@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from plantgauge import fixed_values as fv
 from plantgauge.functions.columns import sequence_number, to_number
 from plantgauge.operators.batch import telemetry_means
-from plantgauge.operators.clean import impute_medians
+from plantgauge.operators.prefix import medians, weighted_medians
 
 NOT_MEASUREMENTS = {
     "label", "is_defective", "unit_id", "batch_id", "variant", "variant_id", "timestamp", "defect_category",
@@ -34,14 +34,20 @@ def tabular(inspection: DataFrame, process: DataFrame | None = None) -> tuple[Da
     median, absent telemetry becomes 0.
     """
     rows = inspection
+    middles: dict[str, float | None] = {}
     if process is not None and "batch_id" in inspection.columns and "batch_id" in process.columns:
         present = [c for c in fv.TELEMETRY if c in process.columns]
         means = telemetry_means(process.withColumns({c: to_number(c) for c in present}), present)
+        # a batch's mean stands in each of its units: medians follow from units per batch
+        units = inspection.groupBy("batch_id").agg(F.count(F.lit(1)).alias("_units"))
+        middles = weighted_medians(means.join(units, "batch_id"), present, "_units")
         rows = rows.drop(*present).join(means, "batch_id", "left")
     telemetry = [c if c in rows.columns else f"default_{c}" for c in fv.TELEMETRY]
     rows = rows.withColumns({c: F.lit(0.0) for c in telemetry if c.startswith("default_")})
     measures = measurement_columns(inspection)
-    rows = impute_medians(rows, [c for c in telemetry if not c.startswith("default_")] + measures)
+    own = [c for c in [*telemetry, *measures] if not c.startswith("default_") and c not in middles]
+    middles |= medians(inspection.select(*[to_number(c).alias(c) for c in own]), own) if own else {}
+    rows = rows.withColumns({c: F.coalesce(to_number(c), F.lit(m or 0.0)) for c, m in middles.items()})
     variant = next((c for c in ("variant", "variant_id") if c in rows.columns), None)
     if variant:
         text = F.lower(F.col(variant).cast("string"))

@@ -209,7 +209,13 @@ def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
         return {c: None for c in columns}
     rows = df.select(F.explode(F.array(*entries)).alias("e")).where(F.col("e").isNotNull()).select("e.*")
     hist = rows.groupBy("name", "zone", "v").agg(F.count(F.lit(1)).alias("k"))
-    walked = running(hist, ["name"], ["zone", "v"], {"k": "k"})
+    by_name = _middles(hist, ["zone", "v"])
+    return {c: by_name.get(c) for c in columns}
+
+
+def _middles(hist: DataFrame, order: Sequence[str]) -> dict[str, float]:
+    """Median of ``v`` per ``name`` from counts ``k``; null values only take their places."""
+    walked = running(hist, ["name"], list(order), {"k": "k"})
     last = F.col("total_k") - 1
 
     def at(place):
@@ -217,7 +223,16 @@ def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
 
     half = last * F.lit(0.5)
     found = walked.groupBy("name").agg(((at(F.floor(half)) + at(F.ceil(half))) / 2.0).alias("median")).collect()
-    by_name = {row["name"]: row["median"] for row in found}  # one row per column
+    return {row["name"]: row["median"] for row in found}  # one row per column
+
+
+def weighted_medians(df: DataFrame, columns: Sequence[str], weight: str) -> dict[str, float | None]:
+    """Exact median of each column over ``weight`` copies of every row, None if all null.
+
+    For values that many rows share, such as a batch's mean: nothing is copied or joined."""
+    long = df.select(weight, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot([weight], list(columns), "name", "v")
+    hist = long.where(F.col("v").isNotNull() & (F.col(weight) > 0)).groupBy("name", "v").agg(F.sum(weight).alias("k"))
+    by_name = _middles(hist, ["v"])
     return {c: by_name.get(c) for c in columns}
 
 
