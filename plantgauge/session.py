@@ -17,6 +17,8 @@ RUNTIME = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a hot key even when the join feeds an aggregate on the same key
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # what a Python worker and its task hold of a batch; texts and vectors vary in size
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
 }
 
 
