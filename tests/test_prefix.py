@@ -77,12 +77,3 @@ def test_fill_matches_pandas(spark, gaps):
     got = prefix.filled(df, ["i"], "t", "end").toPandas().sort_values("i")["t"]
     want = s.ffill().bfill().fillna("end")
     assert list(got) == list(want)
-
-
-def test_weighted_medians(spark):
-    rows = [(1.0, 5.0, 3), (2.0, None, 1), (4.0, 7.0, 2), (9.0, 7.0, 0), (None, 1.0, 4)]
-    df = spark.createDataFrame(rows, "a double, b double, w long")
-    got = prefix.weighted_medians(df, ["a", "b"], "w")
-    spread = {c: sorted(v for r in rows for v in [r[i]] * r[2] if v is not None) for i, c in enumerate("ab")}
-    assert got == {c: float(np.median(v)) for c, v in spread.items()}
-    assert prefix.weighted_medians(df.where("false"), ["a"], "w") == {"a": None}
