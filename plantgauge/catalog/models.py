@@ -117,13 +117,7 @@ def provenance(t):
 
 def arrivals(t):
     """The inspection view with its fact table read as a stream."""
-    lineitem = t.base("lineitem")
-    stream = (
-        t.spark.readStream.schema(lineitem.schema)
-        .option("pathGlobFilter", "lineitem.parquet")
-        .option("maxFilesPerTrigger", 1)
-        .parquet(t.folder)
-    )
+    stream = t.arriving("lineitem", maxFilesPerTrigger=1)
     return t.spark.sql(VIEWS["inspection"], lineitem=stream, part=t.base("part"))
 
 
@@ -172,9 +166,7 @@ def stream_model_scoring(t):
     model, rows = _embedding_model(t)
     path = sinks.save_model(model.pipeline, fresh_folder(t.spark, "live-model"))
     stored = models.EmbeddingModel(model.indexer, sinks.load_model(path), model.temperature)
-    schema = t.base("embeddings").schema
-    stream = t.spark.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet").parquet(t.folder)
-    feats = t.spark.sql(VIEWS["features"], embeddings=stream)
+    feats = t.spark.sql(VIEWS["features"], embeddings=t.arriving("embeddings"))
     counts, mark = fresh_folder(t.spark, "live-counts"), fresh_folder(t.spark, "live-progress")
     live_scoring.score_arrivals(
         feats, lambda b: routing.route_classes(models.embedding_scores(stored, b), fv.UNCERTAIN_BELOW), counts, mark

@@ -138,9 +138,7 @@ GROUP BY key, run"""
 )
 def stream_episodes(t):
     """Episodes of activity per batch from a stream of readings, with late rows and timers."""
-    events = t.base("events")
-    stream = t.spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
-    rows = t.spark.sql(EXTRA["readings"], events=stream)
+    rows = t.spark.sql(EXTRA["readings"], events=t.arriving("events"))
     signals = rows.select(
         F.col("batch_id").alias("key"), F.col("ts").alias("timestamp"), F.col("event_type").isin("error", "click", "view").alias("active")
     )

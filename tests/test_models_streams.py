@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from plantgauge.operators import models, routing, splits
 from plantgauge.plans.classifier_report import ClassifierReport
 from plantgauge.sources import sinks
+from plantgauge.sources.driver_views import Tables
 from plantgauge.streaming import live_scoring, running_totals
 
 
@@ -143,3 +144,19 @@ def test_scoring_stream_counts_each_unit_once(spark, tmp_path):
         arrive(spark, src, rows, "x")
         live_scoring.score_arrivals(spark.readStream.schema(UNITS).parquet(str(src)), score, out, mark)
     assert {r["predicted_status"]: r["n"] for r in live_scoring.status_totals(spark, out).collect()} == {"REJECT": 2, "ACCEPT": 1}
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_table_arrives_from_a_file_or_a_folder(spark, tmp_path, files):
+    path = tmp_path / "events.parquet"
+    pdf = pd.DataFrame({"event_id": range(30)})
+    if files == 1:
+        pdf.to_parquet(path)
+    else:
+        path.mkdir()
+        for i in range(files):
+            pdf[i::files].to_parquet(path / f"part-{i}.parquet")
+    pdf.to_parquet(tmp_path / "events.parquets")  # not this table
+    out, mark = str(tmp_path / "out"), str(tmp_path / "mark")
+    running_totals.run_to_table(Tables(spark, str(tmp_path)).arriving("events"), out, mark)
+    assert sorted(r[0] for r in spark.read.parquet(out).collect()) == list(range(30))
