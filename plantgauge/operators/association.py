@@ -23,6 +23,8 @@ from plantgauge.session import cut_lineage
 
 # Means that differ only by summation order must tie, or ranks would not be reproducible.
 VALUE_DIGITS = 10
+# pairs of a task that resamples: 64 MB of value numbers
+TASK_PAIRS = 8_000_000
 
 
 @dataclass
@@ -208,23 +210,13 @@ def bootstrap_rho(p: Pairs, n_boot: int = 1000, ci: float = 0.95, seed: int = 42
     pairs give (-1, 1); if every repetition is constant, rho itself (from ``rho``, if
     the caller has it).
     """
-    if p.bounded:
-        own = Window.partitionBy(*p.keys)
-        base = p.df.withColumns(
-            {
-                "row_index": F.row_number().over(own.orderBy("batch_id")) - 1,
-                "total_rows": F.count(F.lit(1)).over(own),
-            }
-        )
-    else:
-        base = numbered(p.df, p.keys, ["batch_id"])
-    base = cut_lineage(base)
-    size = row_count(base)
-    if size <= BROADCAST_ROWS:
-        found = _resampled(base, p.keys, n_boot, ci, seed)
+    coded = cut_lineage(_coded(p.df, p.keys)) if p.bounded else None
+    if coded is not None and row_count(coded) <= BROADCAST_ROWS:  # one row per key
+        found, counts = _resampled(coded, p.keys, n_boot, ci, seed), coded.select(*p.keys, "n")
     else:
+        base = cut_lineage(numbered(p.df, p.keys, ["batch_id"]))
         found = _resampled_by_joins(p, base, n_boot, ci, seed)
-    counts = base.groupBy(*p.keys).agg(F.count(F.lit(1)).alias("n"))
+        counts = base.groupBy(*p.keys).agg(F.count(F.lit(1)).alias("n"))
     points = factor_statistics(p).select(*p.keys, "rho") if rho is None else rho
     out = counts.join(found, p.keys, "left").join(points, p.keys, "left")
     few = F.col("n") < 3
@@ -236,23 +228,39 @@ def bootstrap_rho(p: Pairs, n_boot: int = 1000, ci: float = 0.95, seed: int = 42
     )
 
 
-def _resampled(base: DataFrame, keys: Sequence[str], n_boot: int, ci: float, seed: int) -> DataFrame:
-    """keys, lo, hi from pairs few enough to send to every task (their number is checked).
-
-    Tasks share the repetitions. Values are numbered once per key; in a repetition the draws of a
-    pair are its weight, and a running sum of weights over the value numbers gives the ranks. The
-    draws do not depend on the key, so each is hashed once.
-    """
+def _coded(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, n, cx, cy: one row per key with the numbers of its values of x and of y in order
+    of the batches, 8 bytes a pair. A key has at most ``WINDOW_ROWS`` pairs."""
     import numpy as np
+    import pandas as pd
+
+    def code(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("row_index")
+        codes = [np.unique(pdf[c].to_numpy(), return_inverse=True)[1].astype("int32").tobytes() for c in ("x", "y")]
+        return pd.DataFrame([(*pdf[keys].iloc[0], len(pdf), *codes)], columns=[*keys, "n", "cx", "cy"])
 
-    pairs = base.where(F.col("total_rows") >= 3).select(*keys, "row_index", "x", "y").toPandas()
-    held = []
-    for key, part in pairs.groupby(list(keys)):
-        part = part.sort_values("row_index")
-        codes = [np.unique(part[c].to_numpy(), return_inverse=True)[1] for c in ("x", "y")]
-        held.append((*key, codes[0], codes[1]))
-    longest = max((len(h[-1]) for h in held), default=0)
+    placed = df.withColumn("row_index", F.row_number().over(Window.partitionBy(*keys).orderBy("batch_id")))
+    schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    return placed.select(*keys, "row_index", "x", "y").groupBy(*keys).applyInPandas(
+        code, f"{schema}, n long, cx binary, cy binary"
+    )
+
+
+def _resampled(coded: DataFrame, keys: Sequence[str], n_boot: int, ci: float, seed: int) -> DataFrame:
+    """keys, lo, hi from the rows of :func:`_coded`.
+
+    Keys are cut into chunks of ``TASK_PAIRS`` pairs, and every chunk meets every block of
+    repetitions in a task of its own. In a repetition the draws of a pair are its weight, and a
+    running sum of weights over the value numbers gives the ranks. The draws do not depend on the
+    key, so a task hashes each once.
+    """
     width = len(keys)
+    before = F.sum("n").over(Window.orderBy("n", *keys)) - F.col("n")  # one row per key, without its pairs
+    chunk = coded.where(F.col("n") >= 3).select(*keys, "n", F.floor(before / TASK_PAIRS).cast("int").alias("_chunk"))
+    chunk = cut_lineage(chunk)
+    chunks = (chunk.agg(F.max("_chunk")).first()[0] or 0) + 1
+    spark = coded.sparkSession
+    blocks = max(1, min(n_boot, -(-4 * spark.sparkContext.defaultParallelism // chunks)))
 
     def repeat(batches):
         import hashlib
@@ -264,26 +272,35 @@ def _resampled(base: DataFrame, keys: Sequence[str], n_boot: int, ci: float, see
             mass = np.bincount(codes, weights=w)
             return (np.cumsum(mass) - (mass - 1.0) / 2.0)[codes]
 
+        held = {}
         for batch in batches:
-            out = []
-            for rep in batch["id"]:
-                texts = (f"{seed}|{rep}|{i}".encode() for i in range(longest))
-                drawn = np.array([int(hashlib.md5(t).hexdigest()[:8], 16) for t in texts], dtype=np.int64)
-                for *key, cx, cy in held:
-                    n = len(cx)
-                    w = np.bincount(drawn[:n] % n, minlength=n).astype(float)
+            for row in batch.itertuples(index=False, name=None):
+                *key, n, cx, cy, block = row
+                held.setdefault(block, []).append((key, n, np.frombuffer(cx, "int32"), np.frombuffer(cy, "int32")))
+        md5 = hashlib.md5
+        for block, rows in held.items():
+            places = [str(i).encode() for i in range(max(r[1] for r in rows))]
+            for rep in range(block, n_boot, blocks):
+                start = f"{seed}|{rep}|".encode()
+                drawn = np.frombuffer(b"".join([md5(start + i).digest()[:4] for i in places]), ">u4").astype(np.int64)
+                out, weights = [], {}
+                for key, n, cx, cy in rows:
+                    if n not in weights:
+                        weights = {n: np.bincount(drawn[:n] % n, minlength=n).astype(float)}  # keys come by size
+                    w = weights[n]
                     rx, ry = ranks(cx, w), ranks(cy, w)
                     middle = (n + 1) / 2.0
                     dx, dy = rx - middle, ry - middle
                     vx, vy = (w * dx * dx).sum(), (w * dy * dy).sum()
                     if vx > 0 and vy > 0:
                         out.append((*key, float((w * dx * dy).sum() / np.sqrt(vx) / np.sqrt(vy))))
-            yield pd.DataFrame(out, columns=[f"k{i}" for i in range(width)] + ["r"])
+                yield pd.DataFrame(out, columns=[f"k{i}" for i in range(width)] + ["r"])
 
-    schema = ", ".join(f"k{i} {base.schema[k].dataType.simpleString()}" for i, k in enumerate(keys)) + ", r double"
-    spark = base.sparkSession
-    tasks = max(1, min(n_boot, 4 * spark.sparkContext.defaultParallelism))
-    rhos = spark.range(0, n_boot, 1, tasks).mapInPandas(repeat, schema)
+    schema = ", ".join(f"k{i} {coded.schema[k].dataType.simpleString()}" for i, k in enumerate(keys)) + ", r double"
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    tasks = coded.join(F.broadcast(chunk), [*keys, "n"]).withColumn("_block", every)
+    tasks = tasks.repartitionById(chunks * blocks, (F.col("_chunk") * blocks + F.col("_block")).cast("int"))
+    rhos = tasks.sortWithinPartitions("_block", "n").select(*keys, "n", "cx", "cy", "_block").mapInPandas(repeat, schema)
     return _range_of(rhos.withColumnsRenamed({f"k{i}": k for i, k in enumerate(keys)}), keys, ci)
 
 

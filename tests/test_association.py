@@ -136,3 +136,15 @@ def test_bootstrap_ways_agree(spark, monkeypatch):
     monkeypatch.setattr(association, "BROADCAST_ROWS", 0)
     two = {r["parameter"]: (r["n"], r["ci_low"], r["ci_high"]) for r in association.bootstrap_rho(p, 60).collect()}
     assert one == two and one["few"] == (1, -1.0, 1.0) and one["a"][1] < one["a"][2]
+
+
+def test_many_pairs_are_not_joined_per_draw(spark, monkeypatch):
+    """However many pairs there are, a bounded key is resampled in arrays, in several chunks."""
+    monkeypatch.setattr(association, "TASK_PAIRS", 30)
+    monkeypatch.setattr(association, "_resampled_by_joins", None)
+    monkeypatch.setattr(association, "BROADCAST_ROWS", 4)  # there are 4 keys and 80 pairs
+    rng = np.random.default_rng(4)
+    rows = [(f"B{i:03d}", k, float(rng.integers(0, 9)), float(rng.integers(0, 4))) for i in range(20) for k in "abcd"]
+    df = spark.createDataFrame(rows, "batch_id string, parameter string, x double, y double")
+    found = {r["parameter"]: r for r in association.bootstrap_rho(association.Pairs(df, ["parameter"], 20, True), 50).collect()}
+    assert set(found) == set("abcd") and all(r["ci_low"] < r["ci_high"] for r in found.values())
