@@ -2,10 +2,10 @@
 
 Distances are matrix products inside Arrow batches. A bank whose size has been
 checked is sent to every executor and the queries never move. A larger one is
-cut into cells around pivots; a query visits only the cells that the triangle
-inequality cannot rule out, cells and their visitors are cut into blocks of
-bounded size, each block keeps its k best, and the bests are merged. Both ways
-are exact.
+cut into cells around pivots, and cells of a class are packed into parcels of bounded
+size; a query visits only the parcels with a cell that the triangle inequality cannot
+rule out, each meeting of a parcel and a chunk of its visitors keeps the k best, and the
+bests are merged. Both ways are exact.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from plantgauge.session import cut_lineage
 
 BANK_BYTES = 64 * 1024 * 1024  # as doubles, on every executor
 BLOCK_ROWS = 4096
+PARCEL_ROWS = 4096  # of the bank, and visitors that meet it in one group; each side is copied once per PARCEL_ROWS of the other
 PIVOTS = 64
 
 
@@ -52,7 +53,7 @@ def _nearest(k: int, cosine: bool):
         k_eff = min(k, len(b))
         out = np.empty((len(q), k_eff))
         width = max(1, b.shape[1] if b.ndim == 2 else 1)
-        rows = max(1, min(4_000_000 // max(1, len(b)), 4_000_000 // (max(1, k_eff) * width)))  # bounds both matrices
+        rows = max(1, min(1_000_000 // max(1, len(b)), 1_000_000 // (max(1, k_eff) * width)))  # bounds both matrices
         if not cosine:
             middle = b.mean(axis=0)
             q, b = q - middle, b - middle
@@ -115,7 +116,8 @@ def _by_broadcast(queries: DataFrame, bank: DataFrame, cosine: bool, k: int, clo
 
 
 def _by_blocks(queries: DataFrame, bank: DataFrame, cosine: bool, k: int, block_rows: int) -> DataFrame:
-    """Like :func:`_by_broadcast` for a bank of any size; bank also has its id."""
+    """Like :func:`_by_broadcast` for a bank of any size; bank also has its id. Within a
+    group ``block_rows`` rows of the bank are compared at a time."""
     matrix, nearest = _matrix(cosine), _nearest(k, cosine)
     bank = cut_lineage(bank)
     pivots = matrix(hash_sample(bank, "id", PIVOTS).toPandas()["vec"])  # PIVOTS rows
@@ -149,8 +151,18 @@ def _by_blocks(queries: DataFrame, bank: DataFrame, cosine: bool, k: int, block_
     # one row per class and pivot
     cells = celled.groupBy("class", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("radius"))
     table: dict[str, list] = {}
-    for row in cells.collect():
+    for row in sorted(cells.collect(), key=lambda r: (r["class"], r["cell"])):
         table.setdefault(row["class"], []).append((row["cell"], row["n"], row["radius"]))
+    packed = []  # class, cell, first parcel, number of parcels: small cells share one, a large one has several
+    for c, rows in table.items():
+        parcel, filled = 0, 0
+        for cell, n, _ in rows:
+            own = -(-n // PARCEL_ROWS)
+            if filled and filled + n > PARCEL_ROWS:
+                parcel, filled = parcel + 1, 0
+            packed.append((c, cell, parcel, own))
+            parcel, filled = (parcel + own, 0) if own > 1 else (parcel, filled + n)
+    places = {(c, cell): (parcel, own) for c, cell, parcel, own in packed}
 
     def visits(batches):
         import numpy as np
@@ -173,34 +185,43 @@ def _by_blocks(queries: DataFrame, bank: DataFrame, cosine: bool, k: int, block_
                 first = full.argmax(axis=1)
                 bound = np.take_along_axis(far, np.take_along_axis(order, first[:, None], 1), 1)[:, 0]
                 bound = np.where(full.any(axis=1), bound, np.inf)
-                hit_q, hit_c = np.nonzero(near <= bound[:, None] * (1 + 1e-9) + loose[:, None])
-                yield pd.DataFrame(
-                    {
-                        "id": pdf["id"].values[hit_q], "vec": pdf["vec"].values[hit_q], "class": c,
-                        "cell": ids[hit_c].astype("int32"), "parts": -(-sizes[hit_c] // block_rows),
-                    }
-                )
-
-    going = queries.mapInPandas(visits, f"id {kind}, vec array<double>, class string, cell int, parts long")
-    going = cut_lineage(
-        going.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+                asked = near <= bound[:, None] * (1 + 1e-9) + loose[:, None]
+                own = [places[c, r[0]] for r in rows]
+                wanted = np.zeros((len(pdf), max(p + n for p, n in own)), dtype=bool)
+                for j, (parcel, n) in enumerate(own):
+                    wanted[:, parcel : parcel + n] |= asked[:, [j]]
+                for parcel in range(wanted.shape[1]):
+                    hit = np.nonzero(wanted[:, parcel])[0]
+                    yield pd.DataFrame(
+                        {"id": pdf["id"].values[hit], "vec": pdf["vec"].values[hit], "class": c, "parcel": np.int32(parcel)}
+                    )
+
+    going = cut_lineage(queries.mapInPandas(visits, f"id {kind}, vec array<double>, class string, parcel int"))
+    spark = queries.sparkSession
+    packing = spark.createDataFrame(packed, "class string, cell int, parcel int, own int")  # one row per class and pivot
+    parts = celled.join(F.broadcast(packing), ["class", "cell"]).withColumn(
+        "parcel", (F.col("parcel") + F.pmod(F.xxhash64("id"), F.col("own"))).cast("int")
     )
-    parts = celled.join(F.broadcast(cells.select("class", "cell", "n")), ["class", "cell"]).withColumn(
-        "part", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / block_rows))
-    )
-    block = ["class", "cell", "part"]
-    visitors = going.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("chunks"))
+    block = ["class", "parcel"]
+    visitors = going.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / PARCEL_ROWS).alias("chunks"))
+    visitors = F.broadcast(visitors)  # one row per parcel
     left = going.join(visitors, block).withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(7)), F.col("chunks")))
     right = parts.join(visitors, block).withColumn(
         "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
     )
 
     def best(q, b):
+        import numpy as np
         import pandas as pd
 
         if len(q) == 0 or len(b) == 0:
             return pd.DataFrame({"id": [], "class": [], "nearest": []})
-        d = nearest(matrix(q["vec"]), matrix(b["vec"]))
+        asks, d = matrix(q["vec"]), None
+        for i in range(0, len(b), block_rows):
+            more = nearest(asks, matrix(b["vec"].iloc[i : i + block_rows]))
+            d = more if d is None else np.hstack([d, more])
+            if d.shape[1] > k:
+                d = np.partition(d, k - 1, axis=1)[:, :k]
         return pd.DataFrame({"id": q["id"].values, "class": q["class"].values, "nearest": list(d)})
 
     keys = [*block, "chunk"]

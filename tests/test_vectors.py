@@ -174,3 +174,30 @@ def test_held_out_scores(spark):
     assert {(r["held_out_class"], r["id"]): r["novelty_score"] for r in out} == {
         ("p", "a"): 0.1, ("q", "a"): 0.2, ("p", "b"): None, ("q", "b"): 0.5,
     }
+
+
+def test_blocked_search_copies_neither_side_per_block(spark, monkeypatch):
+    """Small blocks are cut inside a group: a query travels once per parcel of a class, not once
+    per cell and block, and large and shared parcels give the same distances."""
+    rng = np.random.default_rng(6)
+    bank, asked = rng.normal(size=(300, 6)), rng.normal(size=(50, 6))
+    classes = ["ab"[i % 5 == 0] for i in range(300)]
+    sent = []
+    settle = neighbors.cut_lineage
+    monkeypatch.setattr(neighbors, "cut_lineage", lambda df: sent.append(settle(df)) or sent[-1])
+
+    def found():
+        sent.clear()
+        out = neighbors.class_distances(
+            frame(spark, asked), frame(spark, bank, **{"class": classes}), 5, False, block_rows=4, force_blocks=True
+        )
+        return {(r["id"], r["class"]): r["distance"] for r in out.collect()}, [d for d in sent if "parcel" in d.columns][0].count()
+
+    one, moved = found()
+    assert moved == 50 * 2
+    monkeypatch.setattr(neighbors, "PARCEL_ROWS", 7)
+    two, _ = found()
+    d = np.sqrt(((asked[:, None] - bank[None]) ** 2).sum(axis=2))
+    for c in "ab":
+        mine = np.sort(d[:, [i for i, x in enumerate(classes) if x == c]], axis=1)[:, :5].mean(axis=1)
+        assert [one[i, c] for i in range(50)] == pytest.approx(list(mine)) and [two[i, c] for i in range(50)] == pytest.approx(list(mine))
