@@ -185,30 +185,37 @@ def embedding_scores(model: EmbeddingModel, rows: DataFrame, vec: str = "embeddi
     )
 
 
+def known_distances(split_rows: DataFrame, id_col: str, vec: str, label: str, k: int) -> DataFrame:
+    """id, class, distance of the validation and test rows to every class of the training rows."""
+    rows = split_rows.select(F.col(id_col).alias("id"), F.col(label).alias("class"), F.col(vec).alias("vec"), "split")
+    bank = rows.where((F.col("split") == "train") & F.col("class").isNotNull()).drop("split")
+    return neighbors.class_distances(rows.where(F.col("split").isin("val", "test")).select("id", "vec"), bank, k)
+
+
 def held_out_class(
     split_rows: DataFrame, held_out: str, id_col: str = "vec_id", vec: str = "embedding", label: str = "category",
-    threshold: float = fv.UNCERTAIN_BELOW, k: int = fv.NEIGHBOURS,
+    threshold: float = fv.UNCERTAIN_BELOW, k: int = fv.NEIGHBOURS, distances: DataFrame | None = None,
 ) -> DataFrame:
     """Retrain and recalibrate without one class, then flag the test split.
 
     One row per group (``held out`` and each known class, and ``known`` for all of
     them): units, novel / uncertain / either counts and rates, Wilson interval of
-    the novel rate, threshold and temperature.
+    the novel rate, threshold and temperature. ``distances`` are those of :func:`known_distances`,
+    if the caller has them.
     """
     known = split_rows.where(F.col(label) != held_out)
     train, val = known.where(F.col("split") == "train"), known.where(F.col("split") == "val")
     model = train_embedding_model(train, val, vec, label)
 
-    def asked(df):
-        return df.select(F.col(id_col).alias("id"), F.col(vec).alias("vec"))
-
-    bank = train.select(F.col(id_col).alias("id"), F.col(label).alias("class"), F.col(vec).alias("vec"))
+    if distances is None:
+        distances = known_distances(split_rows, id_col, vec, label, k)
+    scores = neighbors.held_out_scores(distances, [held_out]).where(F.col("novelty_score").isNotNull())
+    novel = scores.select(F.col("id").alias(id_col), "novelty_score")
     limit = neighbors.score_threshold(
-        neighbors.novelty_scores(asked(val), bank, k), "novelty_score", fv.NOVELTY_PERCENTILE, fv.EMPTY_NOVELTY_THRESHOLD
+        novel.join(val.select(id_col), id_col), "novelty_score", fv.NOVELTY_PERCENTILE, fv.EMPTY_NOVELTY_THRESHOLD
     ).first()
     test = split_rows.where(F.col("split") == "test")
     scored = embedding_scores(model, test, vec, label).select(id_col, label, "confidence")
-    novel = neighbors.novelty_scores(asked(test), bank, k).withColumnRenamed("id", id_col)
     flags = scored.join(novel, id_col).withColumns(
         {
             "is_novel": F.col("novelty_score") > limit["threshold"],
@@ -234,18 +241,22 @@ def held_out_class(
     )
 
 
-def held_out_classes(split_rows: DataFrame, classes: Sequence[str] | None = None, label: str = "category", **options) -> DataFrame:
+def held_out_classes(
+    split_rows: DataFrame, classes: Sequence[str] | None = None, id_col: str = "vec_id", vec: str = "embedding",
+    label: str = "category", threshold: float = fv.UNCERTAIN_BELOW, k: int = fv.NEIGHBOURS,
+) -> DataFrame:
     """:func:`held_out_class` for every class but the normal one, keyed by ``held_out_class``.
 
     Classes are few by the check of ``column_values``; each is one training run, whose figures are
-    settled before the next one starts.
+    settled before the next one starts. The training rows are searched once for all of them.
     """
     held = list(classes) if classes is not None else [c for c in column_values(split_rows, label) if c != fv.NORMAL_CLASS]
     if not held:
         raise ValueError("no class to hold out")
+    distances = cut_lineage(known_distances(split_rows, id_col, vec, label, k))
     out = None
     for c in held:
-        rows = cut_lineage(held_out_class(split_rows, c, label=label, **options))
+        rows = cut_lineage(held_out_class(split_rows, c, id_col, vec, label, threshold, k, distances))
         out = rows if out is None else out.unionByName(rows)
     return out
 

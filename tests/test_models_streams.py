@@ -37,6 +37,16 @@ def test_held_out_class(vectors):
     assert rows["known"]["n"] == 24 and rows["known"]["novel_rate"] < 0.4
 
 
+def test_held_out_classes_search_the_bank_once(vectors, monkeypatch):
+    calls = []
+    search = models.neighbors.class_distances
+    monkeypatch.setattr(models.neighbors, "class_distances", lambda *a, **k: calls.append(1) or search(*a, **k))
+    both = models.held_out_classes(vectors).toPandas()
+    assert len(calls) == 1 and set(both["held_out_class"]) == {"crack", "rust"}
+    one = models.held_out_class(vectors, "rust").toPandas().set_index("group")
+    pd.testing.assert_frame_equal(both[both["held_out_class"] == "rust"].set_index("group").loc[one.index], one)
+
+
 def test_robust_retrain_covers_every_condition(vectors):
     rows = models.robust_retrain(vectors).collect()
     assert len(rows) == 12 and {r["status"] for r in rows} <= {"Improved", "Degraded", "Unchanged"}
