@@ -69,10 +69,8 @@ def telemetry_as_of(t):
 )
 def events_in_runs(t):
     """Readings of any batch while a station ran a batch."""
-    met = spans.points_in_spans(view(t, "readings"), view(t, "runs"), "ts", "started", "ended")
-    out = met.groupBy("station", "run_batch", "started", "ended").agg(
-        F.count(F.lit(1)).alias("n_events"), F.count_distinct("batch_id").alias("n_batches"), F.sum("value").alias("total_value")
-    )
+    out = spans.span_totals(view(t, "readings"), view(t, "runs"), "ts", "started", "ended", "batch_id", "value")
+    out = out.withColumnsRenamed({"n": "n_events", "items": "n_batches", "total": "total_value"})
     return out.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in ("started", "ended")})
 
 

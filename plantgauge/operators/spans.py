@@ -11,11 +11,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plantgauge.operators.prefix import SLICE, _stitch, running, sliced
+from plantgauge.operators.bounds import row_count
+from plantgauge.operators.prefix import SLICE, _stitch, numbered, running, sliced
+from plantgauge.session import cut_lineage
 
 # widths of the bins grow by this factor from level to level; a span takes so many bins at most
 LEVEL_FACTOR = 4
 LEVELS = 15
+# cells of a node, and nodes of one of the next level
+NODE_FACTOR = 16
 
 
 def as_of(
@@ -104,6 +108,86 @@ def points_in_spans(
     return met.where((F.col(time) >= F.col(start)) & (F.col(time) < F.col(end))).drop("_level", "_bin")
 
 
+def span_totals(points: DataFrame, spans: DataFrame, time: str, start: str, end: str, item: str, value: str) -> DataFrame:
+    """The columns of ``spans`` with n, items and total over the points with start <= time < end:
+    their number, their distinct ``item`` and the sum of ``value``. Spans without a point are left out.
+
+    Pairs of a span and a point are never listed. The moments where spans start or end cut time into
+    cells; ``NODE_FACTOR`` cells make a node, as many nodes one of the next level. A span is a few
+    nodes of each level, a point lies in one. An item counts in a span with its first point there,
+    whose previous cell is before the span, so per node one running count over the previous
+    cells answers all spans. A span that stands in several rows counts its points as often, its items once.
+    """
+    names = spans.columns
+    held = spans.where(F.col(start) < F.col(end)).groupBy(*names).agg(F.count(F.lit(1)).alias("_copies"))
+    held = cut_lineage(held.withColumn("_span", F.monotonically_increasing_id()))
+    bounds = held.select(F.explode(F.array(micros(start), micros(end))).alias("_at")).distinct()
+    bounds = cut_lineage(numbered(bounds, [], ["_at"], "_cell").select("_at", "_cell"))
+    cells = row_count(bounds)
+    levels = 1
+    while NODE_FACTOR**levels < cells:
+        levels += 1
+
+    timed = points.where(F.col(time).isNotNull()).select(
+        micros(time).alias("_t"), F.col(item).alias("_item"), F.col(value).cast("double").alias("_value")
+    )
+    placed = as_of(timed, bounds, [], "_t", "_at", ["_cell"]).where(F.col("_cell").isNotNull())
+    entries = placed.groupBy("_item", "_cell").agg(
+        F.count(F.lit(1)).alias("_n"), F.count("_value").alias("_known"), F.sum("_value").alias("_total")
+    )
+    entries = sliced(entries, ["_item"], ["_cell"])
+    inside = entries.withColumn("_in", F.lag("_cell").over(Window.partitionBy(SLICE, "_item").orderBy("_cell")))
+    before = Window.partitionBy("_item").orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)  # one row per slice
+    last = entries.groupBy(SLICE, "_item").agg(F.max("_cell").alias("_last"))
+    carry = last.select(SLICE, "_item", F.last("_last").over(before).alias("_carried"))
+    entries = _stitch(inside, carry, ["_item"]).withColumn("_from", F.coalesce("_in", "_carried", F.lit(-1).cast("long")))
+
+    first, stop = (bounds.withColumnsRenamed({"_at": f"_at{c}", "_cell": f"_{c}"}) for c in "ab")
+    asks = held.select("_span", micros(start).alias("_ata"), micros(end).alias("_atb")).join(first, "_ata").join(stop, "_atb")
+    nothing = F.array().cast("array<bigint>")
+
+    def at_level(level):
+        return lambda b: F.struct(F.lit(level).alias("level"), b.alias("bin"))
+
+    nodes = []
+    for level in range(levels):
+        unit = NODE_FACTOR**level
+
+        def ends(size):
+            return F.ceil(F.col("_a") / size).cast("long"), F.floor(F.col("_b") / size).cast("long")
+
+        def some(low, high):
+            return F.when(low < high, F.sequence(low, high - 1)).otherwise(nothing)
+
+        low, high = ends(unit)
+        bins = some(low, high)
+        if level + 1 < levels:  # what the next level covers is left out
+            up_low, up_high = (c * NODE_FACTOR for c in ends(unit * NODE_FACTOR))
+            bins = F.when(up_low < up_high, F.concat(some(low, up_low), some(up_high, high))).otherwise(bins)
+        nodes.append(F.transform(bins, at_level(level)))
+    measures = {"_first": "long", "_n": "long", "_known": "long", "_total": "double"}
+    asks = asks.select("_span", F.col("_a").alias("_from"), F.explode(F.concat(*nodes)).alias("_node")).select(
+        "_node.*", "_from", F.lit(0).cast("long").alias("_tie"), "_span", *[F.lit(0).cast(k).alias(m) for m, k in measures.items()]
+    )
+    own = F.array(*[
+        F.struct(F.lit(level).alias("level"), F.floor(F.col("_cell") / NODE_FACTOR**level).cast("long").alias("bin"))
+        for level in range(levels)
+    ])
+    met = entries.select(
+        F.explode(own).alias("_node"), "_from", F.abs(F.xxhash64("_item", "_cell") % 1_000_000).alias("_tie"),
+        F.col("_item").isNotNull().cast("long").alias("_first"), "_n", "_known", F.coalesce("_total", F.lit(0.0)).alias("_total"),
+    ).select("_node.*", "_from", (F.col("_tie") + 1).alias("_tie"), F.lit(None).cast("long").alias("_span"), *measures)
+    # at one cell a span comes before the points that follow a point of that cell
+    walked = running(asks.unionByName(met), ["level", "bin"], ["_from", "_tie"], {m: m for m in measures})
+    sums = walked.where(F.col("_span").isNotNull()).groupBy("_span").agg(
+        F.sum("total__n").alias("_n"), F.sum("before__first").alias("items"), F.sum("total__known").alias("_known"),
+        F.sum("total__total").alias("_total"),
+    )
+    out = sums.where(F.col("_n") > 0).join(held, "_span")
+    total = F.when(F.col("_known") > 0, F.col("_total") * F.col("_copies"))
+    return out.select(*names, (F.col("_n") * F.col("_copies")).alias("n"), "items", total.alias("total"))
+
+
 def rolling_sums(df: DataFrame, keys: Sequence[str], time: str, width: str, sums: dict[str, Column | str]) -> DataFrame:
     """keys, time and, per distinct moment of a key, the sums over (time - width, time].
 

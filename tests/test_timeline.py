@@ -4,6 +4,7 @@ import datetime as dt
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,3 +207,24 @@ def test_late_rows_and_nulls(spark):
     spark.createDataFrame([("a", at(150), True), (None, at(30_000), True), ("b", None, True), ("b", at(30_000), None)], "key string, timestamp timestamp, active boolean").coalesce(1).write.mode("append").parquet(folder)
     run()
     assert settled(spark.read.parquet(path)) == [("a", 0, 100, 2), ("a", 20_000, 20_000, 1)]
+
+
+def test_span_totals_list_no_pairs(spark, monkeypatch):
+    """Long spans over common items, repeated spans, null items, values and times: totals as by pairs,
+    without a join on bins."""
+    monkeypatch.setattr(spans, "NODE_FACTOR", 2)
+    monkeypatch.setattr(spans, "points_in_spans", None)
+    rng = np.random.default_rng(8)
+    rows = [(int(rng.integers(0, 200)), [None, "a", "b", "c"][int(rng.integers(0, 4))], None if i % 9 == 0 else i / 4) for i in range(150)]
+    runs = [(f"r{i}", int(a), int(a + rng.integers(-2, 120))) for i, a in enumerate(rng.integers(-20, 220, size=40))]
+    runs += [runs[3], runs[3], ("all", -50, 400), ("none", 500, 600)]
+    points = spark.createDataFrame(rows + [(None, "a", 1.0)], "s int, item string, value double").withColumn("ts", F.timestamp_seconds("s"))
+    table = spark.createDataFrame(runs, "run string, a int, b int").select("run", F.timestamp_seconds("a").alias("began"), F.timestamp_seconds("b").alias("ended"))
+    got = {r["run"]: (r["n"], r["items"], r["total"]) for r in spans.span_totals(points, table, "ts", "began", "ended", "item", "value").collect()}
+    want = {}
+    for run, a, b in set(runs):
+        inside = [r for r in rows if a <= r[0] < b]
+        k, known = runs.count((run, a, b)), [r[2] for r in inside if r[2] is not None]
+        if inside:
+            want[run] = (k * len(inside), len({r[1] for r in inside} - {None}), k * sum(known) if known else None)
+    assert got == want
