@@ -134,3 +134,26 @@ def test_companions_and_annotation(spark):
 def test_sequence_number(spark):
     df = spark.createDataFrame([("U0123-9",), ("none",)], "u string")
     assert [r[0] for r in df.select(sequence_number("u")).collect()] == [123.0, None]
+
+
+def test_timestamps_of_an_absent_column_need_no_order(spark, monkeypatch):
+    """Nothing to fill from: the constant, without sorting the rows."""
+    monkeypatch.setattr(clean, "filled", None)
+    df = spark.createDataFrame([(1, None), (2, None)], "k int, timestamp string")
+    assert {r["timestamp"] for r in clean.fill_timestamps(df, ["k"]).collect()} == {clean.fv.DEFAULT_TIMESTAMP}
+
+
+def test_means_of_few_batches_are_sent_to_the_units(spark):
+    """However wide their estimated size, units are not shuffled by batch."""
+    from plantgauge.operators import features
+
+    units = spark.createDataFrame([("U1", "B1", 1.0), ("U2", "B2", None), ("U3", None, 3.0)], "unit_id string, batch_id string, m double")
+    readings = spark.createDataFrame([("B1", 4.0), ("B1", 6.0)], "batch_id string, temperature double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows, _ = features.tabular(units, readings)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert {r["unit_id"]: (r["temperature"], r["m"]) for r in rows.collect()} == {"U1": (5.0, 1.0), "U2": (5.0, 2.0), "U3": (5.0, 3.0)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
