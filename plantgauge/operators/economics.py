@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plantgauge import fixed_values as fv
 from plantgauge.functions import draws
@@ -14,6 +14,8 @@ from plantgauge.operators.prefix import numbered
 from plantgauge.session import cut_lineage
 
 COSTS = ["material_cost", "labor_cost", "overhead_cost", "scrap_cost", "rework_cost", "downtime_cost"]
+# bootstrap draws of one task, some seconds of hashing
+TASK_DRAWS = 4_000_000
 
 
 def economic_params(economic: DataFrame | None) -> dict[str, Column]:
@@ -245,20 +247,28 @@ def margin_recovery(
     )
 
 
+def numbered_draws(spark: SparkSession, n: int, n_boot: int, seed: int) -> DataFrame:
+    """(rep, row_index): n draws from n rows in each repetition, in even tasks."""
+    tasks = max(4 * spark.sparkContext.defaultParallelism, -(-n * n_boot // TASK_DRAWS))
+    whole = max(1, n)
+    every = spark.range(0, n * n_boot, 1, tasks).select(
+        F.expr(f"cast(id div {whole} as int)").alias("rep"), (F.col("id") % whole).alias("_j")
+    )
+    return every.select("rep", draws.index(F.lit(whole), seed, F.col("rep"), F.col("_j")).alias("row_index"))
+
+
 def resampled_sums(
     table: DataFrame, columns: Sequence[str], order: Sequence[str], n_boot: int, seed: int
 ) -> DataFrame:
     """Bootstrap sums: per repetition, n rows drawn with replacement from n.
 
-    Draw j of repetition b is md5(seed|b|j) mod n. Each numbered row generates
-    its own draws, so nothing is crossed; the narrow row table is looked up by
-    broadcast while small and by a shuffled join otherwise.
+    Draw j of repetition b is md5(seed|b|j) mod n. The draws are numbered and cut into even
+    tasks of at most ``TASK_DRAWS``, however few partitions the table has; the narrow row table
+    is looked up by broadcast while small and by a shuffled join otherwise.
     """
     rows = cut_lineage(numbered(table.select(*order, *columns), [], list(order)))
     n = row_count(rows)
-    picks = rows.select(
-        F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"), F.col("row_index").alias("_j")
-    ).select("rep", draws.index(F.lit(max(1, n)), seed, F.col("rep"), F.col("_j")).alias("row_index"))
+    picks = numbered_draws(table.sparkSession, n, n_boot, seed)
     looked_up = picks.join(small_side(rows.select("row_index", *columns), n), "row_index")
     return looked_up.groupBy("rep").agg(F.count(F.lit(1)).alias("rows"), *[F.sum(c).alias(c) for c in columns])
 

@@ -175,3 +175,16 @@ def test_line_downtime_is_the_sum_in_production(spark):
     # one shift against the sums of three: the single-shift formula
     one = flow.line_summary(flow.station_metrics(flow.station_rollup(spark.createDataFrame(rows, PRODUCTION)))).first()
     assert one["hours"] == 8.0 and one["downtime_hours"] == pytest.approx(5.4, abs=1e-9)
+
+
+def test_bootstrap_draws_are_cut_into_even_tasks(spark, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(economics, "TASK_DRAWS", 50)
+    drawn = economics.numbered_draws(spark, 300, 20, 42)  # however the 300 rows are partitioned
+    sizes = drawn.rdd.glom().map(len).collect()
+    assert sum(sizes) == 6000 and max(sizes) <= 50
+    got = sorted(tuple(r) for r in drawn.where("rep in (0, 19)").collect())
+    want = sorted((b, int(hashlib.md5(f"42|{b}|{j}".encode()).hexdigest()[:8], 16) % 300) for b in (0, 19) for j in range(300))
+    assert got == want
+    assert economics.numbered_draws(spark, 0, 20, 42).count() == 0
