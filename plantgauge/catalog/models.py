@@ -87,14 +87,18 @@ def model_roundtrip(t):
 @query(oracle="SELECT 'csv' AS sink, count(*) AS n FROM routed WHERE is_uncertain UNION ALL"
        " SELECT 'json', count(*) FROM routed UNION ALL SELECT 'parquet by split', count(*) FROM split_features WHERE split = 'val'")
 def csv_json_sinks(t):
-    """Triage queue to CSV, predictions to JSON, features by split; counts read back."""
+    """Predictions to JSON, their triage queue to CSV, features by split; counts read back.
+
+    Both text sinks are compressed, and units are scored once: the queue comes from the stored predictions.
+    """
     rows = routed(t)
-    csv = sinks.write_csv(routing.triage_queue(rows, "uncertain"), fresh_folder(t.spark, "queue"))
-    json = sinks.write_json(rows, fresh_folder(t.spark, "predictions"))
+    json = sinks.write_json(rows, fresh_folder(t.spark, "predictions"), compression="gzip")
+    written = t.spark.read.schema(rows.schema).json(json)
+    csv = sinks.write_csv(routing.triage_queue(written, "uncertain"), fresh_folder(t.spark, "queue"), compression="gzip")
     feats = sinks.write_features(split_features(t), fresh_folder(t.spark, "features"))
     parts = [
         ("csv", t.spark.read.option("header", True).csv(csv)),
-        ("json", t.spark.read.schema(rows.schema).json(json)),
+        ("json", written),
         ("parquet by split", tables.read_features(t.spark, feats, ["val"])),
     ]
     counted = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("sink"), "n") for n, df in parts]

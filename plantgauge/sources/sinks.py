@@ -9,13 +9,13 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    df.write.mode(mode).option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", compression: str = "none") -> str:
+    df.write.mode(mode).option("header", True).csv(path, compression=compression)
     return path
 
 
-def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    df.write.mode(mode).json(path)
+def write_json(df: DataFrame, path: str, mode: str = "overwrite", compression: str = "none") -> str:
+    df.write.mode(mode).json(path, compression=compression)
     return path
 
 

@@ -170,3 +170,23 @@ def test_table_arrives_from_a_file_or_a_folder(spark, tmp_path, files):
     out, mark = str(tmp_path / "out"), str(tmp_path / "mark")
     running_totals.run_to_table(Tables(spark, str(tmp_path)).arriving("events"), out, mark)
     assert sorted(r[0] for r in spark.read.parquet(out).collect()) == list(range(30))
+
+
+def test_text_sinks_are_compressed_and_complete(spark, tmp_path, monkeypatch):
+    from plantgauge.catalog import QUERIES, models as catalog
+    from plantgauge.catalog.routing import routed
+    from plantgauge.sources.driver_views import Tables
+
+    folder = "/root/testdata/sf0.001"
+    monkeypatch.setattr(catalog, "fresh_folder", lambda _, name: str(tmp_path / name))
+    got = {r["sink"]: r["n"] for r in QUERIES["csv_json_sinks"](spark, folder).collect()}
+    want = routed(Tables(spark, folder))
+    for name, kind in (("queue", "csv"), ("predictions", "json")):
+        files = [f.name for f in (tmp_path / name).iterdir() if f.name.startswith("part-")]
+        assert files and all(f.endswith(f".{kind}.gz") for f in files)
+    stored = spark.read.schema(want.schema).json(str(tmp_path / "predictions"))
+    assert stored.exceptAll(want).count() == 0 and want.exceptAll(stored).count() == 0
+    queue = spark.read.option("header", True).schema(want.schema).csv(str(tmp_path / "queue"))
+    wanted = want.where("is_uncertain")
+    assert queue.exceptAll(wanted).count() == 0 and wanted.exceptAll(queue).count() == 0
+    assert (got["csv"], got["json"]) == (wanted.count(), want.count())
