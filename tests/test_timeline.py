@@ -199,6 +199,21 @@ def test_episodes_continue_from_the_checkpoint(spark):
     assert settled(spark.read.parquet(path)) == brute_episodes(rows, 300, 3600)
 
 
+def test_episodes_of_many_keys_share_states(spark, monkeypatch):
+    """Keys of a group keep their own rows, open episodes and timers over several arrivals."""
+    monkeypatch.setattr(episodes, "GROUPS", 3)
+    rng = random.Random(4)
+    rows = sorted(((f"k{rng.randrange(40)}", rng.randrange(0, 40_000), rng.random() < 0.7) for _ in range(1200)), key=lambda r: r[1])
+    folder, path, mark = (fresh_folder(spark, n) for n in ("signals", "episodes", "progress"))
+    for i in range(0, 1200, 400):
+        write(spark, folder, rows[i : i + 400])
+    found = episodes.episodes(stream(spark, folder), 300, "1 hour")
+    query = found.writeStream.format("parquet").option("path", path).option("checkpointLocation", mark).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert settled(spark.read.parquet(path)) == brute_episodes(rows, 300, 3600)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= 3
+
+
 def test_late_rows_and_nulls(spark):
     folder, path, mark = (fresh_folder(spark, n) for n in ("signals", "episodes", "progress"))
     write(spark, folder, [("a", 0, True), ("a", 100, True), ("a", 9000, False), ("a", 20_000, True)])
