@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from plantgauge.llm.common import chunks, keeps_names, stored, whole_text
+from plantgauge.llm.common import chunks, in_arrow, keeps_names, stored, whole_text
 from plantgauge.llm.wordhash import word_hashes
 
 BLOCK_ITEMS = 2_000
@@ -108,7 +108,7 @@ def summed(rows: DataFrame, fold, shape: tuple[int, ...]) -> np.ndarray:
         return pa.table({"slice": group.column("slice").slice(0, 1), "salt": group.column("salt").slice(0, 1), "data": pa.array([total.tobytes()], pa.binary())})
 
     kind = "slice int, salt int, data binary"
-    parts = rows.mapInArrow(table, kind).groupBy("slice", "salt").applyInArrow(add, kind).groupBy("slice").applyInArrow(add, kind).collect()
+    parts = in_arrow(rows, table, kind).groupBy("slice", "salt").applyInArrow(add, kind).groupBy("slice").applyInArrow(add, kind).collect()
     out = np.zeros(int(np.prod(shape)))
     for r in parts:
         out[r["slice"] * SLICE : r["slice"] * SLICE + len(r["data"]) // 8] = np.frombuffer(r["data"], dtype=np.float64)
@@ -357,4 +357,4 @@ def _with_leaks(rows: DataFrame, items: Items, latent: Latent) -> DataFrame:
             columns = [pa.array(out, kind) if c == leaks_at else batch.column(c).slice(a, b - a) for c in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.mapInArrow(leaks, schema)
+    return in_arrow(rows, leaks, schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from plantgauge.llm.common import chunks, keeps_names, stored, whole_text
+from plantgauge.llm.common import chunks, in_arrow, keeps_names, stored, whole_text
 from plantgauge.llm.components import components
 from plantgauge.llm.wordhash import mix, shingle_hashes, word_hashes
 
@@ -89,7 +89,7 @@ def signatures(df: DataFrame) -> DataFrame:
                 rows = [sig[i].tobytes() if some[i] else None for i in range(len(block))]
                 yield pa.RecordBatch.from_arrays([nodes.slice(a, b - a), pa.array(rows, pa.binary())], names=["node", "signature"])
 
-    return df.select("node", "text").mapInArrow(sign, "node binary, signature binary").where("signature is not null")
+    return in_arrow(df.select("node", "text"), sign, "node binary, signature binary").where("signature is not null")
 
 
 def agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -104,7 +104,7 @@ def agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
 
     left = sigs.select(F.col("node").alias("a"), F.col("signature").alias("x"))
     right = sigs.select(F.col("node").alias("b"), F.col("signature").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(agree, "a binary, b binary")
+    return in_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), agree, "a binary, b binary")
 
 
 def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -130,7 +130,7 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(exact, "a binary, b binary")
+    return in_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), exact, "a binary, b binary")
 
 
 def with_node(df: DataFrame, text: str) -> DataFrame:
@@ -195,7 +195,7 @@ def shingle_rows(texts: DataFrame) -> DataFrame:
                     [batch.column(0).take(pa.array(a + t)), pa.array(s.view(np.int64)), pa.array(sizes[t].astype(np.int32))], names=["node", "shingle", "size"]
                 )
 
-    return texts.select("node", "text").mapInArrow(explode, "node binary, shingle long, size int")
+    return in_arrow(texts.select("node", "text"), explode, "node binary, shingle long, size int")
 
 
 def own_shares(shingles: DataFrame) -> DataFrame:

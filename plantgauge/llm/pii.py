@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from plantgauge.llm.common import keeps_names, whole_text
+from plantgauge.llm.common import in_arrow, keeps_names, whole_text
 
 BASE = ["email", "ip", "card", "phone"]
 ADDED = ["secret", "iban", "ssn", "local_phone", "person"]
@@ -241,8 +241,7 @@ def train(df: DataFrame, text: str = "text") -> np.ndarray:
             )
 
     rows = (
-        df.select(whole_text(text).alias("_p_text"))
-        .mapInArrow(votes, "votes array<int>, features array<int>, n long")
+        in_arrow(df.select(whole_text(text).alias("_p_text")), votes, "votes array<int>, features array<int>, n long")
         .groupBy("votes", "features").agg(F.sum("n").alias("n"))
         .collect()
     )
@@ -255,6 +254,17 @@ def train(df: DataFrame, text: str = "text") -> np.ndarray:
     return fit_span_classifier(x, p, n)
 
 
+def spans_in(text: str, weights: np.ndarray, threshold: float = 0.5) -> list[tuple[int, int, int, bool]]:
+    """(kind, start, end, base) of a text: its base spans and the candidates that the classifier accepts."""
+    base = base_spans(text)
+    more = []
+    for k, s, e in added_candidates(text, base):
+        x = np.array(votes_and_features(text, k, s, e)[1] + (1,))
+        if 1 / (1 + math.exp(-float(x @ weights))) >= threshold:
+            more.append((k, s, e))
+    return sorted([(k, s, e, True) for k, s, e in base] + [(k, s, e, False) for k, s, e in more])
+
+
 @keeps_names("_p_")
 def find_personal_data(df: DataFrame, text: str = "text", weights: np.ndarray | None = None, threshold: float = 0.5) -> DataFrame:
     """``df`` with ``pii``: array of (kind, start, end, base), code points, end
@@ -272,20 +282,14 @@ def find_personal_data(df: DataFrame, text: str = "text", weights: np.ndarray |
 
     def find(batches):
         for batch in batches:
-            out = []
-            for t in _texts(batch, "_p_text"):
-                base = base_spans(t)
-                more = []
-                for k, s, e in added_candidates(t, base):
-                    x = np.array(votes_and_features(t, k, s, e)[1] + (1,))
-                    if 1 / (1 + math.exp(-float(x @ weights))) >= threshold:
-                        more.append((k, s, e))
-                spans = [(k, s, e, True) for k, s, e in base] + [(k, s, e, False) for k, s, e in more]
-                out.append([{"kind": KINDS[k], "start": s, "end": e, "base": b} for k, s, e, b in sorted(spans)])
+            out = [
+                [{"kind": KINDS[k], "start": s, "end": e, "base": b} for k, s, e, b in spans_in(t, weights, threshold)]
+                for t in _texts(batch, "_p_text")
+            ]
             columns = batch.columns[:-1] + [pa.array(out, spans_type)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1] + ["pii"])
 
-    return rows.mapInArrow(find, schema)
+    return in_arrow(rows, find, schema)
 
 
 @keeps_names("_p_", "pii")
@@ -293,27 +297,29 @@ def redact(df: DataFrame, text: str = "text", weights: np.ndarray | None = None)
     """``df`` with every span of its text replaced by its kind in angle brackets;
     overlapping spans are replaced by the first. Null and empty texts stay as they are,
     repeated rows get equal texts, an empty table stays empty, other columns are kept."""
-    rows = find_personal_data(df, text, weights)
-    schema = T.StructType([f for f in rows.schema.fields if f.name != "pii"])
+    if weights is None:
+        weights = train(df, text)
 
+    # spans are found and replaced in one pass, by one worker a task
     def replace(batches):
         for batch in batches:
-            names = batch.schema.names
-            at = names.index(text)
+            at = batch.schema.names.index(text)
             out = []
-            for t, spans in zip(batch.column(at).to_pylist(), batch.column(names.index("pii")).to_pylist()):
-                if t and spans:
+            for t in batch.column(at).to_pylist():
+                spans = spans_in(t, weights) if t else ()
+                if spans:
                     parts, low = [], 0
-                    for x in sorted(spans, key=lambda x: (x["start"], -x["end"])):
-                        if x["start"] >= low:
-                            parts += [t[low : x["start"]], f"<{x['kind']}>"]
-                            low = x["end"]
+                    for k, start, end, _ in sorted(spans, key=lambda x: (x[1], -x[2])):
+                        if start >= low:
+                            parts += [t[low:start], f"<{KINDS[k]}>"]
+                            low = end
                     t = "".join(parts) + t[low:]
                 out.append(t)
-            columns = [pa.array(out, pa.string()) if n == text else batch.column(i) for i, n in enumerate(names) if n != "pii"]
-            yield pa.RecordBatch.from_arrays(columns, names=[n for n in names if n != "pii"])
+            columns = [pa.array(out, pa.string()) if i == at else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return rows.mapInArrow(replace, schema)
+    rows = df.withColumn(text, F.col(f"`{text}`").cast("string"))
+    return in_arrow(rows, replace, rows.schema)
 
 
 def span_digest(spans, base_only: bool) -> F.Column:

@@ -754,3 +754,22 @@ def test_added_candidates_touch_nothing_taken():
         for i, (s, e) in enumerate(taken[len(base) :]):
             others = taken[: len(base)] + taken[len(base) : len(base) + i]
             assert not any(a < e and s < b for a, b in others)
+
+
+def test_redaction_takes_one_worker_a_task(spark):
+    """Spans are found and replaced in one pass; two chained passes hold two workers each."""
+    from plantgauge.llm.pii import N_FEATURES, find_personal_data, redact
+
+    texts = ["mail me at a@b.co or b@c.org, +1 555 123 4567", None, "", "nothing", "10.0.0.1 and Dr. Ann Lee"]
+    df = make(spark, texts)
+    weights = np.ones(N_FEATURES + 1)
+    out = redact(df, weights=weights)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    spans = {r["doc_id"]: sorted(r["pii"], key=lambda x: (x["start"], -x["end"])) for r in find_personal_data(df, weights=weights).collect()}
+    for r in out.collect():
+        want, low, t = "", 0, texts[r["doc_id"]]
+        for x in spans[r["doc_id"]]:
+            if x["start"] >= low:
+                want, low = want + t[low : x["start"]] + f"<{x['kind']}>", x["end"]
+        assert r["text"] == (None if t is None else want + t[low:])
+    assert any(spans.values()) and out.schema == df.schema
