@@ -642,6 +642,36 @@ def test_stretches_against_brute_force():
     assert 5 < found < 60
 
 
+def test_window_pairs_without_a_passage_are_told_before_alignment():
+    """No window pair that holds a passage is given up, repeated tokens or not; one whose
+    shared tokens stand outside the other window is."""
+    from plantgauge.llm.near_passages import Pair, passages_within
+
+    rng = random.Random(12)
+    found = 0
+    for round_ in range(150):
+        x = [rng.randint(0, 10**6) for _ in range(rng.randint(50, 70))]
+        if round_ % 2:  # a line that repeats
+            x[20:40] = (x[20:25] * 4)[:20]
+        y = list(x)
+        for _ in range(rng.randint(0, 7)):
+            y[rng.randrange(len(y))] = rng.randint(2 * 10**6, 3 * 10**6)
+        c = rng.randrange(len(x))
+        if x[c] != y[c]:
+            continue
+        pair = Pair(np.array(x, dtype=np.uint64), np.array(y, dtype=np.uint64))
+        row = (0, c, len(x) - 1, 0, c, len(y) - 1)
+        got = pair.best(*row)
+        found += got is not None
+        assert got is None or not pair.hopeless(*row)
+        assert passages_within(*pair.sides, np.array([row])) == ([got] if got else [])
+    assert found > 40
+    x = np.arange(200, dtype=np.uint64)
+    y = np.concatenate([x[100:], np.arange(300, 349, dtype=np.uint64), x[50:51], np.arange(400, 449, dtype=np.uint64), x[:50]])
+    pair = Pair(x, y)
+    assert pair.hopeless(0, 50, 99, 100, 149, 198) and not pair.hopeless(100, 150, 199, 0, 50, 99)
+
+
 def test_passages_of_a_group_without_its_ends(spark):
     """Edited copies of a phrase meet though the smallest and largest text of each
     key, which hold only a piece of it, verify with none; recall against brute force."""
