@@ -48,6 +48,8 @@ class Items:
         words, bounds = word_hashes([t.lower() for t in texts], at_marks=True)
         self.ids = [i for i, n in zip(ids, np.diff(bounds)) if n]
         self.words = [words[a:b] for a, b in zip(bounds[:-1], bounds[1:]) if b > a]
+        self.lists = [w.tolist() for w in self.words]
+        self.sets = [frozenset(w) for w in self.lists]
         self.vocabulary = np.unique(words)
         self.steps = np.array([-(-len(w) // STEP) + 1 for w in self.words], dtype=np.int64)
 
@@ -61,6 +63,11 @@ def index_in(vocabulary: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.where(vocabulary[at] == words, at, -1)
 
 
+def places(vocabulary: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Index in a part of the vocabulary of each of its words, and of none (the last), -1 if not there."""
+    return np.append(index_in(part, vocabulary), -1)
+
+
 def steps_of(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First word of every step of STEP words, and the first step of each text."""
     n = -(-np.diff(bounds) // STEP)
@@ -127,7 +134,17 @@ def gathered(at: np.ndarray, starts: np.ndarray, table: np.ndarray) -> tuple[np.
     segment = np.searchsorted(starts, held, side="right") - 1
     at = at[held]
     change = np.flatnonzero(np.diff(segment, prepend=-1))
-    return at, np.repeat(np.arange(len(change)), np.diff(np.append(change, len(at)))), segment[change], segment_sums(table[at], change)
+    counts = np.diff(np.append(change, len(at)))
+    # segments are short: the longest first, one word of each at a time
+    order = np.argsort(-counts, kind="stable")
+    first, n = change[order], counts[order]
+    ordered = table[at[first]]
+    for k in range(1, int(counts.max(initial=0))):
+        more = np.searchsorted(-n, -k)
+        ordered[:more] += table[at[first[:more] + k]]
+    sums = np.empty_like(ordered)
+    sums[order] = ordered
+    return at, np.repeat(np.arange(len(change)), counts), segment[change], sums
 
 
 class Latent:
@@ -157,6 +174,7 @@ class Latent:
         self.lists = [Postings(rare, [-(-len(x) // 2) for x in rare]), Postings(*needed_words(items, idf))]
         active = (idf > IDF_FLOOR + LEAST_WEIGHT) | np.isin(every, np.concatenate(rare))
         self.vocabulary = vocabulary = every[active]
+        self.places = [places(every, part) for part in (vocabulary, *(p.words for p in self.lists))]
         weight = np.maximum(idf[active] - IDF_FLOOR, LEAST_WEIGHT).astype(np.float32)
         width = min(RANK + OVERSAMPLE, len(vocabulary))
         test = np.random.default_rng(seed).standard_normal((len(vocabulary), width)).astype(np.float32)
@@ -228,10 +246,9 @@ class Postings:
         self.words, self.first = np.unique(words[order], return_index=True)
         self.item, self.first, self.least = item[order], np.append(self.first, len(words)), np.array(least)
 
-    def windows(self, words: np.ndarray, starts: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def windows(self, at: np.ndarray, starts: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Item, first and last step of every run of hits that is enough for the
-        item and fits in the item's steps."""
-        at = index_in(self.words, words)
+        item and fits in the item's steps; ``at`` numbers the listed words of a block."""
         held = np.flatnonzero(at >= 0)
         n = (self.first[1:] - self.first[:-1])[at[held]]
         which = np.repeat(np.arange(len(held)), n)
@@ -252,16 +269,27 @@ def search(words: np.ndarray, bounds: np.ndarray, items: Items, latent: Latent)
     starts, first = steps_of(bounds)
     if not len(starts):
         return {}
-    _, _, step, held = gathered(index_in(latent.vocabulary, words), starts, latent.project)
-    sums = np.zeros((len(starts) + 1, vectors.shape[1]))
-    sums[step + 1] = held
+    known = index_in(items.vocabulary, words)
+    weighted, *listed = (place[known] for place in latent.places)
+    _, _, step, vector = gathered(weighted, starts, latent.project)
+    dense = np.zeros((len(starts) + 1, vectors.shape[1]))
+    dense[step] = vector
     reach = np.zeros(len(starts) + 1)
-    reach[step + 1] = np.sqrt((held * held).sum(axis=1))
-    sums, reach = np.cumsum(sums, axis=0), np.cumsum(reach)
+    reach[step + 1] = np.sqrt((vector * vector).sum(axis=1))
+    reach = np.cumsum(reach)
+
+    def window_vectors(low, high):
+        """Sums of the steps of windows; the last row of ``dense`` is zero."""
+        out = np.zeros((len(low), vectors.shape[1]))
+        for k in range(int((high - low).max(initial=0))):
+            out += dense[np.where(low + k < high, low + k, len(starts))]
+        return out.astype(np.float32)
+
+    before = np.searchsorted(step, np.arange(len(starts) + 1))
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     last_step, last_word = first[1:][text], bounds[1:][text]
     best: dict = {}
-    runs = [np.concatenate(x) for x in zip(*(p.windows(words, starts, items.steps) for p in latent.lists))]
+    runs = [np.concatenate(x) for x in zip(*(p.windows(at, starts, items.steps) for p, at in zip(latent.lists, listed)))]
     inner = text[runs[1]] == text[runs[2]]
     runs = [x[inner] for x in runs]
     for length in np.unique(items.steps):
@@ -273,12 +301,17 @@ def search(words: np.ndarray, bounds: np.ndarray, items: Items, latent: Latent)
         high = np.minimum(low + length, last_step[low])
         # a window is no longer than its steps put end to end: most are too short for any item
         strong = np.flatnonzero(reach[high] - reach[low] >= PROJECTION * norms[mine].min() - 1e-4)
-        window = (sums[high[strong]] - sums[low[strong]]).astype(np.float32)
-        # item vectors are scaled so that an item's own projection is 1
-        share_of = window @ (vectors[mine] / np.maximum(norms[mine], 1e-6)[:, None] ** 2).T
-        near = np.nonzero(share_of >= PROJECTION)
-        size = np.sqrt((window[near[0]] ** 2).sum(axis=1))
-        cosine = share_of[near] * norms[mine][near[1]] / np.maximum(size, 1e-6)
+        # item vectors are scaled so that an item's own projection is 1; a window's projections
+        # are the sums of those of its steps
+        shares = np.zeros((len(mine), len(step) + 1))
+        shares[:, 1:] = (vectors[mine] / np.maximum(norms[mine], 1e-6)[:, None] ** 2) @ vector.T
+        shares = np.cumsum(shares, axis=1)
+        share_of = np.take(shares, before[high[strong]], axis=1)
+        share_of -= np.take(shares, before[low[strong]], axis=1)
+        near = np.divmod(np.flatnonzero(share_of >= PROJECTION), max(len(strong), 1))[::-1]
+        some, which = np.unique(near[0], return_inverse=True)
+        size = np.sqrt((window_vectors(low[strong[some]], high[strong[some]]) ** 2).sum(axis=1))[which]
+        cosine = share_of[near[1], near[0]] * norms[mine][near[1]] / np.maximum(size, 1e-6)
         hit = np.flatnonzero(cosine >= COSINE)
         # windows that hold a run of hits, those at the ends of a text cut short
         own = items.steps[runs[0]] == length
@@ -291,7 +324,7 @@ def search(words: np.ndarray, bounds: np.ndarray, items: Items, latent: Latent)
         held = np.searchsorted(low, lowest[which] + np.arange(len(which)) - (np.cumsum(n) - n)[which])
         pairs = np.unique(np.concatenate([strong[near[0][hit]] * len(mine) + near[1][hit], held * len(mine) + np.searchsorted(mine, item[which])]))
         at, of = pairs // max(len(mine), 1), pairs % max(len(mine), 1)
-        window = (sums[high[at]] - sums[low[at]]).astype(np.float32)
+        window = window_vectors(low[at], high[at])
         size = np.maximum(np.sqrt((window**2).sum(axis=1)), 1e-6)
         angles = (window * vectors[mine][of]).sum(axis=1) / np.maximum(norms[mine][of], 1e-6) / size
         for w, i, angle in zip(at, of, angles):
@@ -303,7 +336,7 @@ def search(words: np.ndarray, bounds: np.ndarray, items: Items, latent: Latent)
             # words of the item that the passage holds bound what it holds in order
             least = LESS_SHARE if answer >= ANSWER else SHARE
             n_item = len(items.words[item])
-            if sum(x in there for x in items.words[item].tolist()) / n_item < least:
+            if (n_item - len(items.sets[item] - there)) / n_item < least or sum(map(there.__contains__, items.lists[item])) / n_item < least:
                 continue
             share = common_subsequence(items.words[item], passage) / n_item
             if share >= SHARE or share >= LESS_SHARE and answer >= ANSWER:

@@ -672,6 +672,26 @@ def test_window_pairs_without_a_passage_are_told_before_alignment():
     assert pair.hopeless(0, 50, 99, 100, 149, 198) and not pair.hopeless(100, 150, 199, 0, 50, 99)
 
 
+def test_sums_of_known_words_per_segment():
+    """Rows of known words are summed per segment, whatever its length; segments without any are
+    left out. Places carry an index into a part of a vocabulary, and -1."""
+    from plantgauge.llm.decontaminate import gathered, index_in, places
+
+    rng = np.random.default_rng(4)
+    vocabulary = np.unique(rng.integers(0, 2**63, 60, dtype=np.uint64))
+    part = vocabulary[::3]
+    words = np.concatenate([rng.choice(vocabulary, 500), rng.integers(0, 2**63, 200, dtype=np.uint64)])[rng.permutation(700)]
+    at = places(vocabulary, part)[index_in(vocabulary, words)]
+    assert (at == index_in(part, words)).all()
+    starts = np.array([0, 1, 40, 41, 42, 300, 690])
+    table = rng.standard_normal((len(part), 5))
+    known, number, segment, sums = gathered(at, starts, table)
+    ends = np.append(starts[1:], len(words))
+    want = {i: table[at[a:b][at[a:b] >= 0]].sum(axis=0) for i, (a, b) in enumerate(zip(starts, ends)) if (at[a:b] >= 0).any()}
+    assert list(want) == segment.tolist() and np.allclose(sums, list(want.values()))
+    assert (known == at[at >= 0]).all() and len(number) == len(known)
+
+
 def test_passages_of_a_group_without_its_ends(spark):
     """Edited copies of a phrase meet though the smallest and largest text of each
     key, which hold only a piece of it, verify with none; recall against brute force."""
