@@ -692,6 +692,26 @@ def test_sums_of_known_words_per_segment():
     assert (known == at[at >= 0]).all() and len(number) == len(known)
 
 
+def test_encoded_words_tell_whether_their_tokens_come_back():
+    """Ids and verdict of each word come from its prefix; a character without a piece or bytes
+    spells something else."""
+    import sentencepiece
+
+    from plantgauge.llm.sentencepieces import MARK, Pieces, default_model
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=default_model())
+    m = Pieces(default_model())
+    texts = ["wonder", "wonderful", "won", "x9f3k", "\u4e2d\u6587", "\U0001f600a", "", "naïve"]
+    words = {w: t for t in texts for w in m.words(t)}
+    got = dict(m.encoded(words))
+    for w, t in words.items():
+        assert np.frombuffer(got[w][0], dtype=np.int32).tolist() == sp.encode(t) and got[w][1]
+    bare = Pieces(default_model())
+    bare.bytes, bare.byte_of = {}, {}
+    got = dict(bare.encoded([MARK + "won", MARK + "won\U00012000", MARK + "won\U00012000s"]))
+    assert [back for _, back in got.values()] == [True, False, False]
+
+
 def test_passages_of_a_group_without_its_ends(spark):
     """Edited copies of a phrase meet though the smallest and largest text of each
     key, which hold only a piece of it, verify with none; recall against brute force."""
