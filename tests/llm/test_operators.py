@@ -843,3 +843,32 @@ def test_redaction_takes_one_worker_a_task(spark):
                 want, low = want + t[low : x["start"]] + f"<{x['kind']}>", x["end"]
         assert r["text"] == (None if t is None else want + t[low:])
     assert any(spans.values()) and out.schema == df.schema
+
+
+def test_piece_borders_are_told_without_merging_both_tokens(monkeypatch):
+    import random
+
+    from plantgauge.llm.sentencepieces import Pieces, default_model
+
+    model, draw = Pieces(default_model()), random.Random(5)
+    names = [p for p in list(model.id)[:8000] if model.merge(p) == [p]]
+    pairs = [(draw.choice(names + ["é", "中"]), draw.choice(names)) for _ in range(3000)]
+    cuts = [(p[:k], p[k:]) for p in names[:3000] for k in range(1, len(p)) if p[:k] in model.id and p[k:] in model.id]
+    pairs += [(a, b) for a, b in cuts if model.merge(a) == [a]]
+    want = [model.merge(a + b) == [a, b] for a, b in pairs]
+    monkeypatch.setattr(model, "merge", None)
+    assert [model.follows(a, b) for a, b in pairs] == want and any(want) and not all(want)
+
+
+def test_words_met_again_stay_when_the_memo_is_full(monkeypatch):
+    from plantgauge.llm import sentencepieces
+    from plantgauge.llm.sentencepieces import Pieces, default_model, encode_texts
+
+    monkeypatch.setattr(sentencepieces, "MEMO_WORDS", 4)
+    model, memo, misspelt, seen = Pieces(default_model()), {}, {"long gone"}, []
+    encoded = model.encoded
+    monkeypatch.setattr(model, "encoded", lambda words: (seen.append(set(words)), encoded(words))[1])
+    encode_texts(model, ["one two three"], memo, misspelt)
+    ids, good = encode_texts(model, ["one four five"], memo, misspelt)
+    assert seen[1] == {"▁four", "▁five"} and set(memo) == {"▁one", "▁four", "▁five"} and not misspelt
+    assert good == [True] and ids == encode_texts(model, ["one four five"], {}, set())[0]
